@@ -1,2 +1,335 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""A nearest-neighbour graph by NN-descent, and greedy search over it.
+
+Vectors travel as unit rows of 16-bit fixed-point numbers. The graph's nodes are the distinct unit vectors, keyed by a 64-bit hash, so copies of a
+vector cost one node and are put back at the end.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..session import cut, partitions, table
+
+SCALE = 32767.0
+CELL = 512  # rows per pivot
+MAX_PIVOTS = 2048  # bound of the sample that the cells are fitted on, per level
+OVERSIZE = 6144  # a cell beyond this is cut again by pivots of its own
+TABLES, SPILL = 2, 2
+SEED = 7
+
+
+def unit_int16(vec: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, n x dim int16) of the usable vectors: of length dim, finite and not zero."""
+    lengths = vec.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(lengths == dim)
+    if not len(rows):
+        return rows, np.zeros((0, dim), np.int16)
+    flat = vec.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+    norm = np.sqrt(np.einsum("ij,ij->i", flat, flat, dtype=np.float64))
+    ok = np.isfinite(norm) & (norm > 0)
+    return rows[ok], np.rint(flat[ok] / norm[ok, None] * SCALE).astype(np.int16)
+
+
+def pack(m: np.ndarray) -> pa.Array:
+    """The rows of a matrix as a binary column."""
+    size = m.shape[1] * m.itemsize
+    data = np.ascontiguousarray(m)
+    return pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(np.arange(len(m) + 1, dtype=np.int32) * size), pa.py_buffer(data)])
+
+
+def unpack(col) -> np.ndarray:
+    """A binary column of equal lengths as a float32 matrix of unit rows."""
+    if isinstance(col, pa.ChunkedArray):
+        parts = [unpack(c) for c in col.chunks if len(c)]
+        return np.concatenate(parts) if parts else np.zeros((0, 1), np.float32)
+    off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
+    raw = np.frombuffer(col.buffers()[2], np.uint8)[off[0] : off[-1]].view(np.int16)
+    return raw.reshape(len(col), -1).astype(np.float32) * np.float32(1 / SCALE)
+
+
+def lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(values))
+
+
+def unit_vectors(df: DataFrame, key: str, vec_col: str, dim: int) -> DataFrame:
+    """(id, v) of every usable vector; null, empty, zero, non-finite and odd-length vectors are left out."""
+
+    def run(batches):
+        for b in batches:
+            rows, m = unit_int16(b.column(1), dim)
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pack(m)], ["id", "v"])
+
+    return df.select(F.col(key).cast("long"), F.col(vec_col)).where(F.col(key).isNotNull() & F.col(vec_col).isNotNull()).mapInArrow(run, "id bigint, v binary")
+
+
+def classes(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vectors (h, v), members (id, h)): the distinct vectors, and each id's vector. An id with several vectors keeps the one of the smallest hash."""
+    hashed = units.withColumn("h", F.xxhash64("v"))
+    return cut(hashed.groupBy("v").agg(F.first("h").alias("h")).select("h", "v")), hashed.groupBy("id").agg(F.min("h").alias("h"))
+
+
+# --- cells -------------------------------------------------------------------------------------------------------------
+
+
+class Cells:
+    """Voronoi cells about sampled pivots: each vector lies in the cells of its SPILL nearest pivots, in each of TABLES independent samples."""
+
+    def __init__(self, vectors: DataFrame, n: int, tables: int = TABLES, seed: int = SEED):
+        self.tables, self.seed, self.pivots = tables, seed, {}
+        for t in range(tables):
+            self.pivots[(t,)] = self._sample(vectors, max(1, min(MAX_PIVOTS, round(n / CELL))) / max(n, 1), t)
+        for depth in range(1, 6):
+            big = {tuple(r["cell"]): r["count"] for r in vectors.mapInArrow(self._runner(False), "cell array<int>").groupBy("cell").count().where(f"count > {OVERSIZE}").collect()} if n > OVERSIZE / 2 else {}
+            if not big:
+                break
+            keys = F.create_map(*[x for c in big for x in (F.lit(",".join(map(str, c))), F.lit(max(2, min(64, big[c] // CELL)) / big[c]))])
+            sub = vectors.mapInArrow(self._runner(True), "cell array<int>, h bigint, v binary").withColumn("f", keys[F.concat_ws(",", F.col("cell").cast("array<string>"))])
+            picked = sub.where((F.pmod(F.xxhash64("h", F.lit(seed * 100 + depth)), F.lit(1 << 20)) < F.col("f") * (1 << 20))).select("cell", "h", "v").toArrow()
+            for c in big:
+                mine = picked.filter(pa.array([tuple(x) == c for x in picked.column(0).to_pylist()], pa.bool_()))
+                if mine.num_rows > 1:
+                    self.pivots[c] = unpack(mine.column(2))
+
+    def _sample(self, vectors: DataFrame, fraction: float, t: int) -> np.ndarray:
+        key = F.pmod(F.xxhash64("h", F.lit(self.seed + t)), F.lit(1 << 24))
+        got = vectors.where(key <= max(1, int(fraction * (1 << 24)))).select("v").limit(2 * MAX_PIVOTS).toArrow()
+        if not got.num_rows:
+            got = vectors.select("v").limit(1).toArrow()
+        return unpack(got.column(0))
+
+    def assign(self, x: np.ndarray) -> list[tuple[tuple, np.ndarray]]:
+        """[(cell, row numbers)]"""
+        out, todo = [], [((t,), np.arange(len(x))) for t in range(self.tables)]
+        while todo:
+            path, rows = todo.pop()
+            p = self.pivots.get(path)
+            if p is None or not len(p):
+                out.append((path, rows))
+                continue
+            s = x[rows] @ p.T
+            k = min(SPILL, s.shape[1])
+            near = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < s.shape[1] else np.tile(np.arange(k), (len(rows), 1))
+            flat, who = near.ravel(), np.repeat(rows, k)
+            order = np.argsort(flat, kind="stable")
+            flat, who = flat[order], who[order]
+            edges = np.r_[0, np.flatnonzero(np.diff(flat)) + 1, len(flat)]
+            todo += [((*path, int(flat[a])), who[a:b]) for a, b in zip(edges, edges[1:])]
+        return out
+
+    def _runner(self, full: bool):
+        assign = self.assign
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    got = assign(unpack(b.column(1)))
+                    rows = np.concatenate([r for _, r in got])
+                    cells = pa.array([c for c, r in got for _ in range(len(r))], pa.list_(pa.int32()))
+                    take = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([cells, b.column(0).take(take), b.column(1).take(take)] if full else [cells], ["cell", "h", "v"] if full else ["cell"])
+
+        return run
+
+    def homes(self):
+        """A function from vectors to the one cell of the first table that is theirs in the local joins."""
+        p = self.pivots[(0,)]
+        return lambda x: (x @ p.T).argmax(axis=1) if len(p) else np.zeros(len(x), np.int64)
+
+    def rows(self, vectors: DataFrame) -> DataFrame:
+        """(cell, h, v), cell as a hash: equal in hot cells that have been cut."""
+        assign = self.assign
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    got = assign(unpack(b.column(1)))
+                    take = pa.array(np.concatenate([r for _, r in got]))
+                    code = np.repeat(np.array([hash(c) & 0x7FFFFFFFFFFFFFFF for c, _ in got], np.int64), [len(r) for _, r in got])
+                    yield pa.RecordBatch.from_arrays([pa.array(code), b.column(0).take(take), b.column(1).take(take)], ["cell", "h", "v"])
+
+        return vectors.mapInArrow(run, "cell bigint, h bigint, v binary")
+
+
+LISTS = "h bigint, nbr array<bigint>, sim array<float>"
+
+
+def _top(sims: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, value) of the k largest entries of each row that reach least, in order."""
+    k = min(k, sims.shape[1])
+    col = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < sims.shape[1] else np.tile(np.arange(k), (len(sims), 1))
+    val = np.take_along_axis(sims, col, 1)
+    order = np.argsort(-val, axis=1, kind="stable")
+    col, val = np.take_along_axis(col, order, 1), np.take_along_axis(val, order, 1)
+    ok = val >= least
+    return np.repeat(np.arange(len(sims)), ok.sum(axis=1)), col[ok], val[ok]
+
+
+def cell_lists(rows: DataFrame, k: int, least: float) -> DataFrame:
+    """The k nearest within each cell, exactly, in blocks of rows."""
+
+    def run(t: pa.Table) -> pa.Table:
+        h, x = t.column(1).to_numpy(), unpack(t.column(2))
+        out_h, out_n, out_s, out_c = [], [], [], []
+        for s in range(0, len(h), 512):
+            sims = x[s : s + 512] @ x.T
+            sims[np.arange(len(sims)), np.arange(s, s + len(sims))] = -2
+            need = (sims >= least).any(axis=1)
+            if not need.any():
+                continue
+            r, c, v = _top(sims[need], k, least)
+            out_h.append(h[s : s + 512][need])
+            out_c.append(np.bincount(r, minlength=int(need.sum())))
+            out_n.append(h[c])
+            out_s.append(v.astype(np.float32))
+        if not out_h:
+            return pa.table({"h": pa.array([], pa.int64()), "nbr": pa.array([], pa.list_(pa.int64())), "sim": pa.array([], pa.list_(pa.float32()))})
+        counts = np.concatenate(out_c)
+        return pa.table({"h": np.concatenate(out_h), "nbr": lists(np.concatenate(out_n), counts), "sim": lists(np.concatenate(out_s), counts)})
+
+    return rows.groupBy("cell").applyInArrow(run, LISTS)
+
+
+def merge_lists(df: DataFrame, k: int) -> DataFrame:
+    """One list of the k best per node out of many; ties go to the smaller key."""
+
+    def run(batches):
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got).combine_chunks()
+        nbr, sim = t.column(1).combine_chunks(), t.column(2).combine_chunks()
+        h = np.repeat(t.column(0).to_numpy(), nbr.value_lengths().to_numpy())
+        n, s = nbr.flatten().to_numpy(), sim.flatten().to_numpy()
+        order = np.lexsort((n, -s, h))
+        h, n, s = h[order], n[order], s[order]
+        # the same pair may differ by a rounding error between cells: the first, best one stays
+        pair = np.lexsort((np.arange(len(h)), n, h))
+        first = np.ones(len(h), bool)
+        first[pair[1:]] = (h[pair[1:]] != h[pair[:-1]]) | (n[pair[1:]] != n[pair[:-1]])
+        h, n, s = h[first], n[first], s[first]
+        starts = np.r_[0, np.flatnonzero(np.diff(h)) + 1]
+        rank = np.arange(len(h)) - np.repeat(starts, np.diff(np.r_[starts, len(h)]))
+        keep = rank < k
+        h, n, s = h[keep], n[keep], s[keep]
+        u, counts = np.unique(h, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(u), lists(n, counts), lists(s, counts)], ["h", "nbr", "sim"])
+
+    return df.repartition(partitions(df.sparkSession), "h").mapInArrow(run, LISTS)
+
+
+def local_join(graph: DataFrame, vectors: DataFrame, homes, k: int, least: float) -> DataFrame:
+    """One NN-descent step: whoever meets in the list or the reverse list of some node is compared; returns the best k found, per node.
+
+    Each node is at home in one cell. A cell gets the lists of its own nodes and, once, every vector that occurs in them; there the neighbours of
+    neighbours are compared.
+    """
+
+    def where(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(homes(unpack(b.column(1))).astype(np.int32))], ["h", "home"])
+
+    home = vectors.mapInArrow(where, "h bigint, home int")
+    edges = graph.select("h", F.explode("nbr").alias("m"))
+    both = edges.union(edges.select(F.col("m").alias("h"), F.col("h").alias("m"))).union(edges.select("h", F.col("h").alias("m"))).distinct()
+    # reverse lists can be long: the 2k of smallest hash stay, as NN-descent samples them
+    ranked = both.join(home, "h").withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64("m", "h")))).where(F.col("r") <= 3 * k)
+    met = cut(ranked.select("home", "h", "m"))
+    need = met.select(F.col("home").alias("at"), F.col("m").alias("id")).distinct().join(vectors.select(F.col("h").alias("id"), "v"), "id").select("at", "id", "v")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = pa.table({"h": pa.array([], pa.int64()), "nbr": pa.array([], pa.list_(pa.int64())), "sim": pa.array([], pa.list_(pa.float32()))})
+        if not left.num_rows or not right.num_rows:
+            return empty
+        ids, x = right.column(1).to_numpy(), unpack(right.column(2))
+        order = np.argsort(ids)
+        ids, x = ids[order], x[order]
+        c, m = left.column(1).to_numpy(), np.searchsorted(ids, left.column(2).to_numpy())
+        order = np.argsort(c, kind="stable")
+        c, m = c[order], m[order]
+        starts = np.r_[0, np.flatnonzero(np.diff(c)) + 1]
+        sizes = np.diff(np.r_[starts, len(c)])
+        codes = []
+        for size in np.unique(sizes):
+            if size < 2:
+                continue
+            rows = m[starts[sizes == size][:, None] + np.arange(size)]
+            i, j = np.triu_indices(size, 1)
+            a, b = rows[:, i], rows[:, j]
+            codes.append(np.unique(np.minimum(a, b).astype(np.int64) * len(ids) + np.maximum(a, b)))
+        if not codes:
+            return empty
+        code = np.unique(np.concatenate(codes))
+        a, b = code // len(ids), code % len(ids)
+        sim = np.empty(len(code), np.float32)
+        for s in range(0, len(code), 1 << 15):
+            sim[s : s + (1 << 15)] = np.einsum("ij,ij->i", x[a[s : s + (1 << 15)]], x[b[s : s + (1 << 15)]])
+        ok = (sim >= least) & (a != b)
+        a, b, sim = a[ok], b[ok], sim[ok]
+        u, v, s = np.r_[a, b], np.r_[b, a], np.r_[sim, sim]
+        order = np.lexsort((-s, u))
+        u, v, s = u[order], v[order], s[order]
+        if not len(u):
+            return empty
+        starts = np.r_[0, np.flatnonzero(np.diff(u)) + 1]
+        rank = np.arange(len(u)) - np.repeat(starts, np.diff(np.r_[starts, len(u)]))
+        u, v, s = u[rank < k], v[rank < k], s[rank < k]
+        who, counts = np.unique(u, return_counts=True)
+        return pa.table({"h": ids[who], "nbr": lists(ids[v], counts), "sim": lists(s, counts)})
+
+    return met.groupBy("home").cogroup(need.groupBy("at")).applyInArrow(run, LISTS)
+
+
+def neighbour_graph(vectors: DataFrame, k: int, least: float = -1.0, rounds: int = 1, tables: int = TABLES) -> tuple[DataFrame, Cells]:
+    """(graph (h, nbr, sim), cells): the approximate k nearest of every vector, those of a cosine of least at least.
+
+    The first graph is exact within overlapping cells about sampled pivots (a bounded sample: every row is placed); each round then joins neighbours of neighbours. Ties go
+    to the smaller key.
+    """
+    n = vectors.count()
+    cells = Cells(vectors, n, tables)
+    graph = cut(merge_lists(cell_lists(cells.rows(vectors), k, least), k))
+    for _ in range(rounds):
+        graph = cut(merge_lists(graph.union(local_join(graph, vectors, cells.homes(), k, least)), k))
+    return graph, cells
+
+
+def neighbour_pairs(df: DataFrame, key: str, vec_col: str, k: int, least: float, dim: int = 128, rounds: int = 1) -> DataFrame:
+    """(a_id, b_id): pairs, smaller key first, of which at least one is among the k most similar others of the other, and whose cosine reaches least.
+
+    Unusable vectors (null, empty, zero, non-finite, of another length than dim) have no neighbours. Copies of a vector have
+    cosine 1; among equals the smaller keys come first. Copies are taken from their class's first k + 1 keys, so a vector copied without bound costs
+    its copies k rows each.
+    """
+    vectors, members = classes(unit_vectors(df, key, vec_col, dim))
+    members = cut(members)
+    graph, _ = neighbour_graph(vectors, k + 2, least, rounds)
+    w = Window.partitionBy("h").orderBy("id")
+    firsts = members.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).select("h", "id")
+    near = graph.select("h", F.explode(F.arrays_zip("nbr", "sim")).alias("x")).select("h", F.col("x.nbr").alias("q"), F.col("x.sim").alias("sim"))
+    copied = members.groupBy("h").count().where("count > 1").select("h", F.col("h").alias("q"), F.lit(2.0).cast("float").alias("sim"))
+    other = near.union(copied).join(firsts.withColumnRenamed("h", "q").withColumnRenamed("id", "other"), "q")
+    best = other.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("sim"), "other"))).where(F.col("r") <= k + 1).select("h", "other", "r")
+    # an id that is itself on its class's list gives its place to the next
+    own = firsts.select("h", F.col("id").alias("other"), F.lit(True).alias("own"))
+    best = best.join(own, ["h", "other"], "left")
+    each = members.join(best, "h").where("id <> other")
+    n_before = F.sum(F.lit(1)).over(Window.partitionBy("id").orderBy("r"))
+    each = each.withColumn("place", n_before).where(F.col("place") <= k)
+    return each.select(F.least("id", "other").alias("a_id"), F.greatest("id", "other").alias("b_id")).distinct()
+
+
+def card_vectors(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "vectors").where("basis = 'card'").select("node_id", "vec")
+
+
+def p4_found(spark, sf_dir):
+    return neighbour_pairs(card_vectors(spark, sf_dir), "node_id", "vec", k=8, least=0.70)
+
+
+QUERIES = {"p4_found": p4_found}
+ORACLE: dict[str, str] = {}
