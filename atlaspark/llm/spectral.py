@@ -1,2 +1,272 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Clusters of mutually similar records by power iteration on sparse affinities."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators.graph import connected_components
+from ..session import cut, once, partitions, table
+from .neighbours import Cells, card_vectors, cell_lists, classes, lists, merge_lists, unit_vectors, unpack
+
+DIMS = 8  # vectors iterated
+ROUNDS = 6
+RADIUS = 0.3  # of a k-means cell about its centre, where an embedding coordinate has unit variance over the clusters
+PART = 20000  # rows per k-means task
+
+
+def power_iteration(start: DataFrame, affinity: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(node, x): the start vectors after some rounds of x <- (D + I)^-1 (A + I) x, D the row sums of the affinities.
+
+    ``start`` is (node, x array<double>), ``affinity`` (node, other, w), symmetric, both ways round. What varies within a well linked part decays by the part's second
+    eigenvalue each round, what varies between parts stays: the vectors come to span the leading eigenvectors. A round is one join and one aggregation of DIMS sums.
+    """
+    dims = range(DIMS)
+    edges = cut(affinity.select("node", F.col("other").alias("at"), "w").repartition(partitions(affinity.sparkSession), "at"))
+    x = start.select(F.col("node").alias("at"), *[F.col("x")[i].cast("double").alias(f"x{i}") for i in dims])
+    for _ in range(rounds):
+        sent = edges.join(x, "at").select(F.col("node").alias("to"), "w", *[(F.col("w") * F.col(f"x{i}")).alias(f"s{i}") for i in dims])
+        own = x.select(F.col("at").alias("to"), F.lit(1.0).alias("w"), *[F.col(f"x{i}").alias(f"s{i}") for i in dims])
+        summed = sent.union(own).groupBy("to").agg(F.sum("w").alias("d"), *[F.sum(f"s{i}").alias(f"s{i}") for i in dims])
+        x = summed.select(F.col("to").alias("at"), *[(F.col(f"s{i}") / F.col("d")).alias(f"x{i}") for i in dims])
+    return x.select(F.col("at").alias("node"), F.array(*[f"x{i}" for i in dims]).alias("x"))
+
+
+def _seeded(x: np.ndarray, radius: float) -> np.ndarray:
+    """Centres such that every row lies within the radius of one: rows are taken in order of their first coordinate, so only a strip is compared."""
+    order = np.argsort(x[:, 0], kind="stable")
+    y, free, centres = x[order], np.ones(len(x), bool), []
+    for i in range(len(y)):
+        if free[i]:
+            j = np.searchsorted(y[:, 0], y[i, 0] + radius, "right")
+            near = ((y[i:j] - y[i]) ** 2).sum(axis=1) <= radius**2
+            centres.append(y[i])
+            free[i:j] &= ~near
+    return np.array(centres)
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    sq = (centres**2).sum(axis=1)
+    return np.concatenate([(sq[None, :] - 2 * x[s : s + 2048] @ centres.T).argmin(axis=1) for s in range(0, len(x), 2048)])
+
+
+def kmeans(embedded: DataFrame, radius: float = RADIUS, lloyd: int = 3) -> DataFrame:
+    """(node, part, k): k-means of the embedding with as many centres as it takes to have every row within the radius of a seed.
+
+    The rows are first parted by the nearest of some sampled centres (their number grows with the rows, and a part beyond PART rows is salted), then Lloyd's
+    rounds run in each part. A cluster that a part's border or a salt divides comes out in several pieces.
+    """
+    n = embedded.count()
+    want = max(1, -(-n // PART) * 4 if n > PART else 1)
+    pick = embedded.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 2 * want / max(n, 1))) + 1).select("x").limit(4096).collect()
+    coarse = np.array([r.x for r in pick], dtype=float).reshape(-1, DIMS)
+
+    def place(batches):
+        for b in batches:
+            if b.num_rows:
+                x = b.column(1).flatten().to_numpy().reshape(-1, DIMS)
+                part = _nearest(x, coarse) if len(coarse) > 1 else np.zeros(len(x), np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part)], ["node", "x", "part"])
+
+    placed = cut(embedded.select("node", "x").mapInArrow(place, "node bigint, x array<double>, part bigint"))
+    sizes = placed.groupBy("part").count().select("part", (F.floor(F.col("count") / PART) + 1).alias("salts"))
+    salted = placed.join(sizes, "part").select("node", "x", (F.col("part") * 100000 + F.pmod(F.xxhash64("node"), F.col("salts"))).alias("part"))
+
+    def run(t: pa.Table) -> pa.Table:
+        x = t.column("x").combine_chunks().flatten().to_numpy().reshape(-1, DIMS)
+        centres = _seeded(x, radius)
+        for _ in range(lloyd):
+            k = _nearest(x, centres)
+            count = np.bincount(k, minlength=len(centres))
+            sums = np.stack([np.bincount(k, x[:, d], minlength=len(centres)) for d in range(DIMS)], axis=1)
+            centres = sums[count > 0] / count[count > 0, None]
+        return pa.table({"node": t.column("node"), "part": t.column("part"), "k": _nearest(x, centres)})
+
+    return salted.groupBy("part").applyInArrow(run, "node bigint, part bigint, k bigint")
+
+
+def spectral_clusters(start: DataFrame, affinity: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(node, cluster, size, inner, typical): power iteration, k-means of the embedding, then an exact check against the affinities.
+
+    The check joins pieces that an affinity still links, as such members belong together by definition; ``cluster`` is the smallest node of the cluster.
+    ``inner`` is a member's summed affinity to its own cluster and ``typical`` its rank by it, from 1. Nodes without any affinity are left out;
+    no affinities give an empty result.
+    """
+    linked = affinity.select("node").distinct()
+    embedded = cut(power_iteration(start.join(linked, "node"), affinity, rounds))
+    pieces = cut(kmeans(embedded).select("node", F.xxhash64("part", "k").alias("piece")))
+    names = pieces.groupBy("piece").agg(F.min("node").alias("name"))
+    named = cut(pieces.join(names, "piece").select("node", "name"))
+    a, b = named.select("node", F.col("name").alias("c")), named.select(F.col("node").alias("other"), F.col("name").alias("d"))
+    crossing = affinity.join(a, "node").join(b, "other")
+    joined = connected_components(crossing.where("c <> d").select("c", "d").distinct(), "c", "d")
+    final = named.join(joined.withColumnRenamed("node", "name"), "name", "left").select("node", F.coalesce("component", "name").alias("cluster"))
+    inner = affinity.groupBy("node").agg(F.sum("w").alias("inner"))
+    return final.join(inner, "node")
+
+
+def describe(clusters: DataFrame, top: int = 5) -> DataFrame:
+    """(cluster, size, typical): each cluster's size and its members of the highest internal affinity, ties by the smaller node."""
+    ranked = clusters.withColumn("place", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("inner"), "node"))).where(F.col("place") <= top)
+    best = ranked.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("place", "node"))).alias("t")).select("cluster", F.col("t.node").alias("typical"))
+    return clusters.groupBy("cluster").agg(F.count("*").alias("size")).join(best, "cluster")
+
+
+# --- vectors ---------------------------------------------------------------------------------------------------------------
+
+
+def vector_affinities(vectors: DataFrame, least: float, k: int = 6, tables: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(start, affinity) of distinct unit vectors: the k nearest of a cosine of least at least, and random projections to start from."""
+    cells = Cells(vectors, vectors.count(), tables)
+    near = merge_lists(cell_lists(cells.rows(vectors), k, least), 2 * k)
+    one = cut(near.select("h", F.explode(F.arrays_zip("nbr", "sim")).alias("e")).select("h", F.col("e.nbr").alias("m"), F.col("e.sim").cast("double").alias("w")))
+    affinity = one.union(one.select(F.col("m"), F.col("h"), "w")).toDF("node", "other", "w").groupBy("node", "other").agg(F.max("w").alias("w"))
+
+    def project(batches):
+        axes = None
+        for b in batches:
+            if b.num_rows:
+                x = unpack(b.column(1))
+                axes = np.random.default_rng(11).standard_normal((x.shape[1], DIMS)) if axes is None else axes
+                yield pa.RecordBatch.from_arrays([b.column(0), lists((x @ axes).ravel(), np.full(len(x), DIMS))], ["node", "x"])
+
+    return vectors.mapInArrow(project, "node bigint, x array<double>"), cut(affinity)
+
+
+def vector_clusters(df: DataFrame, key: str, vec_col: str, least: float = 0.70, dim: int = 128) -> DataFrame:
+    """(member_id, cluster_id, inner): clusters of rows whose vectors' cosine reaches least, of at least two members; cluster_id is the smallest.
+
+    Unusable vectors (null, empty, zero, non-finite, of another length) belong to none. Copies of a vector are one node with all its copies as members.
+    """
+    vectors, members = classes(unit_vectors(df, key, vec_col, dim))
+    start, affinity = vector_affinities(vectors, least)
+    found = spectral_clusters(start, affinity)
+    joined = members.join(found.withColumnRenamed("node", "h"), "h", "left").select("id", F.coalesce("cluster", "h").alias("c"), F.coalesce("inner", F.lit(0.0)).alias("inner"))
+    return _smallest(joined)
+
+
+def _smallest(joined: DataFrame) -> DataFrame:
+    joined = cut(joined)
+    ids = joined.groupBy("c").agg(F.min("id").alias("cluster_id"), F.count("*").alias("n")).where("n > 1")
+    return joined.join(ids, "c").select(F.col("id").alias("member_id"), "cluster_id", "inner")
+
+
+# --- labels ----------------------------------------------------------------------------------------------------------------
+
+# Words that say nothing about a label's subject.
+GENERIC = "a an and about at by essay essays for from in into introduction more note notes of on or other overview question questions reading readings some studies study the their to toward towards with work works".split()
+
+
+def label_words(label) -> F.Column:
+    """The distinctive words of a label: lower case, without accents, generic words and a plural's s, of four letters at least."""
+    plain = F.regexp_replace(F.lower(label), "[àáâãäå]", "a")
+    for accents, letter in (("[èéêë]", "e"), ("[ìíîï]", "i"), ("[òóôõöø]", "o"), ("[ùúûü]", "u"), ("[ýÿ]", "y"), ("ñ", "n"), ("ç", "c"), ("ß", "ss"), ("[\\u0300-\\u036f]", "")):
+        plain = F.regexp_replace(plain, accents, letter)
+    words = F.regexp_extract_all(plain, F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+    words = F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(GENERIC))
+    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.regexp_replace(w, "(?<=[a-z]{3}[^s])s$", ""))))
+
+
+def one_slip(a: str, b: str) -> bool:
+    """Whether one letter added, lost, changed or two neighbours swapped turn a into b."""
+    if a == b:
+        return True
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    ra, rb = a[i:], b[i:]
+    if len(a) == len(b):
+        return ra[1:] == rb[1:] or (ra[:2] == rb[:2][::-1] and ra[2:] == rb[2:])
+    return ra[1:] == rb or ra == rb[1:]
+
+
+def word_roots(words: DataFrame, ratio: int = 4) -> DataFrame:
+    """(word, root): a word's roots are the word itself and every word, ``ratio`` times as frequent, that one slip makes of it.
+
+    A word seen once also takes a root among others seen once, so a slip is found in the smallest cluster. Words of fewer than six letters have no slips. Only distinct
+    words meet, over the strings that losing one letter leaves; the words that share such a string are bounded by the alphabet, not by the data.
+    """
+    vocab = cut(words.groupBy("word").agg(F.count("*").alias("df")))
+    drops = F.expr("array_distinct(array_append(transform(sequence(1, length(word)), i -> concat(substring(word, 1, i - 1), substring(word, i + 1))), word))")
+    keyed = cut(vocab.where(F.length("word") >= 6).select("word", "df", F.explode(drops).alias("key")))
+    other = keyed.select(F.col("word").alias("root"), F.col("df").alias("rdf"), "key")
+    slip = (F.col("rdf") >= ratio * F.col("df")) | ((F.col("df") == 1) & (F.struct("rdf", "root") > F.struct("df", "word")))
+    pairs = keyed.join(other, "key").where((F.col("word") != F.col("root")) & slip).select("word", "root").distinct()
+
+    def check(batches):
+        for pdf in batches:
+            yield pdf[pd.Series([one_slip(a, b) for a, b in zip(pdf["word"], pdf["root"])], index=pdf.index, dtype=bool)]
+
+    return pairs.mapInPandas(check, "word string, root string").union(vocab.select("word", F.col("word").alias("root")))
+
+
+def label_clusters(df: DataFrame, key: str, label_col: str, shared: int = 3) -> DataFrame:
+    """(member_id, cluster_id, inner): clusters of labels that share at least ``shared`` distinctive words, of at least two members.
+
+    Null and empty labels, and labels of fewer distinctive words, belong to none. Labels of the same words form one node; nodes meet over each
+    combination of ``shared`` words that more than one has, every one linked to the combination's first node rather than to every other.
+    """
+    words = cut(df.select(F.col(key).cast("long").alias("id"), F.explode(label_words(F.col(label_col))).alias("word")))
+    rooted = words.join(word_roots(words), "word").select("id", "root").distinct()
+    common = rooted.groupBy("root").count().where("count > 1").select("root")
+    kept = rooted.join(common, "root")
+    sets = kept.groupBy("id").agg(F.array_sort(F.collect_list("root")).alias("roots")).where(F.size("roots") >= shared)
+    sets = cut(sets.withColumn("h", F.xxhash64("roots")))
+    nodes = cut(sets.groupBy("h").agg(F.first("roots").alias("roots")))
+    combos = nodes.select("h", F.explode(_combinations(F.col("roots"), shared)).alias("combo"))
+    first = combos.groupBy("combo").agg(F.min("h").alias("other"), F.count("*").alias("n")).where("n > 1")
+    one = combos.join(first, "combo").where("h <> other").groupBy("h", "other").agg(F.count("*").cast("double").alias("w"))
+    affinity = cut(one.union(one.select("other", "h", "w")).toDF("node", "other", "w"))
+    gauss = [_label_axis(F.col("roots"), i) for i in range(DIMS)]
+    start = nodes.select(F.col("h").alias("node"), F.array(*gauss).alias("x"))
+    found = spectral_clusters(start, affinity)
+    return _smallest(sets.select("id", "h").join(found.withColumnRenamed("node", "h"), "h", "left").select("id", F.coalesce("cluster", "h").alias("c"), F.coalesce("inner", F.lit(0.0)).alias("inner")))
+
+
+def _label_axis(roots, seed: int):
+    return F.aggregate(F.transform(roots, lambda r: _normal(r, seed)), F.lit(0.0), lambda a, v: a + v) / F.sqrt(F.size(roots))
+
+
+def _normal(value, seed: int):
+    """A number of mean 0 and variance 1 that depends on the value alone."""
+    u = F.pmod(F.xxhash64(value, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+    return (u - 0.5) * float(np.sqrt(12))
+
+
+def _combinations(xs, k: int):
+    """All combinations of k elements of a sorted array, as hashes."""
+    if k == 1:
+        return F.transform(xs, lambda x: F.xxhash64(x))
+    out = F.transform(xs, lambda x, i: F.struct(F.array(x).alias("c"), (i + 1).alias("i")))
+    for _ in range(k - 1):
+        out = F.flatten(F.transform(out, lambda s: F.transform(F.slice(xs, s["i"] + 1, F.size(xs)), lambda x, j: F.struct(F.concat(s["c"], F.array(x)).alias("c"), (s["i"] + j + 1).alias("i")))))
+    return F.transform(out, lambda s: F.xxhash64(s["c"]))
+
+
+def _labels(spark, sf_dir):
+    return once(table(spark, sf_dir, "regions").select("region_id", "label"), "region_id")
+
+
+def p2_clusters(spark, sf_dir):
+    """(kind, cluster_id, size, typical): each cluster with its size and its most typical members."""
+    out = []
+    for kind, found in (("vector", vector_clusters(card_vectors(spark, sf_dir), "node_id", "vec")), ("label", label_clusters(_labels(spark, sf_dir), "region_id", "label"))):
+        d = describe(found.select(F.col("member_id").alias("node"), F.col("cluster_id").alias("cluster"), "inner"))
+        out.append(d.select(F.lit(kind).alias("kind"), F.col("cluster").alias("cluster_id"), "size", "typical"))
+    return out[0].union(out[1])
+
+
+def p2_found(spark, sf_dir):
+    vectors = vector_clusters(card_vectors(spark, sf_dir), "node_id", "vec")
+    labels = label_clusters(_labels(spark, sf_dir), "region_id", "label")
+    both = vectors.select(F.lit("vector").alias("kind"), "member_id", "cluster_id").union(labels.select(F.lit("label").alias("kind"), "member_id", "cluster_id"))
+    return both
+
+
+QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters}
+ORACLE: dict[str, str] = {}
