@@ -1,2 +1,186 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Filling containers of fixed capacity by lexical retrieval: a sharded BM25 index returns what belongs with each seed."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import cut, table
+from .tokens import TOKENIZER, encode
+
+CAPACITY = 2048
+SHARD = 1024  # items of one index shard
+K1, B = 1.2, 0.75
+FULL = 0.98  # a container less full than this is opened again in the next pass
+
+
+def token_items(df: DataFrame, key: str, text_col: str, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(doc_id, piece, start, n_tokens, terms, tfs): each document as one item, those above the capacity as several of at most the capacity.
+
+    terms are the item's distinct token ids, tfs their counts up to 255, as packed bytes. Null and empty texts are one item of 0 tokens.
+    """
+
+    def run(batches):
+        for b in batches:
+            cols = {k: [] for k in ("doc_id", "piece", "start", "n_tokens", "terms", "tfs")}
+            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids = np.array(encode(text, tokenizer), dtype=np.uint32)
+                for p, s in enumerate(range(0, max(len(ids), 1), capacity)):
+                    part = ids[s : s + capacity]
+                    terms, tf = np.unique(part, return_counts=True)
+                    for c, v in zip(cols, (k, p, s, len(part), terms.tobytes(), np.minimum(tf, 255).astype(np.uint8).tobytes())):
+                        cols[c].append(v)
+            yield pa.RecordBatch.from_pydict(cols, ITEMS)
+
+    return df.select(F.col(key).cast("long"), F.col(text_col)).where(F.col(key).isNotNull()).mapInArrow(run, "doc_id bigint, piece int, start int, n_tokens int, terms binary, tfs binary")
+
+
+ITEMS = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int32()), ("n_tokens", pa.int32()), ("terms", pa.binary()), ("tfs", pa.binary())])
+
+
+class Index:
+    """A BM25 inverted index over the items of one shard."""
+
+    def __init__(self, terms: list[bytes], tfs: list[bytes]):
+        each = [np.frombuffer(t, np.uint32) for t in terms]
+        counts = np.array([len(e) for e in each], dtype=np.int64)
+        term = np.concatenate(each) if len(each) else np.zeros(0, np.uint32)
+        tf = np.frombuffer(b"".join(tfs), np.uint8).astype(np.float32)
+        item = np.repeat(np.arange(len(each), dtype=np.int32), counts)
+        self.offsets = np.r_[0, np.cumsum(counts)]
+        self.vocab, self.codes = np.unique(term, return_inverse=True)
+        order = np.argsort(self.codes, kind="stable")
+        df = np.bincount(self.codes, minlength=len(self.vocab))
+        self.starts = np.r_[0, np.cumsum(df)]
+        n = max(1, len(each))
+        length = np.bincount(item, tf, minlength=len(each)) if len(item) else np.zeros(len(each))
+        idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        norm = K1 * (1 - B + B * length / max(length.mean(), 1e-9)) if len(each) else np.zeros(0)
+        weight = idf[self.codes] * tf * (K1 + 1) / (tf + norm[item].astype(np.float32)) if len(item) else np.zeros(0, np.float32)
+        self.items, self.weights, self.n = item[order], weight[order].astype(np.float32), len(each)
+
+    def scores(self, i: int) -> np.ndarray:
+        """BM25 of every item for item i as the query, over all its terms."""
+        codes = self.codes[self.offsets[i] : self.offsets[i + 1]]
+        a, b = self.starts[codes], self.starts[codes + 1]
+        size = b - a
+        total = int(size.sum())
+        if not total:
+            return np.zeros(self.n)
+        at = np.repeat(a - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(total)
+        return np.bincount(self.items[at], self.weights[at], minlength=self.n)
+
+
+def fill(sizes: np.ndarray, index: Index, capacity: int) -> list[tuple[list[int], int]]:
+    """[(items in order, tokens)]: containers of one shard.
+
+    The largest unused item is the seed; its neighbours follow by falling score as long as they fit and leave room to close the window with, then the largest
+    unused items that still fit close it, the better scored of equals first.
+    """
+    n = len(sizes)
+    used = np.zeros(n, bool)
+    order = np.lexsort((np.arange(n), -sizes))
+    out, at = [], 0
+    while True:
+        while at < n and used[order[at]]:
+            at += 1
+        if at == n:
+            return out
+        seed = int(order[at])
+        used[seed] = True
+        members, room = [seed], capacity - int(sizes[seed])
+        if room > 0:
+            score = index.scores(seed)
+            free = np.flatnonzero(~used & (sizes <= room))
+            ranked = free[np.lexsort((free, -score[free]))]
+            reserve = min(room, capacity // 8)
+            for j in ranked:
+                s = int(sizes[j])
+                if s <= room - reserve or s == room:
+                    members.append(int(j))
+                    used[j] = True
+                    room -= s
+                    if room <= reserve:
+                        break
+            # close: the pair or single that fills best
+            ranked = ranked[~used[ranked]]
+            while room > 0 and len(ranked):
+                fit = ranked[sizes[ranked] <= room]
+                if not len(fit):
+                    break
+                best = _best_close(sizes, fit, room)
+                for j in best:
+                    members.append(int(j))
+                    used[j] = True
+                    room -= int(sizes[j])
+                ranked = fit[~used[fit]]
+                if room and not (ranked.size and (sizes[ranked] <= room).any()):
+                    break
+        out.append((members, capacity - room))
+
+
+def _best_close(sizes: np.ndarray, fit: np.ndarray, room: int) -> list[int]:
+    """The one item, or the two, whose sizes come nearest to the room; the better ranked on ties."""
+    s = sizes[fit]
+    one = int(s.argmax())
+    if s[one] == room or len(fit) == 1:
+        return [int(fit[one])]
+    o = np.argsort(s, kind="stable")
+    t = s[o]
+    k = np.searchsorted(t, room - t, "right") - 1
+    k = np.where(k == np.arange(len(t)), k - 1, k)
+    total = np.where(k >= 0, t + t[np.maximum(k, 0)], -1)
+    two = int(total.argmax())
+    if total[two] > s[one] and total[two] <= room:
+        return [int(fit[o[two]]), int(fit[o[k[two]]])]
+    return [int(fit[one])]
+
+
+PACKED = "shard bigint, slot int, place int, doc_id bigint, piece int, start int, n_tokens int, used int, terms binary, tfs binary"
+
+
+def _fill_shards(items: DataFrame, capacity: int, ship: bool) -> DataFrame:
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("doc_id", "ascending"), ("piece", "ascending")])
+        sizes = t.column("n_tokens").to_numpy()
+        packed = fill(sizes, Index(t.column("terms").to_pylist(), t.column("tfs").to_pylist()), capacity)
+        rows = np.array([i for m, _ in packed for i in m], dtype=np.int64)
+        slot = np.repeat(np.arange(len(packed), dtype=np.int32), [len(m) for m, _ in packed])
+        place = np.concatenate([np.arange(len(m), dtype=np.int32) for m, _ in packed])
+        full = np.repeat(np.array([u for _, u in packed], dtype=np.int32), [len(m) for m, _ in packed])
+        got = t.take(pa.array(rows))
+        keep = pa.array(full < FULL * capacity) if ship else pa.array(np.zeros(len(full), bool))
+        none = pa.scalar(None, pa.binary())
+        return pa.table({"shard": got.column("shard"), "slot": slot, "place": place, "doc_id": got.column("doc_id"), "piece": got.column("piece"), "start": got.column("start"), "n_tokens": got.column("n_tokens"), "used": full, "terms": pc.if_else(keep, got.column("terms").combine_chunks(), none), "tfs": pc.if_else(keep, got.column("tfs").combine_chunks(), none)})
+
+    return items.groupBy("shard").applyInArrow(run, PACKED)
+
+
+def pack(df: DataFrame, key: str, text_col: str, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, shard: int = SHARD) -> DataFrame:
+    """(container_id, place, doc_id, piece, start, n_tokens, used): every document in a container of at most ``capacity`` tokens.
+
+    place counts from 0 within the container, start is the piece's first token, used the tokens in the container. Only a text above the capacity has several pieces. Shards are by hash and hold about ``shard`` items each
+    whatever the size of the input. A container that its shard could not fill is opened again, its items are packed once more in merged shards.
+    Null and empty texts take a place and no room; an empty table gives an empty result.
+    """
+    n = df.count()
+    shards = max(1, -(-n // shard))
+    items = token_items(df, key, text_col, capacity, tokenizer).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    first = cut(_fill_shards(items, capacity, True).withColumn("pass", F.lit(0)))
+    done, rest = first.where(F.col("used") >= FULL * capacity), first.where(F.col("used") < FULL * capacity)
+    merged = max(1, -(-rest.count() // shard))
+    again = rest.select("doc_id", "piece", "start", "n_tokens", "terms", "tfs").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(merged)))
+    second = _fill_shards(again, capacity, False).withColumn("pass", F.lit(1))
+    name = F.concat_ws("-", F.col("pass").cast("string"), F.col("shard").cast("string"), F.col("slot").cast("string")).alias("container_id")
+    return done.unionByName(second).select(name, "place", "doc_id", "piece", "start", "n_tokens", "used")
+
+
+def p6_containers(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p6_containers": p6_containers}
+ORACLE: dict[str, str] = {}
