@@ -1,2 +1,128 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Mixing sources to target weights: token quotas, capped repeats, and a Pfair interleaving by earliest deadline first."""
+
+from __future__ import annotations
+
+import heapq
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..session import cut, table
+from .tokens import TOKENIZER, encode
+
+BLOCK = 4096  # tokens of one scheduled block
+PERIOD = 10000  # slots after which the schedule repeats, at least
+LONGEST = 1 << 17  # its upper bound, and so that of the table that is broadcast
+
+
+def slots_per_period(shares: list[float], period: int = PERIOD, longest: int = LONGEST) -> list[int]:
+    """Whole numbers of slots in proportion to the shares, by largest remainder, none less than one; they sum to the period's length."""
+    total = sum(shares)
+    period = min(longest, max(period, int(2 * total / min(shares)) + 1))
+    exact = [s / total * period for s in shares]
+    slots = [max(1, int(x)) for x in exact]
+    for i in sorted(range(len(shares)), key=lambda i: (int(exact[i]) - exact[i], i)):
+        if sum(slots) >= period:
+            break
+        slots[i] += 1
+    return slots
+
+
+def pfair(slots: list[int]) -> list[list[int]]:
+    """For each source the slots of its blocks within one period.
+
+    Block j of a source of weight w is released at floor(j / w) and due at ceil((j + 1) / w); each slot goes to the released block of the earliest deadline, ties
+    to the earlier source. As the weights fill the period exactly every deadline is met, so no source is ever a whole block off its share.
+    """
+    period = sum(slots)
+    out: list[list[int]] = [[] for _ in slots]
+    waiting = [(0, i) for i in range(len(slots))]  # (release, source)
+    ready: list[tuple[int, int]] = []  # (deadline, source)
+    for t in range(period):
+        while waiting and waiting[0][0] <= t:
+            _, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(len(out[i]) + 1) * period // slots[i]), i))
+        if ready:
+            due, i = heapq.heappop(ready)
+            assert t < due, "a deadline was missed"
+            out[i].append(t)
+            if len(out[i]) < slots[i]:
+                heapq.heappush(waiting, (len(out[i]) * period // slots[i], i))
+    return out
+
+
+def count_tokens(df: DataFrame, key: str, text_col: str, *keep: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(key, *keep, n_tokens) by a public tokenizer, over the whole text; null and empty texts have 0."""
+    kinds = dict(df.dtypes)
+
+    def run(batches):
+        for b in batches:
+            n = pa.array([len(encode(t, tokenizer)) for t in b.column(0).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], n], [*b.schema.names[1:], "n_tokens"])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (key, *keep)) + ", n_tokens bigint"
+    return df.select(text_col, key, *keep).mapInArrow(run, schema)
+
+
+def mix(df: DataFrame, targets: DataFrame, key: str = "doc_id", text_col: str = "text", block: int = BLOCK, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+    """(mix (slot, source, key, repeat_no, n_tokens), report).
+
+    ``targets`` is (source, target_share, max_repeats), one row per source; a configuration, read to the driver. The corpus is as large as the targets allow: its
+    size in tokens is the least over the sources of max_repeats * tokens / share. Each source runs through its documents in hash order, again from the
+    first after the last, until its quota is met; the document that straddles the quota stays if more than half of it lies before. ``slot`` orders the blocks,
+    documents of one slot by their place in the source. The report has a row per target with the tokens available and used, the share reached beside the
+    target, and the most repeats used. A source without tokens cannot take part: its share is 0 and the others are in
+    proportion. Documents of no target source, or without tokens, are left out; nulls in targets drop the row.
+    """
+    spark = df.sparkSession
+    goals = [r for r in targets.select("source", F.col("target_share").cast("double").alias("w"), "max_repeats").dropna().where("w > 0 and max_repeats > 0").groupBy("source").agg(F.max("w").alias("w"), F.max("max_repeats").alias("m")).orderBy("source").collect()]
+    schema = f"source string, `{key}` {dict(df.dtypes)[key]}, n_tokens bigint"
+    wanted = df.where(F.col("source").isin([g.source for g in goals]) & F.col(key).isNotNull())
+    sized = cut(count_tokens(wanted, key, text_col, "source", tokenizer=tokenizer).where("n_tokens > 0").select("source", key, "n_tokens"))
+    have = {r.source: r for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"), F.max("n_tokens").alias("longest")).collect()}
+    live = [g for g in goals if g.source in have]
+    if not live:
+        return spark.createDataFrame([], f"slot bigint, {schema}, repeat_no int"), _report(spark, goals, have, None)
+    weight = sum(g.w for g in live)
+    total = min(g.m * have[g.source].tokens / (g.w / weight) for g in live)
+    slots = slots_per_period([g.w for g in live])
+    period = sum(slots)
+    plan = spark.createDataFrame([(g.source, j, t) for g, ts in zip(live, pfair(slots)) for j, t in enumerate(ts)], "source string, j bigint, t bigint")
+    quotas = spark.createDataFrame([(g.source, float(total * g.w / weight), int(have[g.source].tokens), int(g.m), int(n)) for g, n in zip(live, slots)], "source string, quota double, tokens bigint, m int, per bigint")
+    buckets = max(16, min(1 << 16, sum(h.docs for h in have.values()) // 2000))
+    hashed = sized.withColumn("hash", F.xxhash64(key)).withColumn("bucket", F.pmod("hash", F.lit(buckets)))
+    sums = hashed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n"))
+    before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).select("source", "bucket", "before")
+    inside = F.sum("n_tokens").over(Window.partitionBy("source", "bucket").orderBy("hash", key).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens")
+    placed = hashed.withColumn("inside", inside).join(before, ["source", "bucket"]).join(F.broadcast(quotas), "source")
+    turns = placed.withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.least(F.col("m"), F.ceil(F.col("quota") / F.col("tokens")).cast("int")) - 1)))
+    at = turns.withColumn("at", F.col("before") + F.col("inside") + F.col("repeat_no") * F.col("tokens")).where(F.col("at") + F.col("n_tokens") / 2 <= F.col("quota"))
+    numbered = at.withColumn("block", F.floor(F.col("at") / block)).withColumn("j", F.pmod("block", F.col("per")))
+    # the plan has at most LONGEST rows
+    slotted = numbered.join(F.broadcast(plan), ["source", "j"]).withColumn("slot", F.floor(F.col("block") / F.col("per")) * period + F.col("t"))
+    out = slotted.select("slot", "source", key, F.col("repeat_no").cast("int").alias("repeat_no"), "n_tokens", "at")
+    return out, _report(spark, goals, have, out)
+
+
+def _report(spark, goals, have, out: DataFrame | None) -> DataFrame:
+    rows = [(g.source, float(g.w), int(g.m), int(have[g.source].docs) if g.source in have else 0, int(have[g.source].tokens) if g.source in have else 0) for g in goals]
+    base = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, docs bigint, tokens_available bigint")
+    if out is None:
+        return base.select("*", F.lit(0).cast("bigint").alias("tokens_used"), F.lit(0.0).alias("actual_share"), F.lit(0).alias("repeats_used"))
+    used = out.groupBy("source").agg(F.sum("n_tokens").alias("tokens_used"), (F.max("repeat_no") + 1).alias("repeats_used"))
+    whole = used.agg(F.sum("tokens_used").alias("all"))
+    joined = base.join(used, "source", "left").crossJoin(F.broadcast(whole))  # one row
+    return joined.select("source", "target_share", "max_repeats", "docs", "tokens_available", F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), F.coalesce(F.col("tokens_used") / F.col("all"), F.lit(0.0)).alias("actual_share"), F.coalesce("repeats_used", F.lit(0)).alias("repeats_used"))
+
+
+def p7_mix(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_shares(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+QUERIES = {"p7_mix": p7_mix, "p7_shares": p7_shares}
+ORACLE: dict[str, str] = {}
