@@ -40,14 +40,27 @@ def pack(m: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(np.arange(len(m) + 1, dtype=np.int32) * size), pa.py_buffer(data)])
 
 
-def unpack(col) -> np.ndarray:
-    """A binary column of equal lengths as a float32 matrix of unit rows."""
+def _raw(col, kind) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
-        parts = [unpack(c) for c in col.chunks if len(c)]
-        return np.concatenate(parts) if parts else np.zeros((0, 1), np.float32)
+        parts = [_raw(c, kind) for c in col.chunks if len(c)]
+        return np.concatenate(parts) if parts else np.zeros((0, 1), kind)
     off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
-    raw = np.frombuffer(col.buffers()[2], np.uint8)[off[0] : off[-1]].view(np.int16)
-    return raw.reshape(len(col), -1).astype(np.float32) * np.float32(1 / SCALE)
+    return np.frombuffer(col.buffers()[2], np.uint8)[off[0] : off[-1]].view(kind).reshape(len(col), -1)
+
+
+def unpack(col) -> np.ndarray:
+    """A binary column of equal lengths as a float32 matrix of unit rows."""
+    return _raw(col, np.int16).astype(np.float32) * np.float32(1 / SCALE)
+
+
+def coarse(x: np.ndarray) -> np.ndarray:
+    """Rows in 8 bits a value, each scaled by its largest; a cosine is off by some 0.0005."""
+    return np.rint(x * (127 / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-9))).astype(np.int8)
+
+
+def unpack_coarse(col) -> np.ndarray:
+    x = _raw(col, np.int8).astype(np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
 def lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
@@ -79,7 +92,7 @@ class Cells:
     """Voronoi cells about sampled pivots: each vector lies in the cells of its SPILL nearest pivots, in each of TABLES independent samples."""
 
     def __init__(self, vectors: DataFrame, n: int, tables: int = TABLES, seed: int = SEED):
-        self.tables, self.seed, self.pivots = tables, seed, {}
+        self.tables, self.seed, self.pivots, self.codes = tables, seed, {}, None
         for t in range(tables):
             self.pivots[(t,)] = self._sample(vectors, max(1, min(MAX_PIVOTS, round(n / CELL))) / max(n, 1), t)
         for depth in range(1, 6):
@@ -134,22 +147,52 @@ class Cells:
 
         return run
 
-    def homes(self):
-        """A function from vectors to the one cell of the first table that is theirs in the local joins."""
-        p = self.pivots[(0,)]
-        return lambda x: (x @ p.T).argmax(axis=1) if len(p) else np.zeros(len(x), np.int64)
+    def homes(self, x: np.ndarray) -> np.ndarray:
+        """The one cell of the first table that each row lies deepest in, as a number below 2^23. Cells that were too large have been cut, so a home is bounded too."""
+        if self.codes is None:
+            self.codes, todo = {}, [(0,)]
+            while todo:
+                path = todo.pop()
+                if path in self.pivots and len(self.pivots[path]):
+                    todo += [(*path, i) for i in range(len(self.pivots[path]))]
+                else:
+                    self.codes[path] = len(self.codes)
+        out, todo = np.zeros(len(x), np.int64), [((0,), np.arange(len(x)))]
+        while todo:
+            path, rows = todo.pop()
+            if path in self.codes:
+                out[rows] = self.codes[path]
+                continue
+            near = (x[rows] @ self.pivots[path].T).argmax(axis=1)
+            todo += [((*path, int(i)), rows[near == i]) for i in np.unique(near)]
+        return out
 
-    def rows(self, vectors: DataFrame) -> DataFrame:
-        """(cell, h, v), cell as a hash: equal in hot cells that have been cut."""
+    def keyed(self, vectors: DataFrame) -> DataFrame:
+        """(h, v, hash): h now has the home in its upper bits and the hash's lower 40 below, so a node's home is known wherever its key is."""
+        homes = self.homes
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    h = b.column(0).to_numpy()
+                    key = (homes(unpack(b.column(1))) << 40) | (h & ((1 << 40) - 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), b.column(1), b.column(0)], ["h", "v", "hash"])
+
+        return vectors.mapInArrow(run, "h bigint, v binary, hash bigint")
+
+    def rows(self, vectors: DataFrame, in8bits: bool = False) -> DataFrame:
+        """(cell, h, v): every vector once for each of its cells; a cell is named by the hash of its path."""
         assign = self.assign
 
         def run(batches):
             for b in batches:
                 if b.num_rows:
-                    got = assign(unpack(b.column(1)))
+                    x = unpack(b.column(1))
+                    got = assign(x)
                     take = pa.array(np.concatenate([r for _, r in got]))
+                    v = pack(coarse(x)) if in8bits else b.column(1)
                     code = np.repeat(np.array([hash(c) & 0x7FFFFFFFFFFFFFFF for c, _ in got], np.int64), [len(r) for _, r in got])
-                    yield pa.RecordBatch.from_arrays([pa.array(code), b.column(0).take(take), b.column(1).take(take)], ["cell", "h", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(code), b.column(0).take(take), v.take(take)], ["cell", "h", "v"])
 
         return vectors.mapInArrow(run, "cell bigint, h bigint, v binary")
 
@@ -168,11 +211,12 @@ def _top(sims: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray
     return np.repeat(np.arange(len(sims)), ok.sum(axis=1)), col[ok], val[ok]
 
 
-def cell_lists(rows: DataFrame, k: int, least: float) -> DataFrame:
-    """The k nearest within each cell, exactly, in blocks of rows."""
+def cell_lists(rows: DataFrame, k: int, least: float, in8bits: bool = False) -> DataFrame:
+    """The k nearest within each cell, all of it compared, in blocks of rows."""
+    read = unpack_coarse if in8bits else unpack
 
     def run(t: pa.Table) -> pa.Table:
-        h, x = t.column(1).to_numpy(), unpack(t.column(2))
+        h, x = t.column(1).to_numpy(), read(t.column(2))
         out_h, out_n, out_s, out_c = [], [], [], []
         for s in range(0, len(h), 512):
             sims = x[s : s + 512] @ x.T
@@ -221,25 +265,21 @@ def merge_lists(df: DataFrame, k: int) -> DataFrame:
     return df.repartition(partitions(df.sparkSession), "h").mapInArrow(run, LISTS)
 
 
-def local_join(graph: DataFrame, vectors: DataFrame, homes, k: int, least: float) -> DataFrame:
+def home_of(h: str):
+    return F.shiftright(F.col(h), 40)
+
+
+def local_join(graph: DataFrame, vectors: DataFrame, k: int, least: float) -> DataFrame:
     """One NN-descent step: whoever meets in the list or the reverse list of some node is compared; returns the best k found, per node.
 
     Each node is at home in one cell. A cell gets the lists of its own nodes and, once, every vector that occurs in them; there the neighbours of
-    neighbours are compared.
+    neighbours are compared. Reverse lists can be long: as NN-descent does, 2k of them are sampled, by hash.
     """
-
-    def where(batches):
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(homes(unpack(b.column(1))).astype(np.int32))], ["h", "home"])
-
-    home = vectors.mapInArrow(where, "h bigint, home int")
     edges = graph.select("h", F.explode("nbr").alias("m"))
-    both = edges.union(edges.select(F.col("m").alias("h"), F.col("h").alias("m"))).union(edges.select("h", F.col("h").alias("m"))).distinct()
-    # reverse lists can be long: the 2k of smallest hash stay, as NN-descent samples them
-    ranked = both.join(home, "h").withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64("m", "h")))).where(F.col("r") <= 3 * k)
-    met = cut(ranked.select("home", "h", "m"))
-    need = met.select(F.col("home").alias("at"), F.col("m").alias("id")).distinct().join(vectors.select(F.col("h").alias("id"), "v"), "id").select("at", "id", "v")
+    both = edges.union(edges.select(F.col("m").alias("h"), F.col("h").alias("m"))).withColumn("home", home_of("h"))
+    own = graph.select(home_of("h").alias("at"), F.col("h").alias("id"))
+    asked = both.select(F.col("home").alias("at"), F.col("m").alias("id")).union(own).distinct()
+    need = asked.join(vectors.select(F.col("h").alias("id"), "v"), "id").select("at", "id", "v")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"h": pa.array([], pa.int64()), "nbr": pa.array([], pa.list_(pa.int64())), "sim": pa.array([], pa.list_(pa.float32()))})
@@ -248,9 +288,17 @@ def local_join(graph: DataFrame, vectors: DataFrame, homes, k: int, least: float
         ids, x = right.column(1).to_numpy(), unpack(right.column(2))
         order = np.argsort(ids)
         ids, x = ids[order], x[order]
-        c, m = left.column(1).to_numpy(), np.searchsorted(ids, left.column(2).to_numpy())
-        order = np.argsort(c, kind="stable")
+        c, m = left.column("h").to_numpy(), left.column("m").to_numpy()
+        c, m = np.r_[c, np.unique(c)], np.r_[m, np.unique(c)]
+        # one row per (node, member); the members in an order by hash, of which the first 3k stay
+        mixed = ((m ^ c).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+        order = np.lexsort((m, mixed, c))
         c, m = c[order], m[order]
+        first = np.r_[True, (c[1:] != c[:-1]) | (m[1:] != m[:-1])]
+        c, m = c[first], m[first]
+        starts = np.r_[0, np.flatnonzero(np.diff(c)) + 1]
+        stay = np.arange(len(c)) - np.repeat(starts, np.diff(np.r_[starts, len(c)])) < 3 * k
+        c, m = c[stay], np.searchsorted(ids, m[stay])
         starts = np.r_[0, np.flatnonzero(np.diff(c)) + 1]
         sizes = np.diff(np.r_[starts, len(c)])
         codes = []
@@ -281,21 +329,22 @@ def local_join(graph: DataFrame, vectors: DataFrame, homes, k: int, least: float
         who, counts = np.unique(u, return_counts=True)
         return pa.table({"h": ids[who], "nbr": lists(ids[v], counts), "sim": lists(s, counts)})
 
-    return met.groupBy("home").cogroup(need.groupBy("at")).applyInArrow(run, LISTS)
+    return both.groupBy("home").cogroup(need.groupBy("at")).applyInArrow(run, LISTS)
 
 
-def neighbour_graph(vectors: DataFrame, k: int, least: float = -1.0, rounds: int = 1, tables: int = TABLES) -> tuple[DataFrame, Cells]:
-    """(graph (h, nbr, sim), cells): the approximate k nearest of every vector, those of a cosine of least at least.
+def neighbour_graph(vectors: DataFrame, k: int, least: float = -1.0, rounds: int = 1, tables: int = TABLES) -> tuple[DataFrame, DataFrame]:
+    """(graph (h, nbr, sim), vectors (h, v, hash)): the approximate k nearest of every vector, those of a cosine of least at least.
 
     The first graph is exact within overlapping cells about sampled pivots (a bounded sample: every row is placed); each round then joins neighbours of neighbours. Ties go
     to the smaller key.
     """
-    n = vectors.count()
-    cells = Cells(vectors, n, tables)
-    graph = cut(merge_lists(cell_lists(cells.rows(vectors), k, least), k))
-    for _ in range(rounds):
-        graph = cut(merge_lists(graph.union(local_join(graph, vectors, cells.homes(), k, least)), k))
-    return graph, cells
+    cells = Cells(vectors, vectors.count(), tables)
+    vectors = cells.keyed(vectors)
+    # the first lists only propose: 8-bit vectors and a few more places than k; every round compares 16-bit ones anew, the node itself included
+    graph = cut(merge_lists(cell_lists(cells.rows(vectors, True), k + 2, least - 0.005, True), k + 2))
+    for _ in range(max(1, rounds)):
+        graph = cut(merge_lists(local_join(graph, vectors, k, least), k))
+    return graph, vectors
 
 
 def neighbour_pairs(df: DataFrame, key: str, vec_col: str, k: int, least: float, dim: int = 128, rounds: int = 1) -> DataFrame:
@@ -306,20 +355,17 @@ def neighbour_pairs(df: DataFrame, key: str, vec_col: str, k: int, least: float,
     its copies k rows each.
     """
     vectors, members = classes(unit_vectors(df, key, vec_col, dim))
-    members = cut(members)
-    graph, _ = neighbour_graph(vectors, k + 2, least, rounds)
+    graph, keyed = neighbour_graph(vectors, k + 1, least, rounds)
+    members = cut(members.join(keyed.select(F.col("h").alias("key"), F.col("hash").alias("h")), "h").select("id", F.col("key").alias("h")))
     w = Window.partitionBy("h").orderBy("id")
     firsts = members.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).select("h", "id")
     near = graph.select("h", F.explode(F.arrays_zip("nbr", "sim")).alias("x")).select("h", F.col("x.nbr").alias("q"), F.col("x.sim").alias("sim"))
     copied = members.groupBy("h").count().where("count > 1").select("h", F.col("h").alias("q"), F.lit(2.0).cast("float").alias("sim"))
     other = near.union(copied).join(firsts.withColumnRenamed("h", "q").withColumnRenamed("id", "other"), "q")
-    best = other.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("sim"), "other"))).where(F.col("r") <= k + 1).select("h", "other", "r")
-    # an id that is itself on its class's list gives its place to the next
-    own = firsts.select("h", F.col("id").alias("other"), F.lit(True).alias("own"))
-    best = best.join(own, ["h", "other"], "left")
-    each = members.join(best, "h").where("id <> other")
-    n_before = F.sum(F.lit(1)).over(Window.partitionBy("id").orderBy("r"))
-    each = each.withColumn("place", n_before).where(F.col("place") <= k)
+    best = other.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("sim"), "other"))).where(F.col("r") <= k + 1)
+    listed = best.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("r", "other"))).alias("best")).select("h", F.col("best.other").alias("best"))
+    # an id that is itself on its class's list of k + 1 gives its place to the next
+    each = members.join(listed, "h").select("id", F.explode(F.slice(F.filter("best", lambda x: x != F.col("id")), 1, k)).alias("other"))
     return each.select(F.least("id", "other").alias("a_id"), F.greatest("id", "other").alias("b_id")).distinct()
 
 
