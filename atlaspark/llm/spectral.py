@@ -10,29 +10,59 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..session import cut, once, partitions, table
-from .neighbours import Cells, card_vectors, cell_lists, classes, lists, merge_lists, unit_vectors, unpack
+from .neighbours import Cells, card_vectors, cell_lists, classes, merge_lists, pack, unit_vectors, unpack
 
 DIMS = 8  # vectors iterated
-ROUNDS = 6
+ROUNDS = 4
 RADIUS = 0.3  # of a k-means cell about its centre, where an embedding coordinate has unit variance over the clusters
 PART = 20000  # rows per k-means task
+HOME = 4096  # nodes of one part of the graph, about
 
 
-def power_iteration(start: DataFrame, affinity: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def power_iteration(start: DataFrame, affinity: DataFrame, home, rounds: int = ROUNDS) -> DataFrame:
     """(node, x): the start vectors after some rounds of x <- (D + I)^-1 (A + I) x, D the row sums of the affinities.
 
-    ``start`` is (node, x array<double>), ``affinity`` (node, other, w), symmetric, both ways round. What varies within a well linked part decays by the part's second
-    eigenvalue each round, what varies between parts stays: the vectors come to span the leading eigenvectors. A round is one join and one aggregation of DIMS sums.
+    ``start`` is (node, x binary of DIMS float32), ``affinity`` (node, other, w), symmetric, both ways round; ``home`` gives the part of the graph that a node column belongs to. What varies
+    within a well linked part of the graph decays by its second eigenvalue each round, what varies between such parts stays: the vectors come to span the leading eigenvectors. In a round
+    each part takes in what was sent to its nodes, normalises, and sends on, summed by receiver; as most links stay within a part, little more than a row per node
+    is shuffled, however dense the graph.
     """
-    dims = range(DIMS)
-    edges = cut(affinity.select("node", F.col("other").alias("at"), "w").repartition(partitions(affinity.sparkSession), "at"))
-    x = start.select(F.col("node").alias("at"), *[F.col("x")[i].cast("double").alias(f"x{i}") for i in dims])
+    edges = cut(affinity.select(home("node").alias("home"), "node", "other", home("other").alias("to"), F.col("w").cast("float").alias("w")))
+    schema = "home bigint, node bigint, s binary, d float"
+
+    def step(send: bool):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            node, got = right.column("node").to_numpy(), np.frombuffer(b"".join(right.column("s").to_pylist()), np.float32).reshape(-1, DIMS)
+            ids, inv = np.unique(node, return_inverse=True)
+            s, d = np.zeros((len(ids), DIMS)), np.zeros(len(ids))
+            np.add.at(s, inv, got)
+            np.add.at(d, inv, right.column("d").to_numpy())
+            x = s / np.maximum(d, 1e-12)[:, None]
+            if not send:
+                return _sent(np.full(len(ids), right.column("home")[0].as_py() if len(node) else 0), ids, x, np.ones(len(ids)))
+            src, w = np.searchsorted(ids, left.column("node").to_numpy()), left.column("w").to_numpy().astype(float)
+            to, inv = np.unique(left.column("other").to_numpy(), return_inverse=True)
+            out, weight, where = np.zeros((len(to), DIMS)), np.bincount(inv, w, minlength=len(to)), np.zeros(len(to), np.int64)
+            for j in range(DIMS):
+                out[:, j] = np.bincount(inv, w * x[src, j], minlength=len(to))
+            where[inv] = left.column("to").to_numpy()
+            mine = np.full(len(ids), right.column("home")[0].as_py() if len(node) else 0)
+            return _sent(np.r_[where, mine], np.r_[to, ids], np.r_[out, x], np.r_[weight, np.ones(len(ids))])
+
+        return run
+
+    state = start.select(home("node").alias("home"), "node", F.col("x").alias("s"), F.lit(1.0).cast("float").alias("d"))
     for _ in range(rounds):
-        sent = edges.join(x, "at").select(F.col("node").alias("to"), "w", *[(F.col("w") * F.col(f"x{i}")).alias(f"s{i}") for i in dims])
-        own = x.select(F.col("at").alias("to"), F.lit(1.0).alias("w"), *[F.col(f"x{i}").alias(f"s{i}") for i in dims])
-        summed = sent.union(own).groupBy("to").agg(F.sum("w").alias("d"), *[F.sum(f"s{i}").alias(f"s{i}") for i in dims])
-        x = summed.select(F.col("to").alias("at"), *[(F.col(f"s{i}") / F.col("d")).alias(f"x{i}") for i in dims])
-    return x.select(F.col("at").alias("node"), F.array(*[f"x{i}" for i in dims]).alias("x"))
+        state = edges.groupBy("home").cogroup(state.groupBy("home")).applyInArrow(step(True), schema)
+    return edges.groupBy("home").cogroup(state.groupBy("home")).applyInArrow(step(False), schema).select("node", F.col("s").alias("x"))
+
+
+def _sent(home, node, x, d) -> pa.Table:
+    return pa.table({"home": pa.array(home), "node": pa.array(node), "s": pack(x.astype(np.float32)), "d": pa.array(d.astype(np.float32))})
+
+
+def _matrix(col) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.float32).reshape(-1, DIMS).astype(float)
 
 
 def _seeded(x: np.ndarray, radius: float) -> np.ndarray:
@@ -62,21 +92,21 @@ def kmeans(embedded: DataFrame, radius: float = RADIUS, lloyd: int = 3) -> DataF
     n = embedded.count()
     want = max(1, -(-n // PART) * 4 if n > PART else 1)
     pick = embedded.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 2 * want / max(n, 1))) + 1).select("x").limit(4096).collect()
-    coarse = np.array([r.x for r in pick], dtype=float).reshape(-1, DIMS)
+    coarse = np.array([np.frombuffer(r.x, np.float32) for r in pick], dtype=float).reshape(-1, DIMS)
 
     def place(batches):
         for b in batches:
             if b.num_rows:
-                x = b.column(1).flatten().to_numpy().reshape(-1, DIMS)
+                x = _matrix(b.column(1))
                 part = _nearest(x, coarse) if len(coarse) > 1 else np.zeros(len(x), np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part)], ["node", "x", "part"])
 
-    placed = cut(embedded.select("node", "x").mapInArrow(place, "node bigint, x array<double>, part bigint"))
+    placed = cut(embedded.select("node", "x").mapInArrow(place, "node bigint, x binary, part bigint"))
     sizes = placed.groupBy("part").count().select("part", (F.floor(F.col("count") / PART) + 1).alias("salts"))
     salted = placed.join(sizes, "part").select("node", "x", (F.col("part") * 100000 + F.pmod(F.xxhash64("node"), F.col("salts"))).alias("part"))
 
     def run(t: pa.Table) -> pa.Table:
-        x = t.column("x").combine_chunks().flatten().to_numpy().reshape(-1, DIMS)
+        x = _matrix(t.column("x"))
         centres = _seeded(x, radius)
         for _ in range(lloyd):
             k = _nearest(x, centres)
@@ -88,15 +118,15 @@ def kmeans(embedded: DataFrame, radius: float = RADIUS, lloyd: int = 3) -> DataF
     return salted.groupBy("part").applyInArrow(run, "node bigint, part bigint, k bigint")
 
 
-def spectral_clusters(start: DataFrame, affinity: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(node, cluster, size, inner, typical): power iteration, k-means of the embedding, then an exact check against the affinities.
+def spectral_clusters(start: DataFrame, affinity: DataFrame, home, rounds: int = ROUNDS) -> DataFrame:
+    """(node, cluster, inner): power iteration, k-means of the embedding, then an exact check against the affinities.
 
     The check joins pieces that an affinity still links, as such members belong together by definition; ``cluster`` is the smallest node of the cluster.
-    ``inner`` is a member's summed affinity to its own cluster and ``typical`` its rank by it, from 1. Nodes without any affinity are left out;
+    ``inner`` is a member's summed affinity to its cluster, by which the most typical are found. Nodes without any affinity are left out;
     no affinities give an empty result.
     """
     linked = affinity.select("node").distinct()
-    embedded = cut(power_iteration(start.join(linked, "node"), affinity, rounds))
+    embedded = cut(power_iteration(start.join(linked, "node"), affinity, home, rounds))
     pieces = cut(kmeans(embedded).select("node", F.xxhash64("part", "k").alias("piece")))
     names = pieces.groupBy("piece").agg(F.min("node").alias("name"))
     named = cut(pieces.join(names, "piece").select("node", "name"))
@@ -118,22 +148,43 @@ def describe(clusters: DataFrame, top: int = 5) -> DataFrame:
 # --- vectors ---------------------------------------------------------------------------------------------------------------
 
 
-def vector_affinities(vectors: DataFrame, least: float, k: int = 6, tables: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(start, affinity) of distinct unit vectors: the k nearest of a cosine of least at least, and random projections to start from."""
-    cells = Cells(vectors, vectors.count(), tables)
-    near = merge_lists(cell_lists(cells.rows(vectors), k, least), 2 * k)
+UNSURE = 0.005  # about the threshold, where 8-bit vectors do not decide
+
+
+def vector_affinities(vectors: DataFrame, least: float, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(affinity (node, other, w), both ways round, keyed vectors): for each vector its nearest, of a cosine of least at least. Where the 8-bit vectors leave that open, the 16-bit ones decide."""
+    cells = Cells(vectors, vectors.count())
+    keyed = cells.keyed(vectors)
+    near = merge_lists(cell_lists(cells.rows(keyed, True), k, least - UNSURE, True), k)
     one = cut(near.select("h", F.explode(F.arrays_zip("nbr", "sim")).alias("e")).select("h", F.col("e.nbr").alias("m"), F.col("e.sim").cast("double").alias("w")))
-    affinity = one.union(one.select(F.col("m"), F.col("h"), "w")).toDF("node", "other", "w").groupBy("node", "other").agg(F.max("w").alias("w"))
+    a, b = keyed.select("h", F.col("v").alias("va")), keyed.select(F.col("h").alias("m"), F.col("v").alias("vb"))
+
+    def cosines(batches):
+        for t in batches:
+            if t.num_rows:
+                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(np.einsum("ij,ij->i", unpack(t.column(2)), unpack(t.column(3))).astype(float))], ["h", "m", "w"])
 
-    def project(batches):
+    unsure = one.where(F.col("w") < least + UNSURE)
+    if not unsure.isEmpty():
+        again = unsure.join(a, "h").join(b, "m").select("h", "m", "va", "vb").mapInArrow(cosines, "h bigint, m bigint, w double").where(F.col("w") >= least)
+        one = cut(one.where(F.col("w") >= least + UNSURE).union(again))
+    pair = one.groupBy(F.least("h", "m").alias("a"), F.greatest("h", "m").alias("b")).agg(F.max("w").alias("w"))
+    both = pair.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other"), "w"), F.struct(F.col("b").alias("node"), F.col("a").alias("other"), "w"))).alias("e"))
+    return cut(both.select("e.*")), keyed
+
+
+def projected(keyed: DataFrame) -> DataFrame:
+    """(node, x): DIMS random projections of each vector, to start from."""
+
+    def run(batches):
         axes = None
         for b in batches:
             if b.num_rows:
                 x = unpack(b.column(1))
                 axes = np.random.default_rng(11).standard_normal((x.shape[1], DIMS)) if axes is None else axes
-                yield pa.RecordBatch.from_arrays([b.column(0), lists((x @ axes).ravel(), np.full(len(x), DIMS))], ["node", "x"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pack((x @ axes).astype(np.float32))], ["node", "x"])
 
-    return vectors.mapInArrow(project, "node bigint, x array<double>"), cut(affinity)
+    return keyed.select("h", "v").mapInArrow(run, "node bigint, x binary")
 
 
 def vector_clusters(df: DataFrame, key: str, vec_col: str, least: float = 0.70, dim: int = 128) -> DataFrame:
@@ -142,9 +193,10 @@ def vector_clusters(df: DataFrame, key: str, vec_col: str, least: float = 0.70,
     Unusable vectors (null, empty, zero, non-finite, of another length) belong to none. Copies of a vector are one node with all its copies as members.
     """
     vectors, members = classes(unit_vectors(df, key, vec_col, dim))
-    start, affinity = vector_affinities(vectors, least)
-    found = spectral_clusters(start, affinity)
-    joined = members.join(found.withColumnRenamed("node", "h"), "h", "left").select("id", F.coalesce("cluster", "h").alias("c"), F.coalesce("inner", F.lit(0.0)).alias("inner"))
+    affinity, keyed = vector_affinities(vectors, least)
+    found = spectral_clusters(projected(keyed), affinity, lambda c: F.shiftright(F.col(c), 40))
+    named = keyed.select("hash", F.col("h").alias("node")).join(found, "node").select(F.col("hash").alias("h"), "cluster", "inner")
+    joined = members.join(named, "h", "left").select("id", F.coalesce("cluster", "h").alias("c"), F.coalesce("inner", F.lit(0.0)).alias("inner"))
     return _smallest(joined)
 
 
@@ -223,8 +275,16 @@ def label_clusters(df: DataFrame, key: str, label_col: str, shared: int = 3) ->
     one = combos.join(first, "combo").where("h <> other").groupBy("h", "other").agg(F.count("*").cast("double").alias("w"))
     affinity = cut(one.union(one.select("other", "h", "w")).toDF("node", "other", "w"))
     gauss = [_label_axis(F.col("roots"), i) for i in range(DIMS)]
-    start = nodes.select(F.col("h").alias("node"), F.array(*gauss).alias("x"))
-    found = spectral_clusters(start, affinity)
+
+    def packed(batches):
+        for b in batches:
+            if b.num_rows:
+                x = np.stack([c.to_numpy() for c in b.columns[1:]], axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0), pack(x.astype(np.float32))], ["node", "x"])
+
+    start = nodes.select(F.col("h").alias("node"), *[g.alias(f"x{i}") for i, g in enumerate(gauss)]).mapInArrow(packed, "node bigint, x binary")
+    homes = max(1, -(-nodes.count() // HOME))
+    found = spectral_clusters(start, affinity, lambda c: F.pmod(F.xxhash64(c), F.lit(homes)))
     return _smallest(sets.select("id", "h").join(found.withColumnRenamed("node", "h"), "h", "left").select("id", F.coalesce("cluster", "h").alias("c"), F.coalesce("inner", F.lit(0.0)).alias("inner")))
 
 
