@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, table
@@ -15,10 +15,10 @@ from .neighbours import coarse, unpack_coarse
 
 DIMS = 256  # of the random projection of a document's tf-idf vector
 RARE, COMMON = 0.0002, 0.2  # shares of the documents, and of those of any one language, that a term occurs in, at least and at most
-LEAVES = 256
+LEAVES = 192
 LEAST_LEAF = 12  # documents
 SAMPLE = 8192  # documents that seed the halves of a leaf; every document then moves the centres
-LABELLED = 20000  # labelled documents that leaves are named by, at most
+LABELLED = 20000  # labelled documents that leaves are named by, about, if there are more
 SHARE = 0.2
 
 _FRONT = re.compile(r"\A﻿?\s*---[^\S\n]*\n.*?\n---[^\S\n]*(?:\n|\Z)", re.S)
@@ -230,7 +230,10 @@ def bisecting_kmeans(docs: DataFrame, leaves: int = LEAVES, least: int = LEAST_L
     """
     sc = docs.sparkSession.sparkContext
     vectors = docs.select("v").where("v is not null")
-    sample = unpack_coarse(docs.where("v is not null").orderBy(F.xxhash64("doc_id")).limit(SAMPLE).select("v").toArrow().column(0).combine_chunks())
+    # thinned by hash to about the sample's size before the driver sees any of it
+    share = int((1 << 30) * min(1.0, SAMPLE / max(1, docs.count())))
+    got = docs.where(F.col("v").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)).select("v").limit(2 * SAMPLE).toArrow()
+    sample = unpack_coarse(got.column(0)) if got.num_rows else np.zeros((0, DIMS), np.float32)
     tree, rng = Tree(), np.random.default_rng(3)
 
     def passed(tree: Tree) -> dict[int, tuple[int, np.ndarray]]:
@@ -300,14 +303,9 @@ def leaf_terms(docs: DataFrame, tree: Tree, vocab: np.ndarray) -> DataFrame:
     return docs.where("v is not null").select("codes", "v").mapInArrow(run, "code bigint, leaf int, n bigint").groupBy("code", "leaf").agg(F.sum("n").alias("n"))
 
 
-def label_leaves(counts, sizes: dict[int, int], subjects: list[tuple[str, str]], labelled: list[tuple[set[int], list[str]]], top: int = 60) -> dict[int, np.ndarray]:
-    """{leaf: weight of each subject}: the leaf's discriminative terms vote, each by the labels of the labelled documents that have it and by the subjects' descriptions.
-
-    A leaf whose best subject does not stand out stays without a name (all weights 0).
-    """
+def term_votes(subjects: list[tuple[str, str]], labelled: list[tuple[set[int], list[str]]]) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """({term: weight of each subject}, prior): a labelled document votes with each of its terms for its subjects; a subject's description counts as two documents."""
     names = [s for s, _ in subjects]
-    code, leaf, n = counts
-    total = sum(sizes.values())
     votes: dict[int, np.ndarray] = {}
     base = np.ones(len(names))
     for terms, subs in labelled:
@@ -319,47 +317,50 @@ def label_leaves(counts, sizes: dict[int, int], subjects: list[tuple[str, str]],
     for i, (name, descr) in enumerate(subjects):
         for w in set(_WORD.findall(f"{name} {descr}".lower())):
             votes.setdefault(zlib.crc32(w.encode()), np.zeros(len(names)))[i] += 2.0
-    prior = base / base.sum()
-    df: dict[int, float] = {}
-    for c, m in zip(code, n):
-        df[int(c)] = df.get(int(c), 0) + int(m)
+    return votes, base / base.sum()
+
+
+def label_leaves(counts: DataFrame, sizes: dict[int, int], votes: dict[int, np.ndarray], prior: np.ndarray, top: int = 60) -> dict[int, np.ndarray]:
+    """{leaf: weight of each subject}: the leaf's discriminative terms vote. A leaf for which none speaks stays without a name (all weights 0).
+
+    ``counts`` is (code, leaf, n); the terms are ranked where they are, and only the top ones of each leaf reach the driver.
+    """
+    spark = counts.sparkSession
+    total = sum(sizes.values())
+    size = spark.createDataFrame([(int(k), int(n)) for k, n in sizes.items()], "leaf int, size bigint")
+    whole = counts.groupBy("code").agg(F.sum("n").alias("whole"))
+    lift = F.log((F.col("n") + 0.5) / (F.col("size") + 1)) - F.log((F.col("whole") + 0.5) / (total + 1))
+    gain = counts.join(whole, "code").join(F.broadcast(size), "leaf").select("leaf", "code", (F.col("n") * lift).alias("gain")).where("gain > 0")  # sizes has a row per leaf
+    best = gain.withColumn("r", F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("gain"), "code"))).where(F.col("r") <= top)
+    scores: dict[int, np.ndarray] = {k: np.zeros(len(prior)) for k in sizes}
+    for r in best.collect():
+        v = votes.get(int(r.code))
+        if v is not None:
+            scores[r.leaf] += r.gain * np.log((v + 2 * prior) / (v.sum() + 2) / prior) * (v.sum() / (v.sum() + 2))
     out = {}
-    for k, size in sizes.items():
-        mine = leaf == k
-        c, m = code[mine].astype(np.int64), n[mine].astype(float)
-        whole = np.array([df[int(x)] for x in c])
-        lift = np.log((m + 0.5) / (size + 1)) - np.log((whole + 0.5) / (total + 1))
-        gain = m * np.maximum(lift, 0)
-        best = np.argsort(-gain, kind="stable")[:top]
-        score = np.zeros(len(names))
-        for j in best:
-            v = votes.get(int(c[j]))
-            if v is not None and gain[j] > 0:
-                p = (v + 2 * prior) / (v.sum() + 2)
-                score += gain[j] * np.log(p / prior) * (v.sum() / (v.sum() + 2))
-        out[k] = score
-    for k, s in out.items():
-        s = s / max(1e-9, np.abs(s).max())
-        e = np.exp(6 * (s - s.max()))
-        out[k] = e / e.sum() if s.max() > 0 and len(names) > 1 else np.zeros(len(names)) if s.max() <= 0 else np.ones(1)
+    for k, score in scores.items():
+        w = np.exp(6 * (score - score.max()) / max(np.abs(score).max(), 1e-9))
+        out[k] = w / w.sum() if score.max() > 0 else np.zeros(len(prior))
     return out
 
 
-def term_subjects(counts, sizes: dict[int, int], mixture: dict[int, np.ndarray], n_subjects: int, least: float = 0.45, support: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, subject, weight) of the terms that tell a subject: their leaves' mixtures, set against how large the subjects are, favour one."""
-    code, leaf, n = counts
-    if not len(code):
+def term_subjects(counts: DataFrame, sizes: dict[int, int], mixture: dict[int, np.ndarray], votes: dict[int, np.ndarray], least: float = 0.45, support: int = 3, trust: float = 2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, subject, weight) of the terms that tell a subject: the mixture of the leaves they occur in, corrected by the labelled documents they occur in, favours one beyond its size."""
+    n_subjects = len(next(iter(mixture.values())))
+    rows = [(int(k), *[float(x) for x in m]) for k, m in mixture.items()]
+    mixed = counts.sparkSession.createDataFrame(rows, "leaf int, " + ", ".join(f"m{i} double" for i in range(n_subjects)))
+    # the mixture has a row per leaf
+    sums = counts.join(F.broadcast(mixed), "leaf").groupBy("code").agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(f"m{i}")).alias(f"s{i}") for i in range(n_subjects)]).toArrow()
+    if not sums.num_rows:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0)
-    u, inv = np.unique(code, return_inverse=True)
-    ks = sorted(mixture)
-    m = np.stack([mixture[k] for k in ks])
-    at = np.searchsorted(ks, leaf)
-    share = np.zeros((len(u), n_subjects))
-    np.add.at(share, inv, m[at] * n[:, None])
-    total = np.bincount(inv, n, minlength=len(u))
-    prior = (m * np.array([sizes[k] for k in ks])[:, None]).sum(axis=0)
-    prior /= max(1e-9, prior.sum())
-    p = share / total[:, None]
+    order = np.argsort(sums.column("code").to_numpy())
+    u, total = sums.column("code").to_numpy()[order], sums.column("n").to_numpy()[order]
+    share = np.stack([sums.column(f"s{i}").to_numpy()[order] for i in range(n_subjects)], axis=1)
+    prior = sum(m * sizes[k] for k, m in mixture.items())
+    prior = prior / max(1e-9, prior.sum())
+    seen = np.stack([votes.get(int(c), np.zeros(n_subjects)) for c in u])
+    told = trust * share / total[:, None]  # leaves without a name tell nothing, then the labels alone speak
+    p = (told + seen + prior) / (told.sum(axis=1) + seen.sum(axis=1) + 1)[:, None]
     best = p.argmax(axis=1)
     top = p[np.arange(len(u)), best]
     weight = np.log(np.maximum(top, 1e-9) / np.maximum(prior[best], 1e-9))
@@ -452,14 +453,14 @@ def subjects_of(df: DataFrame, areas: DataFrame, labels: DataFrame, key: str = "
         return df.sparkSession.createDataFrame([], schema)
     docs = cut(embed_docs(terms, vocab, np.log(n_docs / dfs)))
     tree, sizes = bisecting_kmeans(docs, min(leaves, max(2, n_docs // (2 * LEAST_LEAF))))
-    got = leaf_terms(docs, tree, vocab).toArrow()
-    counts = tuple(got.column(i).to_numpy() for i in range(3))
+    counts = cut(leaf_terms(docs, tree, vocab))
     marks = labels.select(F.col(key).cast("long").alias("doc_id"), "subject").dropna().distinct().groupBy("doc_id").agg(F.collect_list("subject").alias("s"))
-    known = docs.select("doc_id", "codes").join(marks, "doc_id").orderBy(F.xxhash64("doc_id")).limit(LABELLED).select("codes", "s").toArrow()
+    part = int((1 << 30) * min(1.0, LABELLED / max(1, marks.count())))
+    known = docs.select("doc_id", "codes").join(marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < part), "doc_id").select("codes", "s").limit(2 * LABELLED).toArrow()
     in_vocab = set(vocab.tolist())
     labelled = [(set(np.frombuffer(c, np.uint32).tolist()) & in_vocab, s) for c, s in zip(known.column(0).to_pylist(), known.column(1).to_pylist())]
-    mixture = label_leaves(counts, sizes, subjects, labelled)
-    words = term_subjects(counts, sizes, mixture, len(subjects))
+    votes, prior = term_votes(subjects, labelled)
+    words = term_subjects(counts, sizes, label_leaves(counts, sizes, votes, prior), votes)
     for _ in range(2):
         words = refine(docs, words, len(subjects), vocab)
     shared = df.sparkSession.sparkContext.broadcast((words, [s for s, _ in subjects]))
