@@ -45,7 +45,7 @@ def moments(df: DataFrame, vec: str, unit: bool = True, shuffles: int = 0, key:
                 sums[r] = (n, s, c) if sums[r] is None else tuple(p + q for p, q in zip(sums[r], (n, s, c)))
         for r, got in enumerate(sums):
             if got is not None:
-                yield pa.RecordBatch.from_pydict({"r": [r], "n": [got[0]], "s": [list(got[1])], "c": [list(got[2].ravel())]})
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([got[0]], pa.int64()), pa.array([list(got[1])]), pa.array([got[2].ravel()])], ["r", "n", "s", "c"])
 
     part = df.where(F.col(vec).isNotNull() & (F.size(vec) > 0)).select(vec).mapInArrow(run, "r int, n bigint, s array<double>, c array<double>")
 
@@ -163,7 +163,7 @@ def bisect(df: DataFrame, vec: str, kmax: int, floor: int = REGION_FLOOR, rounds
     that replaying a prefix gives the best-first partition. A region of identical vectors cannot be halved and is left as it is. Only sums per
     region reach the driver, and a bounded sample that seeds the halves.
     """
-    base = df.where(F.col(vec).isNotNull() & (F.size(vec) > 0)).select(vec)
+    base = cut(df.where(F.col(vec).isNotNull() & (F.size(vec) > 0)).select(vec))
     spark, splits = df.sparkSession, Splits()
     got = base.withColumn("_h", F.xxhash64(F.col(vec).cast("string"))).orderBy("_h").limit(sample).select(vec).toArrow().column(0).combine_chunks()
     s = _matrix(got, True) if len(got) else np.zeros((0, 1))
@@ -187,8 +187,11 @@ def bisect(df: DataFrame, vec: str, kmax: int, floor: int = REGION_FLOOR, rounds
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([list(v[1]) for v in sums.values()], pa.list_(pa.float64()))], ["k", "n", "s"])
 
         each = base.mapInArrow(run, "k bigint, n bigint, s array<double>")
-        d = s.shape[1]
-        total = each.groupBy("k").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(d)]).alias("s")).collect()
+
+        def add(t: pa.Table) -> pa.Table:
+            return pa.table({"k": t.column("k").slice(0, 1), "n": pa.array([int(np.sum(t.column("n").to_numpy()))]), "s": pa.array([np.stack(t.column("s").to_numpy()).sum(0)], pa.list_(pa.float64()))})
+
+        total = each.groupBy("k").applyInArrow(lambda t: add(t), "k bigint, n bigint, s array<double>").collect()
         return {r.k: (r.n, np.array(r.s)) for r in total}
 
     sizes, done, fresh = passed(), set(), 1
@@ -307,16 +310,41 @@ def layout(df: DataFrame, key: str, vec: str, knn: DataFrame, dims: int = 2, rou
 
 def mean_difference(df: DataFrame, key: str, vec: str, selected: DataFrame) -> np.ndarray | None:
     """The unit direction from the rest's mean to the selection's, of unit rows; None if either is empty or they coincide."""
-    from ..functions.vector import unit
-
-    u = df.where(F.col(vec).isNotNull() & (F.size(vec) > 0)).select(key, unit(F.col(vec)).alias("v")).join(selected.select(key, F.lit(True).alias("sel")).distinct(), key, "left")
-    got = u.select(F.col("sel").isNotNull().alias("sel"), F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg(F.when(F.col("sel"), F.col("x"))).alias("a"), F.avg(F.when(~F.col("sel"), F.col("x"))).alias("b")).orderBy("i").collect()
-    if not got or got[0].a is None or got[0].b is None:
+    flagged = df.where(F.col(vec).isNotNull() & (F.size(vec) > 0)).select(key, vec).join(selected.select(key, F.lit(True).alias("sel")).distinct(), key, "left")
+    means = {r.g: np.array(r.mean) for r in vector_means(flagged.select(F.col("sel").isNotNull().alias("g"), vec), "g", vec).collect()}
+    if True not in means or False not in means:
         return None
-    d = np.array([r.a - r.b for r in got])
+    d = means[True] - means[False]
     return d / n if (n := np.linalg.norm(d)) > 1e-9 else None
 
 
+def vector_means(df: DataFrame, group: str, vec: str, unit: bool = True) -> DataFrame:
+    """(group, n, mean): the mean vector of each group; a task sends one sum per group that it has."""
+
+    def run(batches):
+        sums: dict = {}
+        for b in batches:
+            if b.num_rows:
+                g, x = np.array(b.column(0).to_pylist(), dtype=object), _matrix(b.column(1), unit)
+                for k in set(g.tolist()):
+                    m = x[[i for i, v in enumerate(g) if v == k]] if k is not None else x[[i for i, v in enumerate(g) if v is None]]
+                    acc = sums.setdefault(k, [0, 0.0])
+                    acc[0] += len(m)
+                    acc[1] = acc[1] + m.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), kind_arrow), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.list_(pa.float64()))], [group, "n", "s"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind, kind_arrow = dict(df.dtypes)[group], to_arrow_type(df.schema[group].dataType)
+    part = df.where(F.col(vec).isNotNull() & (F.size(vec) > 0)).select(group, vec).mapInArrow(run, f"`{group}` {kind}, n bigint, s array<double>")
+
+    def add(t: pa.Table) -> pa.Table:
+        n = int(np.sum(t.column("n").to_numpy()))
+        return pa.table({group: t.column(group).slice(0, 1), "n": pa.array([n]), "mean": pa.array([np.stack(t.column("s").to_numpy()).sum(0) / n], pa.list_(pa.float64()))})
+
+    return part.groupBy(group).applyInArrow(lambda t: add(t), f"`{group}` {kind}, n bigint, mean array<double>")
+
+
 def similarity_to(df: DataFrame, key: str, vec: str, query: np.ndarray) -> DataFrame:
     """(key, sim): the cosine of every vector with a query vector."""
     from ..functions.vector import cosine

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..session import partitions
 
 
-def ordinal(df: DataFrame, value: str, tie: str, by: list[str] | None = None, out: str = "r") -> DataFrame:
-    """Adds the 0-based rank of ``value`` (ascending, ties by ``tie``) within the groups ``by``, and ``n``, the group's size.
+def ordinal(df: DataFrame, value: str, tie: str, by: list[str] | None = None, out: str = "_r", size: str = "_n") -> DataFrame:
+    """Adds the 0-based rank of ``value`` (ascending, ties by ``tie``) within the groups ``by``, and the group's size, as ``_r`` and ``_n`` unless named otherwise.
 
     Rows are bucketed by approximate quantiles of the value, the rank is the bucket's offset plus the place in it: no group is sorted by one
     task, however large. Null values must be filtered out before.
@@ -26,7 +26,7 @@ def ordinal(df: DataFrame, value: str, tie: str, by: list[str] | None = None, ou
     placed = joined.withColumn("_b", bucket).drop("_cuts")
     sizes = placed.groupBy(*by, "_b").agg(F.count("*").alias("_m"))
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    offsets = sizes.withColumn("_before", F.sum("_m").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_m")).withColumn("n", F.sum("_m").over(w)).drop("_m")
+    offsets = sizes.withColumn("_before", F.sum("_m").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_m")).withColumn(size, F.sum("_m").over(w)).drop("_m")
     inner = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(value, tie))
     return placed.join(offsets, [*by, "_b"]).withColumn(out, (F.col("_before") + inner - 1).cast("long")).drop("_b", "_before")
 
@@ -34,12 +34,12 @@ def ordinal(df: DataFrame, value: str, tie: str, by: list[str] | None = None, ou
 def rank_scores(df: DataFrame, value: str, tie: str, by: list[str] | None = None) -> DataFrame:
     """Adds ``score``: round(100 r / (n - 1)), r the ordinal rank; 50 for a single row."""
     r = ordinal(df, value, tie, by)
-    return r.withColumn("score", F.when(F.col("n") == 1, 50).otherwise(F.round(100.0 * F.col("r") / (F.col("n") - 1)).cast("int"))).drop("r", "n")
+    return r.withColumn("score", F.when(F.col("_n") == 1, 50).otherwise(F.round(100.0 * F.col("_r") / (F.col("_n") - 1)).cast("int"))).drop("_r", "_n")
 
 
 def rank100(df: DataFrame, value: str, tie: str, invert: bool = False) -> DataFrame:
     """Adds ``score``, unrounded, over the rows that have the value; the others, and an only one, get 50."""
-    have = ordinal(df.where(F.col(value).isNotNull()), value, tie).withColumn("score", F.when(F.col("n") == 1, 50.0).otherwise(100.0 * F.col("r") / (F.col("n") - 1))).drop("r", "n")
+    have = ordinal(df.where(F.col(value).isNotNull()), value, tie).withColumn("score", F.when(F.col("_n") == 1, 50.0).otherwise(100.0 * F.col("_r") / (F.col("_n") - 1))).drop("_r", "_n")
     out = have.unionByName(df.where(F.col(value).isNull()).withColumn("score", F.lit(50.0)))
     return out.withColumn("score", 100.0 - F.col("score")) if invert else out
 
@@ -53,19 +53,19 @@ def min_max100(df: DataFrame, value: str, invert: bool = False) -> DataFrame:
 
 
 def at_rank(df: DataFrame, value: str, place: Column, by: list[str] | None = None, tie: str | None = None, out: str = "v") -> DataFrame:
-    """(by, out): the value at the 0-based place ``place``, an expression over n, of each group's ascending order."""
+    """(by, out): the value at the 0-based place ``place``, an expression over ``_n``, of each group's ascending order."""
     r = ordinal(df.where(F.col(value).isNotNull()), value, tie or value, by)
-    return r.where(F.col("r") == place).select(*(by or []), F.col(value).alias(out))
+    return r.where(F.col("_r") == place).select(*(by or []), F.col(value).alias(out))
 
 
 def upper_median(df: DataFrame, value: str, by: list[str] | None = None, out: str = "median") -> DataFrame:
     """The element at n >> 1 of the ascending order: no interpolation, the upper one of an even count."""
-    return at_rank(df, value, F.floor(F.col("n") / 2), by, out=out)
+    return at_rank(df, value, F.floor(F.col("_n") / 2), by, out=out)
 
 
 def percentile(df: DataFrame, value: str, p: float, by: list[str] | None = None, out: str = "q") -> DataFrame:
     """The element at floor(p (n - 1)) of the ascending order."""
-    return at_rank(df, value, F.floor(F.lit(p) * (F.col("n") - 1)), by, out=out)
+    return at_rank(df, value, F.floor(F.lit(p) * (F.col("_n") - 1)), by, out=out)
 
 
 def band(df: DataFrame, value: str, lo: float = 0.02, hi: float = 0.98) -> DataFrame:

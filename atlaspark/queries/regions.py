@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.knn import distance, exact_knn, recall
+from ..operators.linear import vector_means
 from ..operators.rank import rank_scores
 from ..operators.regions import agreement, centroids, distinctive_axes, distinctive_terms, drill, fallback_label, hubs, hues, member_set_key, redundancy, term_counts, trajectory
 from ..session import once, table
@@ -178,7 +179,8 @@ def ghost_placement(spark, sf_dir):
 
 
 def mean_vector(spark, sf_dir):
-    return cards(spark, sf_dir).select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+    m = vector_means(cards(spark, sf_dir).select(F.lit(0).alias("g"), "vec"), "g", "vec", unit=False)
+    return m.select(F.posexplode("mean").alias("i", "x")).select("i", F.round("x", 6).alias("mean"))
 
 
 def semantic_query(spark, sf_dir):
@@ -192,11 +194,9 @@ def semantic_query(spark, sf_dir):
 
 def derived_direction(spark, sf_dir):
     """Per dimension the mean of a selection's unit vectors less the mean of the rest's."""
-    from ..functions.vector import unit
-
-    c = cards(spark, sf_dir).select("node_id", F.posexplode(unit(F.col("vec"))).alias("i", "x"))
-    sel = F.col("node_id") % 5 == 0
-    return c.groupBy("i").agg(F.round(F.avg(F.when(sel, F.col("x"))) - F.avg(F.when(~sel, F.col("x"))), 6).alias("d"))
+    m = vector_means(cards(spark, sf_dir).select((F.col("node_id") % 5 == 0).alias("g"), "vec"), "g", "vec")
+    e = m.select("g", F.posexplode("mean").alias("i", "x"))
+    return e.groupBy("i").agg(F.round(F.sum(F.when(F.col("g"), F.col("x"))) - F.sum(F.when(~F.col("g"), F.col("x"))), 6).alias("d"))
 
 
 def term_document_counts(spark, sf_dir):

@@ -97,8 +97,8 @@ def decile_poles(spark, sf_dir):
     """Mean position of the lowest and highest tenth of the nodes by the first coordinate."""
     from ..operators.rank import ordinal
 
-    r = ordinal(_points(spark, sf_dir), "x", "node_id").withColumn("k", F.greatest(F.lit(1), F.floor(F.col("n") / 10)))
-    end = r.withColumn("pole", F.when(F.col("r") < F.col("k"), "low").when(F.col("r") >= F.col("n") - F.col("k"), "high")).where("pole is not null")
+    r = ordinal(_points(spark, sf_dir), "x", "node_id").withColumn("k", F.greatest(F.lit(1), F.floor(F.col("_n") / 10)))
+    end = r.withColumn("pole", F.when(F.col("_r") < F.col("k"), "low").when(F.col("_r") >= F.col("_n") - F.col("k"), "high")).where("pole is not null")
     return end.groupBy("pole").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("x"), F.round(F.avg("y"), 6).alias("y"))
 
 
