@@ -369,6 +369,51 @@ def neighbour_pairs(df: DataFrame, key: str, vec_col: str, k: int, least: float,
     return each.select(F.least("id", "other").alias("a_id"), F.greatest("id", "other").alias("b_id")).distinct()
 
 
+def graph_search(df: DataFrame, key: str, vec_col: str, queries, k: int = 8, dim: int = 128, beam: int = 24, step: int = 6, rounds: int = 12, least: float = 0.0) -> DataFrame:
+    """(query, id, sim): greedy search over the neighbour graph of all rows for the rows that the condition ``queries`` picks, the query itself left out.
+
+    A search enters at some nodes of its query's home cell, and at each round looks at the neighbours of its ``step`` best nodes not yet expanded, keeping
+    the ``beam`` best seen; it ends when those have all been expanded. Every round is two joins, on node, of what the searches ask for. Copies answer for each other up to k.
+    """
+    vectors, members = classes(unit_vectors(df, key, vec_col, dim))
+    graph, keyed = neighbour_graph(vectors, k + 2, least)
+    keyed = cut(keyed)
+    members = cut(members.join(keyed.select(F.col("h").alias("key"), F.col("hash").alias("h")), "h").select("id", F.col("key").alias("h")))
+    wanted = df.where(queries).select(F.col(key).cast("long").alias("id")).distinct().join(members, "id")
+    asked = cut(wanted.select("h").distinct().join(keyed, "h").select(F.col("h").alias("q"), F.col("v").alias("qv")))
+    links = graph.select("h", "nbr")
+    # entry points: some nodes of the query's own cell, by hash
+    homes = keyed.select("h", home_of("h").alias("home"))
+    doors = homes.withColumn("r", F.row_number().over(Window.partitionBy("home").orderBy(F.xxhash64("h")))).where(F.col("r") <= beam).select("home", F.col("h").alias("n"))
+    frontier = asked.select("q", home_of("q").alias("home")).join(doors, "home").select("q", "n").where("q <> n")
+    seen = None
+
+    def compare(batches):
+        for b in batches:
+            if b.num_rows:
+                sim = np.einsum("ij,ij->i", unpack(b.column(2)), unpack(b.column(3)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim)], ["q", "n", "sim"])
+
+    for _ in range(rounds):
+        met = frontier.join(keyed.select(F.col("h").alias("n"), "v"), "n").join(asked, "q").select("q", "n", "v", "qv").mapInArrow(compare, "q bigint, n bigint, sim float").withColumn("open", F.lit(True))
+        pool = met if seen is None else seen.unionByName(met)
+        place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "n"))
+        pool = cut(pool.withColumn("r", place).where(F.col("r") <= beam).drop("r"))
+        turn = F.row_number().over(Window.partitionBy("q", "open").orderBy(F.desc("sim"), "n"))
+        marked = cut(pool.withColumn("now", F.col("open") & (turn <= step)))
+        if marked.where("now").isEmpty():
+            seen = marked.drop("now")
+            break
+        seen = marked.select("q", "n", "sim", (F.col("open") & ~F.col("now")).alias("open"))
+        asking = marked.where("now").select("q", F.col("n").alias("h")).join(links, "h").select("q", F.explode("nbr").alias("n")).where("q <> n").distinct()
+        frontier = asking.join(seen.select("q", "n"), ["q", "n"], "left_anti")
+    firsts = members.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("r") <= k + 1).select(F.col("h").alias("n"), "id")
+    self_ = asked.select("q", F.col("q").alias("n"), F.lit(1.0).cast("float").alias("sim"))
+    answers = seen.select("q", "n", "sim").union(self_).join(firsts, "n").select(F.col("q").alias("h"), "id", "sim")
+    out = wanted.withColumnRenamed("id", "query").join(answers, "h").where("query <> id")
+    return out.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "id"))).where(F.col("r") <= k).select("query", "id", "sim")
+
+
 def card_vectors(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "vectors").where("basis = 'card'").select("node_id", "vec")
 
@@ -377,5 +422,10 @@ def p4_found(spark, sf_dir):
     return neighbour_pairs(card_vectors(spark, sf_dir), "node_id", "vec", k=8, least=0.70)
 
 
-QUERIES = {"p4_found": p4_found}
+def p4_search(spark, sf_dir):
+    """The 8 most similar nodes of every node whose id is divisible by 50, by greedy search over the graph of all nodes."""
+    return graph_search(card_vectors(spark, sf_dir), "node_id", "vec", F.col("node_id") % 50 == 0)
+
+
+QUERIES = {"p4_found": p4_found, "p4_search": p4_search}
 ORACLE: dict[str, str] = {}

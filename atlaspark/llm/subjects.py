@@ -254,9 +254,11 @@ def bisecting_kmeans(docs: DataFrame, leaves: int = LEAVES, least: int = LEAST_L
             yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array([sums[k][0] for k in ks], pa.int64()), pa.array([list(sums[k][1]) for k in ks], pa.list_(pa.float64()))], ["leaf", "n", "s"])
 
         each = vectors.mapInArrow(run, "leaf bigint, n bigint, s array<double>")
-        total = each.groupBy("leaf").agg(F.sum("n").alias("n"), *[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(DIMS)]).toArrow()
-        cols = [c.to_numpy() for c in total.columns]
-        return {int(k): (int(n), s) for k, n, s in zip(cols[0], cols[1], np.stack(cols[2:], axis=1))} if total.num_rows else {}
+
+        def add(t: pa.Table) -> pa.Table:
+            return pa.table({"leaf": t.column("leaf").slice(0, 1), "n": pa.array([int(np.sum(t.column("n").to_numpy()))]), "s": pa.array([np.stack(t.column("s").to_numpy()).sum(axis=0)], pa.list_(pa.float64()))})
+
+        return {r.leaf: (r.n, np.array(r.s)) for r in each.groupBy("leaf").applyInArrow(lambda t: add(t), "leaf bigint, n bigint, s array<double>").collect()}
 
     sizes = passed(tree)
     while sizes and len(sizes) < leaves:
