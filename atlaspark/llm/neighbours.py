@@ -372,7 +372,7 @@ def neighbour_pairs(df: DataFrame, key: str, vec_col: str, k: int, least: float,
 def graph_search(df: DataFrame, key: str, vec_col: str, queries, k: int = 8, dim: int = 128, beam: int = 24, step: int = 6, rounds: int = 12, least: float = 0.0) -> DataFrame:
     """(query, id, sim): greedy search over the neighbour graph of all rows for the rows that the condition ``queries`` picks, the query itself left out.
 
-    A search enters at some nodes of its query's home cell, and at each round looks at the neighbours of its ``step`` best nodes not yet expanded, keeping
+    A search enters at the query's own node and at some nodes of its home cell, and at each round looks at the neighbours of its ``step`` best nodes not yet expanded, keeping
     the ``beam`` best seen; it ends when those have all been expanded. Every round is two joins, on node, of what the searches ask for. Copies answer for each other up to k.
     """
     vectors, members = classes(unit_vectors(df, key, vec_col, dim))
@@ -385,7 +385,8 @@ def graph_search(df: DataFrame, key: str, vec_col: str, queries, k: int = 8, dim
     # entry points: some nodes of the query's own cell, by hash
     homes = keyed.select("h", home_of("h").alias("home"))
     doors = homes.withColumn("r", F.row_number().over(Window.partitionBy("home").orderBy(F.xxhash64("h")))).where(F.col("r") <= beam).select("home", F.col("h").alias("n"))
-    frontier = asked.select("q", home_of("q").alias("home")).join(doors, "home").select("q", "n").where("q <> n")
+    own = asked.select("q", F.col("q").alias("h")).join(links, "h").select("q", F.explode("nbr").alias("n"))
+    frontier = asked.select("q", home_of("q").alias("home")).join(doors, "home").select("q", "n").union(own).where("q <> n").distinct()
     seen = None
 
     def compare(batches):
@@ -411,6 +412,7 @@ def graph_search(df: DataFrame, key: str, vec_col: str, queries, k: int = 8, dim
     self_ = asked.select("q", F.col("q").alias("n"), F.lit(1.0).cast("float").alias("sim"))
     answers = seen.select("q", "n", "sim").union(self_).join(firsts, "n").select(F.col("q").alias("h"), "id", "sim")
     out = wanted.withColumnRenamed("id", "query").join(answers, "h").where("query <> id")
+    out = out.where(F.col("sim") >= least)
     return out.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "id"))).where(F.col("r") <= k).select("query", "id", "sim")
 
 
@@ -423,8 +425,8 @@ def p4_found(spark, sf_dir):
 
 
 def p4_search(spark, sf_dir):
-    """The 8 most similar nodes of every node whose id is divisible by 50, by greedy search over the graph of all nodes."""
-    return graph_search(card_vectors(spark, sf_dir), "node_id", "vec", F.col("node_id") % 50 == 0)
+    """The 8 most similar nodes, of a cosine of 0.70 at least, of every node whose id is divisible by 50, by greedy search over the graph of all nodes."""
+    return graph_search(card_vectors(spark, sf_dir), "node_id", "vec", F.col("node_id") % 50 == 0, least=0.70)
 
 
 QUERIES = {"p4_found": p4_found, "p4_search": p4_search}
