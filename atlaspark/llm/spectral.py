@@ -153,7 +153,7 @@ UNSURE = 0.005  # about the threshold, where 8-bit vectors do not decide
 
 def vector_affinities(vectors: DataFrame, least: float, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(affinity (node, other, w), both ways round, keyed vectors): for each vector its nearest, of a cosine of least at least. Where the 8-bit vectors leave that open, the 16-bit ones decide."""
-    cells = Cells(vectors, vectors.count())
+    cells = Cells(vectors, vectors.count(), 3)
     keyed = cells.keyed(vectors)
     near = merge_lists(cell_lists(cells.rows(keyed, True), k, least - UNSURE, True), k)
     one = cut(near.select("h", F.explode(F.arrays_zip("nbr", "sim")).alias("e")).select("h", F.col("e.nbr").alias("m"), F.col("e.sim").cast("double").alias("w")))
@@ -264,17 +264,17 @@ def label_clusters(df: DataFrame, key: str, label_col: str, shared: int = 3) ->
     combination of ``shared`` words that more than one has, every one linked to the combination's first node rather than to every other.
     """
     words = cut(df.select(F.col(key).cast("long").alias("id"), F.explode(label_words(F.col(label_col))).alias("word")))
-    rooted = words.join(word_roots(words), "word").select("id", "root").distinct()
-    common = rooted.groupBy("root").count().where("count > 1").select("root")
-    kept = rooted.join(common, "root")
-    sets = kept.groupBy("id").agg(F.array_sort(F.collect_list("root")).alias("roots")).where(F.size("roots") >= shared)
+    rooted = words.join(word_roots(words), "word").select("id", "word", "root").distinct()
+    common = rooted.groupBy("root").agg(F.count_distinct("id").alias("n")).where("n > 1").select("root")
+    kept = rooted.join(common, "root").groupBy("id", "word").agg(F.array_sort(F.collect_list("root")).alias("alike"))
+    sets = kept.groupBy("id").agg(F.array_sort(F.collect_list("alike")).alias("roots")).where(F.size("roots") >= shared)
     sets = cut(sets.withColumn("h", F.xxhash64("roots")))
     nodes = cut(sets.groupBy("h").agg(F.first("roots").alias("roots")))
-    combos = nodes.select("h", F.explode(_combinations(F.col("roots"), shared)).alias("combo"))
+    combos = nodes.select("h", F.explode(F.array_distinct(_combinations(F.col("roots"), shared))).alias("combo"))
     first = combos.groupBy("combo").agg(F.min("h").alias("other"), F.count("*").alias("n")).where("n > 1")
     one = combos.join(first, "combo").where("h <> other").groupBy("h", "other").agg(F.count("*").cast("double").alias("w"))
     affinity = cut(one.union(one.select("other", "h", "w")).toDF("node", "other", "w"))
-    gauss = [_label_axis(F.col("roots"), i) for i in range(DIMS)]
+    gauss = [_label_axis(F.array_distinct(F.flatten("roots")), i) for i in range(DIMS)]
 
     def packed(batches):
         for b in batches:
@@ -298,14 +298,12 @@ def _normal(value, seed: int):
     return (u - 0.5) * float(np.sqrt(12))
 
 
-def _combinations(xs, k: int):
-    """All combinations of k elements of a sorted array, as hashes."""
-    if k == 1:
-        return F.transform(xs, lambda x: F.xxhash64(x))
-    out = F.transform(xs, lambda x, i: F.struct(F.array(x).alias("c"), (i + 1).alias("i")))
+def _combinations(words, k: int):
+    """Hashes of all sets of k roots from k different words; ``words`` has an array of roots for each word."""
+    out = F.flatten(F.transform(words, lambda w, i: F.transform(w, lambda r: F.struct(F.array(r).alias("c"), (i + 1).alias("i")))))
     for _ in range(k - 1):
-        out = F.flatten(F.transform(out, lambda s: F.transform(F.slice(xs, s["i"] + 1, F.size(xs)), lambda x, j: F.struct(F.concat(s["c"], F.array(x)).alias("c"), (s["i"] + j + 1).alias("i")))))
-    return F.transform(out, lambda s: F.xxhash64(s["c"]))
+        out = F.flatten(F.transform(out, lambda s: F.flatten(F.transform(F.slice(words, s["i"] + 1, F.size(words)), lambda w, j: F.transform(w, lambda r: F.struct(F.concat(s["c"], F.array(r)).alias("c"), (s["i"] + j + 1).alias("i")))))))
+    return F.transform(out, lambda s: F.xxhash64(F.array_sort(s["c"])))
 
 
 def _labels(spark, sf_dir):
