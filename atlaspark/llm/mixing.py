@@ -111,8 +111,8 @@ def _report(spark, goals, have, out: DataFrame | None) -> DataFrame:
     if out is None:
         return base.select("*", F.lit(0).cast("bigint").alias("tokens_used"), F.lit(0.0).alias("actual_share"), F.lit(0).alias("repeats_used"))
     used = out.groupBy("source").agg(F.sum("n_tokens").alias("tokens_used"), (F.max("repeat_no") + 1).alias("repeats_used"))
-    whole = used.agg(F.sum("tokens_used").alias("all"))
-    joined = base.join(used, "source", "left").crossJoin(F.broadcast(whole))  # one row
+    # a row per target: the window's one task has no more
+    joined = base.join(used, "source", "left").withColumn("all", F.sum("tokens_used").over(Window.partitionBy(F.lit(0))))
     return joined.select("source", "target_share", "max_repeats", "docs", "tokens_available", F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), F.coalesce(F.col("tokens_used") / F.col("all"), F.lit(0.0)).alias("actual_share"), F.coalesce("repeats_used", F.lit(0)).alias("repeats_used"))
 
 
