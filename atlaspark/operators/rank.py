@@ -23,12 +23,12 @@ def ordinal(df: DataFrame, value: str, tie: str, by: list[str] | None = None, ou
     cuts = df.groupBy(*by).agg(F.percentile_approx(value, [i / width for i in range(1, width)], 10000).alias("_cuts"))
     joined = df.join(cuts, by) if by else df.crossJoin(F.broadcast(cuts))  # one row
     bucket = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))
-    placed = joined.withColumn("_b", bucket).drop("_cuts")
-    sizes = placed.groupBy(*by, "_b").agg(F.count("*").alias("_m"))
+    placed = joined.withColumn("_bucket", bucket).drop("_cuts")
+    sizes = placed.groupBy(*by, "_bucket").agg(F.count("*").alias("_count"))
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    offsets = sizes.withColumn("_before", F.sum("_m").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_m")).withColumn(size, F.sum("_m").over(w)).drop("_m")
-    inner = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(value, tie))
-    return placed.join(offsets, [*by, "_b"]).withColumn(out, (F.col("_before") + inner - 1).cast("long")).drop("_b", "_before")
+    offsets = sizes.withColumn("_before", F.sum("_count").over(w.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_count")).withColumn(size, F.sum("_count").over(w)).drop("_count")
+    inner = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(value, tie))
+    return placed.join(offsets, [*by, "_bucket"]).withColumn(out, (F.col("_before") + inner - 1).cast("long")).drop("_bucket", "_before")
 
 
 def rank_scores(df: DataFrame, value: str, tie: str, by: list[str] | None = None) -> DataFrame:
@@ -79,10 +79,10 @@ def band(df: DataFrame, value: str, lo: float = 0.02, hi: float = 0.98) -> DataF
 def unit_disc(df: DataFrame, x: str, y: str) -> DataFrame:
     """Adds ``dx``, ``dy``: centred on the mean, scaled by the 90th percentile of the radius, clamped to the unit disc, to 4 decimals."""
     mean = df.agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
-    c = df.crossJoin(F.broadcast(mean)).withColumn("_r", F.sqrt((F.col(x) - F.col("_mx")) ** 2 + (F.col(y) - F.col("_my")) ** 2))
-    r90 = percentile(c, "_r", 0.9, out="_r90")
-    s = c.crossJoin(F.broadcast(r90)).withColumn("_s", F.greatest(F.col("_r"), F.when(F.col("_r90") == 0, F.lit(1.0)).otherwise(F.col("_r90"))))
-    return s.withColumn("dx", F.round((F.col(x) - F.col("_mx")) / F.col("_s"), 4)).withColumn("dy", F.round((F.col(y) - F.col("_my")) / F.col("_s"), 4)).drop("_mx", "_my", "_r", "_r90", "_s")
+    c = df.crossJoin(F.broadcast(mean)).withColumn("_radius", F.sqrt((F.col(x) - F.col("_mx")) ** 2 + (F.col(y) - F.col("_my")) ** 2))
+    r90 = percentile(c, "_radius", 0.9, out="_r90")
+    s = c.crossJoin(F.broadcast(r90)).withColumn("_s", F.greatest(F.col("_radius"), F.when(F.col("_r90") == 0, F.lit(1.0)).otherwise(F.col("_r90"))))
+    return s.withColumn("dx", F.round((F.col(x) - F.col("_mx")) / F.col("_s"), 4)).withColumn("dy", F.round((F.col(y) - F.col("_my")) / F.col("_s"), 4)).drop("_mx", "_my", "_radius", "_r90", "_s")
 
 
 def poles(df: DataFrame, by: str, value: str, tie: str, k: int = 14) -> DataFrame:

@@ -80,6 +80,8 @@ def test_ranks(spark):
     assert upper_median(nums, "v").first()[0] == 6 and percentile(nums, "v", 0.98).first()[0] == 9
     assert band(spark.createDataFrame([(3.0,)] * 4, "v double"), "v").first().scaled == 0
     assert unit_disc(spark.createDataFrame([(1.0, 1.0)] * 3, "x double, y double"), "x", "y").first().dx == 0
+    ring = spark.createDataFrame([(math.cos(i), math.sin(i)) for i in range(50)], "x double, y double")
+    assert ring.count() == sum(0.8 < math.hypot(r.dx, r.dy) <= 1.0001 for r in unit_disc(ring, "x", "y").collect())
     assert rank_scores(df.limit(0), "v", "node_id").count() == 0
 
 
