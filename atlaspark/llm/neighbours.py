@@ -237,6 +237,27 @@ def cell_lists(rows: DataFrame, k: int, least: float, in8bits: bool = False) ->
     return rows.groupBy("cell").applyInArrow(run, LISTS)
 
 
+def flat(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, neighbour, value) of every entry of a table of lists."""
+    nbr, sim = t.column(1).combine_chunks(), t.column(2).combine_chunks()
+    return np.repeat(t.column(0).to_numpy(), nbr.value_lengths().to_numpy()), nbr.flatten().to_numpy(), sim.flatten().to_numpy()
+
+
+def best_k(h: np.ndarray, n: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best entries of each node, in order; ties go to the smaller key."""
+    order = np.lexsort((n, -s, h))
+    h, n, s = h[order], n[order], s[order]
+    # the same pair may differ by a rounding error between cells: the first, best one stays
+    pair = np.lexsort((np.arange(len(h)), n, h))
+    first = np.ones(len(h), bool)
+    first[pair[1:]] = (h[pair[1:]] != h[pair[:-1]]) | (n[pair[1:]] != n[pair[:-1]])
+    h, n, s = h[first], n[first], s[first]
+    starts = np.r_[0, np.flatnonzero(np.diff(h)) + 1]
+    rank = np.arange(len(h)) - np.repeat(starts, np.diff(np.r_[starts, len(h)]))
+    keep = rank < k
+    return h[keep], n[keep], s[keep]
+
+
 def merge_lists(df: DataFrame, k: int) -> DataFrame:
     """One list of the k best per node out of many; ties go to the smaller key."""
 
@@ -244,21 +265,7 @@ def merge_lists(df: DataFrame, k: int) -> DataFrame:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        t = pa.Table.from_batches(got).combine_chunks()
-        nbr, sim = t.column(1).combine_chunks(), t.column(2).combine_chunks()
-        h = np.repeat(t.column(0).to_numpy(), nbr.value_lengths().to_numpy())
-        n, s = nbr.flatten().to_numpy(), sim.flatten().to_numpy()
-        order = np.lexsort((n, -s, h))
-        h, n, s = h[order], n[order], s[order]
-        # the same pair may differ by a rounding error between cells: the first, best one stays
-        pair = np.lexsort((np.arange(len(h)), n, h))
-        first = np.ones(len(h), bool)
-        first[pair[1:]] = (h[pair[1:]] != h[pair[:-1]]) | (n[pair[1:]] != n[pair[:-1]])
-        h, n, s = h[first], n[first], s[first]
-        starts = np.r_[0, np.flatnonzero(np.diff(h)) + 1]
-        rank = np.arange(len(h)) - np.repeat(starts, np.diff(np.r_[starts, len(h)]))
-        keep = rank < k
-        h, n, s = h[keep], n[keep], s[keep]
+        h, n, s = best_k(*flat(pa.Table.from_batches(got).combine_chunks()), k)
         u, counts = np.unique(h, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(u), lists(n, counts), lists(s, counts)], ["h", "nbr", "sim"])
 

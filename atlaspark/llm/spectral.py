@@ -5,12 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..session import cut, once, partitions, table
-from .neighbours import Cells, card_vectors, cell_lists, classes, merge_lists, pack, unit_vectors, unpack
+from .neighbours import LISTS, Cells, _top, best_k, card_vectors, classes, flat, lists, pack, unit_vectors, unpack, unpack_coarse
 
 DIMS = 8  # vectors iterated
 ROUNDS = 4
@@ -151,12 +152,108 @@ def describe(clusters: DataFrame, top: int = 5) -> DataFrame:
 UNSURE = 0.005  # about the threshold, where 8-bit vectors do not decide
 
 
+def _merged(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The labels c, each the smallest of its component, after the components that hold a and b have been joined."""
+    while True:
+        low = np.minimum(c[a], c[b])
+        new = c.copy()
+        np.minimum.at(new, c[a], low)
+        np.minimum.at(new, c[b], low)
+        while (new != new[new]).any():
+            new = new[new]
+        new = new[c]
+        if (new == c).all():
+            return c
+        c = new
+
+
+def _forest(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which links, labels): of links in falling order those that join components best first, until none crosses any more (Boruvka)."""
+    keep = np.zeros(len(a), bool)
+    while True:
+        e = np.flatnonzero(c[a] != c[b])
+        if not len(e):
+            return keep, c
+        best = np.full(len(c), len(a))
+        np.minimum.at(best, c[a[e]], e)
+        np.minimum.at(best, c[b[e]], e)
+        picked = np.unique(best[best < len(a)])
+        keep[picked] = True
+        c = _merged(c, a[picked], b[picked])
+
+
+def spanning_links(x: np.ndarray, k: int, least: float, margin: float = UNSURE, block: int = 512) -> tuple[tuple, tuple]:
+    """((row, column, value) of each row's k nearest, the same of the links that components hang on) over all pairs of rows whose product may reach least.
+
+    Pairs above the margin only yield a spanning forest: the links among the k nearest first, best first, then whatever pair still crosses between two trees. Pairs within the
+    margin are kept whenever they would join two trees of it, every one of them, for the exact check to decide. The pairs are held as bits.
+    """
+    near, bits = [], []
+    for s in range(0, len(x), block):
+        sims = x[s : s + block] @ x.T
+        sims[np.arange(len(sims)), np.arange(s, s + len(sims))] = -2
+        r, c, v = _top(sims, k, least - margin)
+        near.append((r + s, c, v))
+        bits.append([np.packbits(sims >= least + margin, axis=1), np.packbits((sims >= least - margin) & (sims < least + margin), axis=1)] if len(r) else None)
+    r, c, v = (np.concatenate(z) for z in zip(*near))
+    order = np.argsort(-v, kind="stable")
+    order = order[v[order] >= least + margin]
+    a, b = r[order], c[order]
+    keep, tree = _forest(np.arange(len(x)), a, b)
+    links = [(a[keep], b[keep])]
+
+    def crossing(i: int, which: int):
+        rows = np.arange(i * block, i * block + len(bits[i][which]))
+        a, b = np.nonzero(np.unpackbits(bits[i][which], axis=1, count=len(x)).view(bool) & (tree[rows][:, None] != tree[None, :]))
+        return rows[a], b
+
+    full = [i for i, z in enumerate(bits) if z]
+    for i in full:
+        a, b = crossing(i, 0)
+        _, one = np.unique(np.minimum(tree[a], tree[b]) * len(x) + np.maximum(tree[a], tree[b]), return_index=True)
+        a, b = a[one], b[one]
+        keep, tree = _forest(tree, a, b)
+        links.append((a[keep], b[keep]))
+    for i in full:
+        a, b = crossing(i, 1)
+        links.append((a[a < b], b[a < b]))
+    a, b = (np.concatenate(z) for z in zip(*links))
+    return (r, c, v), (a, b, np.concatenate([np.einsum("ij,ij->i", x[a[s : s + 32768]], x[b[s : s + 32768]]) for s in range(0, max(len(a), 1), 32768)]))
+
+
+def cell_links(rows: DataFrame, k: int, least: float) -> DataFrame:
+    """(h, nbr, sim, tree): within each cell, all of it compared, every node's k nearest and, as tree, the links that its components hang on."""
+
+    def run(t: pa.Table) -> pa.Table:
+        h = t.column(1).to_numpy()
+        out = []
+        for tree, (r, c, v) in enumerate(spanning_links(unpack_coarse(t.column(2)), k, least)):
+            order = np.argsort(r, kind="stable")
+            who, counts = np.unique(r, return_counts=True)
+            out.append(pa.table({"h": h[who], "nbr": lists(h[c[order]], counts), "sim": lists(v[order].astype(np.float32), counts), "tree": np.full(len(who), bool(tree))}))
+        return pa.concat_tables(out)
+
+    return rows.groupBy("cell").applyInArrow(run, LISTS + ", tree boolean")
+
+
 def vector_affinities(vectors: DataFrame, least: float, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(affinity (node, other, w), both ways round, keyed vectors): for each vector its nearest, of a cosine of least at least. Where the 8-bit vectors leave that open, the 16-bit ones decide."""
+    """(affinity (node, other, w), both ways round, keyed vectors): each vector's nearest, of a cosine of least at least, and as many links besides as keep together what any such pair of a cell links.
+
+    The k nearest alone would not do: where more than k near-copies exist, their places all go to one another. Where the 8-bit vectors leave a link open, the 16-bit ones decide.
+    """
     cells = Cells(vectors, vectors.count(), 3)
     keyed = cells.keyed(vectors)
-    near = merge_lists(cell_lists(cells.rows(keyed, True), k, least - UNSURE, True), k)
-    one = cut(near.select("h", F.explode(F.arrays_zip("nbr", "sim")).alias("e")).select("h", F.col("e.nbr").alias("m"), F.col("e.sim").cast("double").alias("w")))
+
+    def run(batches):
+        got = [b for b in batches if b.num_rows]
+        if got:
+            t = pa.Table.from_batches(got)
+            near = best_k(*flat(t.filter(pc.invert(t.column(3))).combine_chunks()), k)
+            tree = flat(t.filter(t.column(3)).combine_chunks())
+            h, m, w = (np.concatenate(z) for z in zip(near, tree))
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(m), pa.array(w.astype(float))], ["h", "m", "w"])
+
+    one = cut(cell_links(cells.rows(keyed, True), k, least).repartition(partitions(vectors.sparkSession), "h").mapInArrow(run, "h bigint, m bigint, w double"))
     a, b = keyed.select("h", F.col("v").alias("va")), keyed.select(F.col("h").alias("m"), F.col("v").alias("vb"))
 
     def cosines(batches):

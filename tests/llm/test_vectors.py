@@ -105,6 +105,25 @@ def test_vector_clusters(spark, world):
     assert spectral.vector_clusters(frame(spark, world).limit(0), "node_id", "vec", 0.7, DIM).count() == 0
 
 
+def test_near_copies_do_not_hide_links(spark):
+    rng = np.random.default_rng(5)
+    q = np.linalg.qr(rng.standard_normal((DIM, DIM)))[0]
+    groups = [np.sqrt(0.76) * q[0] + np.sqrt(0.24) * q[1 + g] for g in range(20)]
+    x = np.concatenate([g + 0.03 * rng.standard_normal((8, DIM)) / np.sqrt(DIM) for g in groups]).astype(np.float32)
+    got = {r.member_id: r.cluster_id for r in spectral.vector_clusters(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "node_id long, vec array<float>"), "node_id", "vec", 0.7, DIM).collect()}
+    assert got == {i: 0 for i in range(160)}
+
+
+def test_spanning_links_keep_every_component(world):
+    x = neighbours.coarse(world / np.linalg.norm(world, axis=1, keepdims=True)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    (r, c, v), (a, b, w) = spectral.spanning_links(x, 2, 0.7, block=64)
+    s = cosines(world)
+    assert np.allclose(s[a, b], w, atol=0.005) and np.bincount(r).max() <= 2 and len(a) < (s >= 0.7).sum() / 4
+    n, exact = np.arange(len(x)), s[a, b] >= 0.7
+    assert (spectral._merged(n, a[exact], b[exact]) == spectral._merged(n, *np.nonzero(s >= 0.7))).all()
+
+
 def test_power_iteration_is_the_formula(spark):
     edges = [(1, 2, 1.0), (2, 3, 0.5), (4, 5, 2.0)]
     both = edges + [(b, a, w) for a, b, w in edges]
