@@ -157,6 +157,31 @@ def test_bm25_ranks_by_hand():
     assert abs(s[3] - by_hand) < 1e-5
 
 
+def test_shards_hold_lexical_neighbours(spark):
+    rng = random.Random(8)
+    topics = [[f"{a}{b}" for b in WORDS for a in (chr(97 + t) * 3,)] for t in range(8)]
+    rows = [(i, " ".join(rng.choice(topics[i % 8] + WORDS[:4]) for _ in range(60))) for i in range(1600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = packing.token_items(df, "doc_id", "text").cache()
+    stats = packing.item_stats(items)
+    got = items.collect()
+    assert stats.n == 1600 and stats.mean == sum(sum(r.tfs) for r in got) / 1600
+    have = defaultdict(int)
+    for r in got:
+        for t in np.frombuffer(r.terms, np.uint32):
+            have[int(t)] += 1
+    assert {t: int(stats.df[t]) for t in have} == dict(have)
+    packed = packing.pack(df, "doc_id", "text", shard=100).collect()
+    index = packing.Index([r.terms for r in got], [r.tfs for r in got], stats)
+    box = {r.doc_id: r.container_id.rsplit("-", 1)[0] for r in packed}
+    near = [(i, j) for i in range(0, 1600, 20) for j in np.argsort(-index.scores(i))[1:9]]
+    assert sum(box[got[i].doc_id] == box[got[j].doc_id] for i, j in near) > 0.3 * len(near)
+    pure = defaultdict(set)
+    for r in packed:
+        pure[r.container_id].add(r.doc_id % 8)
+    assert np.mean([len(x) for x in pure.values()]) < 1.5
+
+
 # --- mixing --------------------------------------------------------------------------------------------------------------------
 
 
