@@ -120,11 +120,10 @@ def kmeans(embedded: DataFrame, radius: float = RADIUS, lloyd: int = 3) -> DataF
 
 
 def spectral_clusters(start: DataFrame, affinity: DataFrame, home, rounds: int = ROUNDS) -> DataFrame:
-    """(node, cluster, inner): power iteration, k-means of the embedding, then an exact check against the affinities.
+    """(node, cluster): power iteration, k-means of the embedding, then an exact check against the affinities.
 
     The check joins pieces that an affinity still links, as such members belong together by definition; ``cluster`` is the smallest node of the cluster.
-    ``inner`` is a member's summed affinity to its cluster, by which the most typical are found. Nodes without any affinity are left out;
-    no affinities give an empty result.
+    Nodes without any affinity are left out; no affinities give an empty result.
     """
     linked = affinity.select("node").distinct()
     embedded = cut(power_iteration(start.join(linked, "node"), affinity, home, rounds))
@@ -134,9 +133,7 @@ def spectral_clusters(start: DataFrame, affinity: DataFrame, home, rounds: int =
     a, b = named.select("node", F.col("name").alias("c")), named.select(F.col("node").alias("other"), F.col("name").alias("d"))
     crossing = affinity.join(a, "node").join(b, "other")
     joined = connected_components(crossing.where("c <> d").select("c", "d").distinct(), "c", "d")
-    final = named.join(joined.withColumnRenamed("node", "name"), "name", "left").select("node", F.coalesce("component", "name").alias("cluster"))
-    inner = affinity.groupBy("node").agg(F.sum("w").alias("inner"))
-    return final.join(inner, "node")
+    return named.join(joined.withColumnRenamed("node", "name"), "name", "left").select("node", F.coalesce("component", "name").alias("cluster"))
 
 
 def describe(clusters: DataFrame, top: int = 5) -> DataFrame:
@@ -284,23 +281,71 @@ def projected(keyed: DataFrame) -> DataFrame:
     return keyed.select("h", "v").mapInArrow(run, "node bigint, x binary")
 
 
-def vector_clusters(df: DataFrame, key: str, vec_col: str, least: float = 0.70, dim: int = 128) -> DataFrame:
-    """(member_id, cluster_id, inner): clusters of rows whose vectors' cosine reaches least, of at least two members; cluster_id is the smallest.
+def summed_cosines(nodes: DataFrame) -> DataFrame:
+    """(node, inner): for nodes (node, cluster, copies, v) the summed cosines of one copy to all other copies and nodes of its cluster, as its product with the cluster's summed vectors.
+
+    A cluster's nodes are brought together once; one of more than HOME nodes is salted, and its sums (a row for every HOME nodes at most) are taken beforehand.
+    """
+    large = cut(nodes.groupBy("cluster").count().where(f"count > {HOME}").select("cluster", F.ceil(F.col("count") / HOME).alias("salts")))
+
+    def run(batches):
+        sums: dict = {}
+        for b in batches:
+            x = unpack(b.column(2)).astype(float) * b.column(1).to_numpy()[:, None] if b.num_rows else np.zeros((0, 1))
+            who, at = np.unique(b.column(0).to_numpy(), return_inverse=True)
+            for i, c in enumerate(who.tolist()):
+                sums[c] = sums.get(c, 0) + x[at == i].sum(axis=0)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pack(np.stack(list(sums.values())))], ["cluster", "s"])
+
+    total: dict = {}
+    for r in nodes.join(large, "cluster").select("cluster", "copies", "v").repartition(partitions(nodes.sparkSession), "cluster", F.pmod(F.xxhash64("node"), F.col("salts"))).mapInArrow(run, "cluster bigint, s binary").toLocalIterator() if not large.isEmpty() else ():
+        total[r.cluster] = total.get(r.cluster, 0) + np.frombuffer(r.s, float)
+
+    def ranked(batches):
+        got = [b for b in batches if b.num_rows]
+        if got:
+            t = pa.Table.from_batches(got).combine_chunks()
+            x, c = unpack(t.column(3)).astype(float), t.column(1).to_numpy()
+            order = np.argsort(c, kind="stable")
+            starts = np.r_[0, np.flatnonzero(np.diff(c[order])) + 1]
+            s = np.add.reduceat(x[order] * t.column(2).to_numpy()[order, None], starts)
+            for i, name in enumerate(c[order[starts]].tolist()):
+                if name in total:
+                    s[i] = total[name]
+            at = np.empty(len(c), np.int64)
+            at[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(c)]))
+            inner = np.einsum("ij,ij->i", x, s[at]) - np.einsum("ij,ij->i", x, x)
+            yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks(), pa.array(inner.round(6))], ["node", "inner"])
+
+    spread = nodes.join(large, "cluster", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node"), F.col("salts")), F.lit(0)))
+    return spread.repartition(partitions(nodes.sparkSession), "cluster", "salt").select("node", "cluster", "copies", "v").mapInArrow(ranked, "node bigint, inner double")
+
+
+def vector_clusters(df: DataFrame, key: str, vec_col: str, least: float = 0.70, dim: int = 128, ranked: bool = True) -> DataFrame:
+    """(member_id, cluster_id, inner): clusters of rows whose vectors' cosine reaches least, of at least two members; cluster_id is the smallest, inner the member's summed cosines to all others of its cluster.
+
+    Without ``ranked`` inner is left out.
 
     Unusable vectors (null, empty, zero, non-finite, of another length) belong to none. Copies of a vector are one node with all its copies as members.
     """
     vectors, members = classes(unit_vectors(df, key, vec_col, dim))
     affinity, keyed = vector_affinities(vectors, least)
     found = spectral_clusters(projected(keyed), affinity, lambda c: F.shiftright(F.col(c), 40))
-    named = keyed.select("hash", F.col("h").alias("node")).join(found, "node").select(F.col("hash").alias("h"), "cluster", "inner")
-    joined = members.join(named, "h", "left").select("id", F.coalesce("cluster", "h").alias("c"), F.coalesce("inner", F.lit(0.0)).alias("inner"))
-    return _smallest(joined)
+    named = cut(keyed.select("hash", F.col("h").alias("node"), "v").join(found, "node").select(F.col("hash").alias("h"), "cluster", *["v"] * ranked))
+    joined = members.join(named.drop("v"), "h", "left").select("id", "h", F.coalesce("cluster", "h").alias("c"))
+    if not ranked:
+        return _smallest(joined)
+    copies = cut(members.groupBy("h").agg(F.count("*").alias("copies")))
+    inner = summed_cosines(named.join(copies, "h").select(F.col("h").alias("node"), "cluster", "copies", "v")).withColumnRenamed("node", "h")
+    # copies that nothing else is linked to have a cosine of 1 to each other
+    return _smallest(joined.join(copies, "h").join(inner, "h", "left").select("id", "c", F.coalesce("inner", F.col("copies") - 1.0).alias("inner")))
 
 
 def _smallest(joined: DataFrame) -> DataFrame:
     joined = cut(joined)
     ids = joined.groupBy("c").agg(F.min("id").alias("cluster_id"), F.count("*").alias("n")).where("n > 1")
-    return joined.join(ids, "c").select(F.col("id").alias("member_id"), "cluster_id", "inner")
+    return joined.join(ids, "c").select(F.col("id").alias("member_id"), "cluster_id", *[x for x in joined.columns if x == "inner"])
 
 
 # --- labels ----------------------------------------------------------------------------------------------------------------
@@ -354,8 +399,10 @@ def word_roots(words: DataFrame, ratio: int = 4) -> DataFrame:
     return pairs.mapInPandas(check, "word string, root string").union(vocab.select("word", F.col("word").alias("root")))
 
 
-def label_clusters(df: DataFrame, key: str, label_col: str, shared: int = 3) -> DataFrame:
-    """(member_id, cluster_id, inner): clusters of labels that share at least ``shared`` distinctive words, of at least two members.
+def label_clusters(df: DataFrame, key: str, label_col: str, shared: int = 3, ranked: bool = True) -> DataFrame:
+    """(member_id, cluster_id, inner): clusters of labels that share at least ``shared`` distinctive words, of at least two members; inner counts the combinations of ``shared`` words that a member has in common with the others, over all others.
+
+    Without ``ranked`` inner is left out.
 
     Null and empty labels, and labels of fewer distinctive words, belong to none. Labels of the same words form one node; nodes meet over each
     combination of ``shared`` words that more than one has, every one linked to the combination's first node rather than to every other.
@@ -366,7 +413,7 @@ def label_clusters(df: DataFrame, key: str, label_col: str, shared: int = 3) ->
     kept = rooted.join(common, "root").groupBy("id", "word").agg(F.array_sort(F.collect_list("root")).alias("alike"))
     sets = kept.groupBy("id").agg(F.array_sort(F.collect_list("alike")).alias("roots")).where(F.size("roots") >= shared)
     sets = cut(sets.withColumn("h", F.xxhash64("roots")))
-    nodes = cut(sets.groupBy("h").agg(F.first("roots").alias("roots")))
+    nodes = cut(sets.groupBy("h").agg(F.first("roots").alias("roots"), F.count("*").alias("copies")))
     combos = nodes.select("h", F.explode(F.array_distinct(_combinations(F.col("roots"), shared))).alias("combo"))
     first = combos.groupBy("combo").agg(F.min("h").alias("other"), F.count("*").alias("n")).where("n > 1")
     one = combos.join(first, "combo").where("h <> other").groupBy("h", "other").agg(F.count("*").cast("double").alias("w"))
@@ -382,7 +429,13 @@ def label_clusters(df: DataFrame, key: str, label_col: str, shared: int = 3) ->
     start = nodes.select(F.col("h").alias("node"), *[g.alias(f"x{i}") for i, g in enumerate(gauss)]).mapInArrow(packed, "node bigint, x binary")
     homes = max(1, -(-nodes.count() // HOME))
     found = spectral_clusters(start, affinity, lambda c: F.pmod(F.xxhash64(c), F.lit(homes)))
-    return _smallest(sets.select("id", "h").join(found.withColumnRenamed("node", "h"), "h", "left").select("id", F.coalesce("cluster", "h").alias("c"), F.coalesce("inner", F.lit(0.0)).alias("inner")))
+    joined = sets.select("id", "h").join(found.withColumnRenamed("node", "h"), "h", "left").select("id", "h", F.coalesce("cluster", "h").alias("c"))
+    if not ranked:
+        return _smallest(joined)
+    # the star only connects: every member of a combination counts here, copies too; all of them are in one cluster
+    held = combos.join(nodes.select("h", "copies"), "h").groupBy("combo").agg(F.sum("copies").alias("n")).where("n > 1")
+    inner = combos.join(held, "combo").groupBy("h").agg(F.sum(F.col("n") - 1).cast("double").alias("inner"))
+    return _smallest(joined.join(inner, "h", "left").select("id", "c", F.coalesce("inner", F.lit(0.0)).alias("inner")))
 
 
 def _label_axis(roots, seed: int):
@@ -417,8 +470,8 @@ def p2_clusters(spark, sf_dir):
 
 
 def p2_found(spark, sf_dir):
-    vectors = vector_clusters(card_vectors(spark, sf_dir), "node_id", "vec")
-    labels = label_clusters(_labels(spark, sf_dir), "region_id", "label")
+    vectors = vector_clusters(card_vectors(spark, sf_dir), "node_id", "vec", ranked=False)
+    labels = label_clusters(_labels(spark, sf_dir), "region_id", "label", ranked=False)
     both = vectors.select(F.lit("vector").alias("kind"), "member_id", "cluster_id").union(labels.select(F.lit("label").alias("kind"), "member_id", "cluster_id"))
     return both
 

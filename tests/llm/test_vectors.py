@@ -154,6 +154,30 @@ def test_label_clusters(spark):
     assert d.size == 3 and d.typical == [2, 3]
 
 
+@pytest.mark.parametrize("home", [4096, 64])
+def test_vector_inner_is_the_whole_cluster(spark, world, monkeypatch, home):
+    monkeypatch.setattr(spectral, "HOME", home)
+    s = np.clip(cosines(world), -1, 1)
+    got = spectral.vector_clusters(frame(spark, world), "node_id", "vec", 0.7, DIM).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.cluster_id].append(r)
+    assert max(map(len, by.values())) > 64
+    for members in by.values():
+        ids = [r.member_id for r in members]
+        for r in members:
+            assert abs(r.inner - s[r.member_id, [i for i in ids if i != r.member_id]].sum()) < 1e-3 * len(ids)
+
+
+def test_label_inner_is_the_whole_cluster(spark):
+    words = ["amberquay", "holgate", "scaphoorn", "wickrigg", "tarnbeck", "riverpath"]
+    sets = {1: [3, 4, 5], 2: [0, 1, 2], 3: [0, 1, 2, 3], 4: [0, 1, 2, 3, 4], 5: [0, 1, 2, 3, 4], 6: [2, 3, 4, 5], 7: [0, 1, 2]}
+    df = spark.createDataFrame([(i, " ".join(words[w] for w in x)) for i, x in sets.items()], "region_id long, label string")
+    got = {r.member_id: r.inner for r in spectral.label_clusters(df, "region_id", "label").collect()}
+    both = {(a, b): len(set(sets[a]) & set(sets[b])) for a in sets for b in sets if a != b}
+    assert got == {a: sum(n * (n - 1) * (n - 2) / 6 for (x, _), n in both.items() if x == a) for a in sets}
+
+
 @pytest.mark.parametrize("a,b,same", [("abcdef", "abdcef", True), ("abcdef", "abcde", True), ("abcdef", "abxdef", True), ("abcdef", "abcdeff", True), ("abcdef", "badcef", False), ("abc", "abcde", False)])
 def test_one_slip(a, b, same):
     assert spectral.one_slip(a, b) == same == spectral.one_slip(b, a)
