@@ -276,14 +276,28 @@ def home_of(h: str):
     return F.shiftright(F.col(h), 40)
 
 
+def star_members(c: np.ndarray, m: np.ndarray, own: np.ndarray, reverse: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, member), one row each, by node: all members on the node's own list, and of those that only have it on theirs the first ``reverse`` in an order by hash."""
+    mixed = ((m ^ c).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+    order = np.lexsort((~own, m, mixed, c))
+    c, m, own = c[order], m[order], own[order]
+    first = np.r_[True, (c[1:] != c[:-1]) | (m[1:] != m[:-1])]
+    c, m, own = c[first], m[first], own[first]
+    starts = np.r_[0, np.flatnonzero(np.diff(c)) + 1]
+    sampled = np.cumsum(~own)
+    stay = own | (sampled - np.repeat(sampled[starts] - ~own[starts], np.diff(np.r_[starts, len(c)])) <= reverse)
+    return c[stay], m[stay]
+
+
 def local_join(graph: DataFrame, vectors: DataFrame, k: int, least: float) -> DataFrame:
     """One NN-descent step: whoever meets in the list or the reverse list of some node is compared; returns the best k found, per node.
 
     Each node is at home in one cell. A cell gets the lists of its own nodes and, once, every vector that occurs in them; there the neighbours of
-    neighbours are compared. Reverse lists can be long: as NN-descent does, 2k of them are sampled, by hash.
+    neighbours are compared. Reverse lists can be long: as NN-descent does, 2k of them are sampled, by hash. A node's own list always stays, so every link found before is compared again and
+    a step can only improve a list.
     """
-    edges = graph.select("h", F.explode("nbr").alias("m"))
-    both = edges.union(edges.select(F.col("m").alias("h"), F.col("h").alias("m"))).withColumn("home", home_of("h"))
+    edges = graph.select("h", F.explode("nbr").alias("m"), F.lit(True).alias("own"))
+    both = edges.union(edges.select(F.col("m").alias("h"), F.col("h").alias("m"), F.lit(False))).withColumn("home", home_of("h"))
     own = graph.select(home_of("h").alias("at"), F.col("h").alias("id"))
     asked = both.select(F.col("home").alias("at"), F.col("m").alias("id")).union(own).distinct()
     need = asked.join(vectors.select(F.col("h").alias("id"), "v"), "id").select("at", "id", "v")
@@ -296,16 +310,10 @@ def local_join(graph: DataFrame, vectors: DataFrame, k: int, least: float) -> Da
         order = np.argsort(ids)
         ids, x = ids[order], x[order]
         c, m = left.column("h").to_numpy(), left.column("m").to_numpy()
-        c, m = np.r_[c, np.unique(c)], np.r_[m, np.unique(c)]
-        # one row per (node, member); the members in an order by hash, of which the first 3k stay
-        mixed = ((m ^ c).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-        order = np.lexsort((m, mixed, c))
-        c, m = c[order], m[order]
-        first = np.r_[True, (c[1:] != c[:-1]) | (m[1:] != m[:-1])]
-        c, m = c[first], m[first]
-        starts = np.r_[0, np.flatnonzero(np.diff(c)) + 1]
-        stay = np.arange(len(c)) - np.repeat(starts, np.diff(np.r_[starts, len(c)])) < 3 * k
-        c, m = c[stay], np.searchsorted(ids, m[stay])
+        who = np.unique(c)
+        c, m, own = np.r_[c, who], np.r_[m, who], np.r_[left.column("own").to_numpy(), np.ones(len(who), bool)]
+        c, m = star_members(c, m, own, 2 * k)
+        m = np.searchsorted(ids, m)
         starts = np.r_[0, np.flatnonzero(np.diff(c)) + 1]
         sizes = np.diff(np.r_[starts, len(c)])
         codes = []

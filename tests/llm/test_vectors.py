@@ -53,6 +53,18 @@ def test_neighbour_pairs(spark, world):
     assert neighbours.neighbour_pairs(empty, "node_id", "vec", 8, 0.7, DIM).count() == 0
 
 
+def test_a_join_loses_no_neighbour(spark):
+    # one dense group with exact lists: hubs on many lists, whose own neighbours must stay
+    k, rng = 4, np.random.default_rng(6)
+    x = (np.ones(DIM) + 0.5 * rng.standard_normal((800, DIM))).astype(np.float32)
+    vectors, _ = neighbours.classes(neighbours.unit_vectors(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "node_id long, vec array<float>"), "node_id", "vec", DIM))
+    keyed = vectors.select((F.col("h").bitwiseAND((1 << 40) - 1)).alias("h"), "v").cache()
+    exact = neighbours.cut(neighbours.merge_lists(neighbours.cell_lists(keyed.select(F.lit(0).cast("long").alias("cell"), "h", "v"), k, 0.0), k))
+    after = neighbours.merge_lists(neighbours.local_join(exact, keyed, k, 0.0), k)
+    before, got = ({(r.h, n) for r in g.collect() for n in r.nbr} for g in (exact, after))
+    assert len(before) == 800 * k and before == got
+
+
 def test_copies_only(spark):
     df = spark.createDataFrame([(i, [1.0] * DIM) for i in range(30)], "node_id long, vec array<float>")
     got = {(r.a_id, r.b_id) for r in neighbours.neighbour_pairs(df, "node_id", "vec", 3, 0.7, DIM).collect()}
