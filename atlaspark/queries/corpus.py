@@ -26,7 +26,7 @@ def frontmatter_meta(spark, sf_dir):
 
 
 def assembled_corpus(spark, sf_dir):
-    a = assemble(files(spark, sf_dir).drop("map_id"), "meta", limit=500, order="file_id")
+    a = assemble(files(spark, sf_dir).drop("map_id"), "meta", order="file_id")
     return a.select("file_id", "id", "title", F.length("body").alias("body_chars"), F.size("meta_map").alias("n_meta"))
 
 

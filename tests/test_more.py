@@ -99,3 +99,15 @@ def test_entry(spark):
     names, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(names) and len(names) > 70
     assert e.entry(spark).limit(1).count() == 1
+
+
+def test_assembled_corpus_is_whole(spark, tmp_path):
+    from atlaspark.operators.parse import assemble
+    from atlaspark.queries.common import files
+    from atlaspark.queries.corpus import assembled_corpus
+
+    rows = [(i, 1, f"v/{i}.md", f"{i}.md", f"# Note {i}\n" + f"word{i} " * 60, '{"score": 3}') for i in range(620)]
+    spark.createDataFrame([*rows, rows[3]], "file_id long, map_id int, path string, name string, text string, meta string").write.parquet(str(tmp_path / "ingest_files.parquet"))
+    got = [r.file_id for r in assembled_corpus(spark, str(tmp_path)).collect()]
+    assert sorted(got) == list(range(620))
+    assert {r.file_id for r in assemble(files(spark, str(tmp_path)), limit=7, order="file_id").collect()} == set(range(7))
