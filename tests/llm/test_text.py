@@ -1,5 +1,6 @@
 """Splitting, near-duplicates, packing, mixing and subjects against brute force and invariants."""
 
+import os
 import random
 import re
 from collections import defaultdict
@@ -196,31 +197,61 @@ def test_pfair():
             assert np.abs(done - np.arange(1, period + 1) * n / period).max() < 1
 
 
-def test_mix(spark):
+def test_quotas():
+    goals = {"a": (0.5, 1), "b": (0.3, 2), "c": (0.2, 3)}
+    have = {"a": 1000, "b": 100, "c": 1000}
+    assert mixing.quotas_for(goals, have, None) == {"a": 333, "b": 200, "c": 133}
+    # b gives all it may, the others share the rest by weight; a second one may be exhausted by that
+    assert mixing.quotas_for(goals, have, 1600) == {"b": 200, "a": 1000, "c": 400}
+    assert mixing.quotas_for(goals, have, 10**9) == {"a": 1000, "b": 200, "c": 3000}
+    assert mixing.slots_per_period([0.06, 0.13, 0.81]) == [6, 13, 81]
+
+
+@pytest.mark.parametrize("tokens", [None, 40000])
+def test_mix(spark, tokens):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 60))), "abc"[min(2, i % 10)] if i % 50 else None) for i in range(1500)]
-    rows += [(9000, None, "a"), (9001, "", "b")]
+    rows += [(9000, None, "a"), (9001, "", "b"), (9002, "long " * 900, "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("m", F.lit(1)).withColumn("slot", F.lit("x"))
-    targets = spark.createDataFrame([("a", 0.6, 4), ("b", 0.3, 2), ("c", 0.1, 1), ("gone", 0.5, 1), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
-    out, rep = mixing.mix(df, targets, block=64)
+    targets = spark.createDataFrame([("a", 0.6, 2), ("b", 0.3, 2), ("c", 0.1, 1), ("gone", 0.5, 1), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
+    out, rep = mixing.mix(df, targets, block=64, tokens=tokens)
     got, report = out.collect(), {r.source: r for r in rep.collect()}
     total = sum(r.n_tokens for r in got)
-    for s, w, m in (("a", 0.6, 4), ("b", 0.3, 2), ("c", 0.1, 1)):
-        mine = [r for r in got if r.source == s]
-        assert abs(sum(r.n_tokens for r in mine) / total - w) < 0.01 and abs(report[s].actual_share - w) < 0.01
-        times = defaultdict(list)
-        for r in mine:
-            times[r.doc_id].append(r.repeat_no)
-        assert all(sorted(v) == list(range(len(v))) and len(v) <= m for v in times.values())
-    assert report["gone"].tokens_used == 0 and len({(r.doc_id, r.repeat_no) for r in got}) == len(got)
-    seen, run = 0, defaultdict(int)
-    for r in sorted(got, key=lambda r: (r.slot, r.at)):
-        seen += r.n_tokens
-        run[r.source] += r.n_tokens
-        assert all(abs(run[s] - w * seen) < 64 + 4 * 70 for s, w in (("a", 0.6), ("b", 0.3), ("c", 0.1)))
+    size = {r.doc_id: r.n_tokens for r in mixing.count_tokens(df.where("doc_id is not null"), "doc_id", "text").collect()}
+    for s, w, m in (("a", 0.6, 2), ("b", 0.3, 2), ("c", 0.1, 1)):
+        mine = sorted((r for r in got if r.source == s), key=lambda r: r.at)
+        assert sum(r.n_tokens for r in mine) == report[s].tokens_used == report[s].tokens_wanted
+        if tokens is None:
+            assert abs(report[s].tokens_used - w * total) < 3 and not report[s].capped
+        at, pieces = 0, defaultdict(int)
+        for r in mine:  # the source's stream without gap, no piece beyond its block
+            assert r.at == at and r.at // 64 == (r.at + r.n_tokens - 1) // 64 and r.start == pieces[r.doc_id, r.repeat_no]
+            at += r.n_tokens
+            pieces[r.doc_id, r.repeat_no] += r.n_tokens
+        assert all(n <= size[d] and k < m for (d, k), n in pieces.items()) and sum(n < size[d] for (d, _), n in pieces.items()) <= 1
+    assert report["gone"].tokens_used == 0 and report["gone"].capped
+    assert tokens is None or (total == 40000 and report["a"].capped and report["a"].tokens_used == 2 * report["a"].tokens_available)
+    by, n = defaultdict(lambda: defaultdict(int)), 0
+    for r in got:
+        by[r.slot][r.source] += r.n_tokens
+    assert all(len(v) == 1 and sum(v.values()) <= 64 for v in by.values())
+    share, run = {s: report[s].tokens_used / total for s in "abc"}, defaultdict(int)
+    for slot in sorted(by):
+        n += sum(by[slot].values())
+        run[next(iter(by[slot]))] += sum(by[slot].values())
+        assert all(abs(run[s] - share[s] * n) < 64 for s in share)
     assert mixing.mix(df.limit(0), targets)[0].count() == 0 and mixing.mix(df, targets.limit(0))[1].count() == 0
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_shares_at_every_size(spark, sf):
+    path = f"/root/testdata/sf{sf}"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    got = mixing.p7_kept(spark, path).collect()
+    assert got and all(r.share_kept and r.repeats_kept for r in got)
+
+
 # --- subjects -------------------------------------------------------------------------------------------------------------------
 
 
