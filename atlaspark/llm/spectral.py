@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..session import cut, once, partitions, table
-from .neighbours import LISTS, Cells, _top, best_k, card_vectors, classes, flat, lists, pack, unit_vectors, unpack, unpack_coarse
+from .neighbours import LISTS, SCALE, Cells, _top, best_k, card_vectors, classes, flat, lists, pack, unit_vectors, unpack, unpack_coarse
 
 DIMS = 8  # vectors iterated
 ROUNDS = 4
 RADIUS = 0.3  # of a k-means cell about its centre, where an embedding coordinate has unit variance over the clusters
 PART = 20000  # rows per k-means task
 HOME = 4096  # nodes of one part of the graph, about
+WEAK = 0.5  # normalised cut below which two pieces stay apart though some of their members are alike
+WORDS = 20  # of a label whose combinations are listed; longer ones meet word by word
 
 
 def power_iteration(start: DataFrame, affinity: DataFrame, home, rounds: int = ROUNDS) -> DataFrame:
@@ -87,8 +89,8 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def kmeans(embedded: DataFrame, radius: float = RADIUS, lloyd: int = 3) -> DataFrame:
     """(node, part, k): k-means of the embedding with as many centres as it takes to have every row within the radius of a seed.
 
-    The rows are first parted by the nearest of some sampled centres (their number grows with the rows, and a part beyond PART rows is salted), then Lloyd's
-    rounds run in each part. A cluster that a part's border or a salt divides comes out in several pieces.
+    The rows are first parted by the nearest of some sampled centres, whose number grows with the rows up to 4,096, and a part beyond PART rows is salted; then Lloyd's
+    rounds run in each part. A cluster that a part's border or a salt divides comes out in several pieces, which a check of the affinities has to join again.
     """
     n = embedded.count()
     want = max(1, -(-n // PART) * 4 if n > PART else 1)
@@ -119,20 +121,91 @@ def kmeans(embedded: DataFrame, radius: float = RADIUS, lloyd: int = 3) -> DataF
     return salted.groupBy("part").applyInArrow(run, "node bigint, part bigint, k bigint")
 
 
-def spectral_clusters(start: DataFrame, affinity: DataFrame, home, rounds: int = ROUNDS) -> DataFrame:
-    """(node, cluster): power iteration, k-means of the embedding, then an exact check against the affinities.
+def _sums(rows: DataFrame, key: str, start: bool) -> DataFrame:
+    """(key, s): the sums of unit rows, or of such sums, by key."""
 
-    The check joins pieces that an affinity still links, as such members belong together by definition; ``cluster`` is the smallest node of the cluster.
-    Nodes without any affinity are left out; no affinities give an empty result.
+    def add(t: pa.Table) -> pa.Table:
+        x = unpack(t.column(1)).astype(float) if start else np.frombuffer(b"".join(t.column(1).to_pylist()), float).reshape(t.num_rows, -1)
+        return pa.table({key: t.column(0).slice(0, 1), "s": pack(x.sum(axis=0)[None, :])})
+
+    return cut(rows.groupBy(key).applyInArrow(add, f"{key} bigint, s binary"))
+
+
+def normalised_cuts(pairs: DataFrame, sums: DataFrame) -> DataFrame:
+    """(p, q, ncut) for pairs of pieces: cut(p, q) / (assoc(p) + cut(p, q)) + the same of q, over the cosines of all their rows; assoc(p) is their sum within p, cut(p, q) that between the two.
+
+    It is near 1 where the two are as much alike as each is within itself, and near 0 where only a stray pair is alike. ``sums`` (piece, s) has the pieces' summed unit vectors, whose
+    products are sums over all pairs, so no pair of rows is looked at.
+    """
+    both = pairs.join(sums.select(F.col("piece").alias("p"), F.col("s").alias("a")), "p").join(sums.select(F.col("piece").alias("q"), F.col("s").alias("b")), "q")
+
+    def run(batches):
+        for t in batches:
+            if t.num_rows:
+                x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), float).reshape(t.num_rows, -1) for c in ("a", "b"))
+                across = np.maximum((x * y).sum(axis=1), 0)
+                ncut = sum(across / np.maximum((z * z).sum(axis=1) + across, 1e-9) for z in (x, y))
+                yield pa.RecordBatch.from_arrays([t.column("p"), t.column("q"), pa.array(ncut.round(9))], ["p", "q", "ncut"])
+
+    return both.select("p", "q", "a", "b").mapInArrow(run, "p bigint, q bigint, ncut double")
+
+
+def joined_pieces(pairs: DataFrame, pieces: DataFrame, units: DataFrame, weak: float) -> DataFrame:
+    """(piece, name) of the pieces in ``pairs`` (p < q): each round joins every piece with the neighbour it has the highest normalised cut with, if that is ``weak`` at least, and sums the joined ones anew.
+
+    So a bridge's lone ends first go to the groups they belong to, and what is compared in the end are whole groups. Rounds at least halve the pieces that
+    still join. Only pieces that occur in ``pairs`` (which some affinity crosses) are summed; each has at most about PART rows.
+    """
+    names = cut(pairs.select(F.explode(F.array("p", "q")).alias("piece")).distinct().withColumn("name", F.col("piece")))
+    sums = _sums(pieces.join(names.select("piece"), "piece").join(units, "node").select("piece", "v"), "piece", True)
+    while True:
+        good = cut(normalised_cuts(pairs, sums).where(F.col("ncut") >= weak))
+        if good.isEmpty():
+            return names
+        ends = good.select("p", "q", "ncut").union(good.select("q", "p", "ncut"))
+        best = ends.groupBy("p").agg(F.min_by("q", F.struct(-F.col("ncut"), "q")).alias("q"))
+        root = cut(connected_components(best, "p", "q"))
+        names = cut(names.join(root, F.col("name") == F.col("node"), "left").select("piece", F.coalesce("component", "name").alias("name")))
+        sums = _sums(sums.join(root, F.col("piece") == F.col("node"), "left").select(F.coalesce("component", "piece").alias("piece"), "s"), "piece", False)
+        for c in ("p", "q"):
+            pairs = pairs.join(root.select(F.col("node").alias(c), "component"), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")
+        pairs = cut(pairs.where("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct())
+
+
+def local_components(edges: DataFrame, home) -> DataFrame:
+    """(node, name): the components of the edges (node, other) whose ends are at home in one part of the graph, found part by part; name is the smallest node. Nodes of no such edge are left out."""
+
+    def run(t: pa.Table) -> pa.Table:
+        a, b = t.column(1).to_numpy(), t.column(2).to_numpy()
+        ids, at = np.unique(np.r_[a, b], return_inverse=True)
+        return pa.table({"node": ids, "name": ids[_merged(np.arange(len(ids)), at[: len(a)], at[len(a) :])]})
+
+    return edges.select(home("node").alias("home"), "node", "other").where(F.col("home") == home("other")).groupBy("home").applyInArrow(run, "node bigint, name bigint")
+
+
+def spectral_clusters(start: DataFrame, affinity: DataFrame, home, units: DataFrame, rounds: int = ROUNDS, weak: float = WEAK) -> DataFrame:
+    """(node, cluster): power iteration, k-means of the embedding, and an exact check of its pieces against the affinities.
+
+    Pieces that some affinity crosses are joined, as alike members belong together, unless the normalised cut between them over all their rows (``units``: node, v) is below ``weak``: then
+    the spectral cut stands (see ``joined_pieces``). Within a piece, and between joined ones, a cluster is what the affinities link: a piece that holds nodes by the nearness of their embedding alone falls apart.
+    ``cluster`` is the smallest node of the cluster. Nodes without any affinity are left out; no affinities give an empty result.
     """
     linked = affinity.select("node").distinct()
     embedded = cut(power_iteration(start.join(linked, "node"), affinity, home, rounds))
     pieces = cut(kmeans(embedded).select("node", F.xxhash64("part", "k").alias("piece")))
-    names = pieces.groupBy("piece").agg(F.min("node").alias("name"))
-    named = cut(pieces.join(names, "piece").select("node", "name"))
+    a, b = pieces.select("node", F.col("piece").alias("p")), pieces.select(F.col("node").alias("other"), F.col("piece").alias("q"))
+    edges = cut(affinity.where("node < other").select("node", "other").join(a, "node").join(b, "other"))
+    across = edges.where("p <> q").select("node", "other", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
+    pairs = cut(across.select("p", "q").distinct())
+    kept = edges.where("p = q").select("node", "other")
+    if not pairs.isEmpty():
+        names = joined_pieces(pairs, pieces, units, weak)
+        c, d = names.select(F.col("piece").alias("p"), F.col("name").alias("c")), names.select(F.col("piece").alias("q"), F.col("name").alias("d"))
+        kept = cut(kept.union(across.join(c, "p").join(d, "q").where("c = d").select("node", "other")))
+    named = cut(embedded.select("node").join(local_components(kept, home), "node", "left").select("node", F.coalesce("name", "node").alias("name")))
+    far = kept.where(home("node") != home("other"))
     a, b = named.select("node", F.col("name").alias("c")), named.select(F.col("node").alias("other"), F.col("name").alias("d"))
-    crossing = affinity.join(a, "node").join(b, "other")
-    joined = connected_components(crossing.where("c <> d").select("c", "d").distinct(), "c", "d")
+    joined = connected_components(far.join(a, "node").join(b, "other").where("c <> d").select("c", "d").distinct(), "c", "d")
     return named.join(joined.withColumnRenamed("node", "name"), "name", "left").select("node", F.coalesce("component", "name").alias("cluster"))
 
 
@@ -331,7 +404,7 @@ def vector_clusters(df: DataFrame, key: str, vec_col: str, least: float = 0.70,
     """
     vectors, members = classes(unit_vectors(df, key, vec_col, dim))
     affinity, keyed = vector_affinities(vectors, least)
-    found = spectral_clusters(projected(keyed), affinity, lambda c: F.shiftright(F.col(c), 40))
+    found = spectral_clusters(projected(keyed), affinity, lambda c: F.shiftright(F.col(c), 40), keyed.select(F.col("h").alias("node"), "v"))
     named = cut(keyed.select("hash", F.col("h").alias("node"), "v").join(found, "node").select(F.col("hash").alias("h"), "cluster", *["v"] * ranked))
     joined = members.join(named.drop("v"), "h", "left").select("id", "h", F.coalesce("cluster", "h").alias("c"))
     if not ranked:
@@ -405,7 +478,8 @@ def label_clusters(df: DataFrame, key: str, label_col: str, shared: int = 3, ran
     Without ``ranked`` inner is left out.
 
     Null and empty labels, and labels of fewer distinctive words, belong to none. Labels of the same words form one node; nodes meet over each
-    combination of ``shared`` words that more than one has, every one linked to the combination's first node rather than to every other.
+    combination of ``shared`` words that more than one has, every one linked to a first node rather than to every other, with a first node for every HOME. A label of more than
+    WORDS words has too many combinations: it is compared with all that have a word in common with it, and its inner counts the words shared.
     """
     words = cut(df.select(F.col(key).cast("long").alias("id"), F.explode(label_words(F.col(label_col))).alias("word")))
     rooted = words.join(word_roots(words), "word").select("id", "word", "root").distinct()
@@ -414,9 +488,17 @@ def label_clusters(df: DataFrame, key: str, label_col: str, shared: int = 3, ran
     sets = kept.groupBy("id").agg(F.array_sort(F.collect_list("alike")).alias("roots")).where(F.size("roots") >= shared)
     sets = cut(sets.withColumn("h", F.xxhash64("roots")))
     nodes = cut(sets.groupBy("h").agg(F.first("roots").alias("roots"), F.count("*").alias("copies")))
-    combos = nodes.select("h", F.explode(F.array_distinct(_combinations(F.col("roots"), shared))).alias("combo"))
-    first = combos.groupBy("combo").agg(F.min("h").alias("other"), F.count("*").alias("n")).where("n > 1")
-    one = combos.join(first, "combo").where("h <> other").groupBy("h", "other").agg(F.count("*").cast("double").alias("w"))
+    usual = nodes.where(F.size("roots") <= WORDS)
+    combos = cut(usual.select("h", F.explode(F.array_distinct(_combinations(F.col("roots"), shared))).alias("combo")))
+    held = combos.groupBy("combo").agg(F.min("h").alias("head"), F.count("*").alias("n")).where("n > 1").withColumn("salts", F.ceil(F.col("n") / HOME))
+    met = combos.join(held, "combo").withColumn("salt", F.pmod(F.xxhash64("h"), F.col("salts")))
+    salted = met.where("salts > 1").groupBy("combo", "salt").agg(F.min("h").alias("other"), F.first("head").alias("head"))
+    stars = met.where("salts = 1").select("h", F.col("head").alias("other")).union(met.where("salts > 1").join(salted.drop("head"), ["combo", "salt"]).select("h", "other")).union(salted.select(F.col("other").alias("h"), F.col("head").alias("other")))
+    long = nodes.where(F.size("roots") > WORDS).select("h", F.posexplode("roots").alias("i", "rs")).select("h", "i", F.explode("rs").alias("root"))
+    every = nodes.select(F.col("h").alias("other"), F.posexplode("roots").alias("j", "rs")).select("other", "j", F.explode("rs").alias("root"))
+    alike = long.join(every, "root").where("h <> other").groupBy("h", "other").agg(F.least(F.count_distinct("i"), F.count_distinct("j")).alias("w")).where(F.col("w") >= shared)
+    one = stars.where("h <> other").groupBy("h", "other").agg(F.count("*").cast("double").alias("w")).union(alike.select("h", "other", F.col("w").cast("double")))
+    one = one.groupBy(F.least("h", "other").alias("h"), F.greatest("h", "other").alias("other")).agg(F.sum("w").alias("w"))
     affinity = cut(one.union(one.select("other", "h", "w")).toDF("node", "other", "w"))
     gauss = [_label_axis(F.array_distinct(F.flatten("roots")), i) for i in range(DIMS)]
 
@@ -428,16 +510,31 @@ def label_clusters(df: DataFrame, key: str, label_col: str, shared: int = 3, ran
 
     start = nodes.select(F.col("h").alias("node"), *[g.alias(f"x{i}") for i, g in enumerate(gauss)]).mapInArrow(packed, "node bigint, x binary")
     homes = max(1, -(-nodes.count() // HOME))
-    found = spectral_clusters(start, affinity, lambda c: F.pmod(F.xxhash64(c), F.lit(homes)))
+    hashes = nodes.select(F.col("h").alias("node"), F.transform(F.array_distinct(F.flatten("roots")), lambda r: F.xxhash64(r)).alias("r"))
+    found = spectral_clusters(start, affinity, lambda c: F.pmod(F.xxhash64(c), F.lit(homes)), hashes.mapInArrow(_signed, "node bigint, v binary"))
     joined = sets.select("id", "h").join(found.withColumnRenamed("node", "h"), "h", "left").select("id", "h", F.coalesce("cluster", "h").alias("c"))
     if not ranked:
         return _smallest(joined)
-    # the star only connects: every member of a combination counts here, copies too; all of them are in one cluster
-    held = combos.join(nodes.select("h", "copies"), "h").groupBy("combo").agg(F.sum("copies").alias("n")).where("n > 1")
-    inner = combos.join(held, "combo").groupBy("h").agg(F.sum(F.col("n") - 1).cast("double").alias("inner"))
+    # the star only connects: every member of a combination counts here, copies too
+    counts = combos.join(nodes.select("h", "copies"), "h").groupBy("combo").agg(F.sum("copies").alias("n")).where("n > 1")
+    inner = combos.join(counts, "combo").groupBy("h").agg(F.sum(F.col("n") - 1).cast("double").alias("inner"))
+    inner = inner.union(alike.groupBy("h").agg(F.sum("w").cast("double"))).groupBy("h").agg(F.sum("inner").alias("inner"))
     return _smallest(joined.join(inner, "h", "left").select("id", "c", F.coalesce("inner", F.lit(0.0)).alias("inner")))
 
 
+def _signed(batches):
+    """(node, v): a label's roots as a unit row of 128 summed signs, whose products estimate the share of roots in common."""
+    for b in batches:
+        if b.num_rows:
+            n = b.column(1).value_lengths().to_numpy()
+            x = b.column(1).flatten().to_numpy().view(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, 3, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            sign = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1).astype(float) * 2 - 1
+            s = np.add.reduceat(sign, np.r_[0, np.cumsum(n)[:-1]])
+            yield pa.RecordBatch.from_arrays([b.column(0), pack(np.rint(s / np.maximum(np.linalg.norm(s, axis=1, keepdims=True), 1e-9) * SCALE).astype(np.int16))], ["node", "v"])
+
+
 def _label_axis(roots, seed: int):
     return F.aggregate(F.transform(roots, lambda r: _normal(r, seed)), F.lit(0.0), lambda a, v: a + v) / F.sqrt(F.size(roots))
 

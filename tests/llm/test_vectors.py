@@ -193,3 +193,53 @@ def test_label_inner_is_the_whole_cluster(spark):
 @pytest.mark.parametrize("a,b,same", [("abcdef", "abdcef", True), ("abcdef", "abcde", True), ("abcdef", "abxdef", True), ("abcdef", "abcdeff", True), ("abcdef", "badcef", False), ("abc", "abcde", False)])
 def test_one_slip(a, b, same):
     assert spectral.one_slip(a, b) == same == spectral.one_slip(b, a)
+
+
+def plain(spark, x):
+    return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "node_id long, vec array<float>")
+
+
+def test_two_tight_groups_of_more_than_k_are_one(spark):
+    rng = np.random.default_rng(2)
+    q = np.linalg.qr(rng.standard_normal((DIM, DIM)))[0]
+    x = np.concatenate([np.sqrt(0.86) * q[0] + np.sqrt(0.14) * q[1 + g] + 0.02 * rng.standard_normal((10, DIM)) / np.sqrt(DIM) for g in range(2)])
+    assert cosines(x)[~np.eye(20, dtype=bool)].min() > 0.8
+    assert {r.cluster_id for r in spectral.vector_clusters(plain(spark, x), "node_id", "vec", 0.7, DIM).collect()} == {0}
+
+
+def chained():
+    """Two groups of 40 that nothing but one pair of a cosine above 0.70 links."""
+    rng = np.random.default_rng(4)
+    q = np.linalg.qr(rng.standard_normal((DIM, DIM)))[0]
+    a, b = (q[g] + 0.45 * rng.standard_normal((40, DIM)) / np.sqrt(DIM) for g in range(2))
+    a[0], b[0] = q[0] + 0.62 * q[1], q[1] + 0.62 * q[0]
+    return np.concatenate([a, b])
+
+
+def test_a_weak_cut_stands(spark, monkeypatch):
+    x = chained()
+    s = cosines(x)
+    assert (s[:40, 40:] >= 0.7).sum() == 1 and ((s[:40, :40] >= 0.7).sum(1) > 1).all()
+    got = {r.member_id: r.cluster_id for r in spectral.vector_clusters(plain(spark, x), "node_id", "vec", 0.7, DIM).collect()}
+    assert got == {i: 40 * (i // 40) for i in range(80)}
+    # without the spectral step the pair would make them one
+    monkeypatch.setattr(spectral, "kmeans", lambda e: e.select("node", F.lit(0).alias("part"), F.lit(0).alias("k")))
+    assert {r.cluster_id for r in spectral.vector_clusters(plain(spark, x), "node_id", "vec", 0.7, DIM).collect()} == {0}
+
+
+def test_one_piece_is_not_one_cluster(spark, world, monkeypatch):
+    monkeypatch.setattr(spectral, "kmeans", lambda e: e.select("node", F.lit(0).alias("part"), F.lit(0).alias("k")))
+    s = cosines(world)
+    for r in spectral.vector_clusters(frame(spark, world), "node_id", "vec", 0.7, DIM).collect():
+        assert s[r.member_id].max() >= 0.699
+
+
+@pytest.mark.parametrize("home", [4096, 3])
+def test_long_labels_and_many_of_one_combination(spark, monkeypatch, home):
+    monkeypatch.setattr(spectral, "HOME", home)
+    words = ["amberquay", "holgate", "scaphoorn", "wickrigg", "tarnbeck", "riverpath"]
+    extra = [f"{a}{b}filler" for a in "bcdfghjklm" for b in "aeiou"]
+    rows = [(i, f"amberquay holgate scaphoorn {extra[i]}") for i in range(20)]
+    rows += [(30, " ".join(words[:3] + [e + "x" for e in extra])), (31, " ".join(words[3:] + ["zu" + e[::-1] for e in extra])), (32, " ".join(words[3:])), (33, " ".join(words[2:4]))]
+    got = {r.member_id: r.cluster_id for r in spectral.label_clusters(spark.createDataFrame(rows, "region_id long, label string"), "region_id", "label").collect()}
+    assert got == {i: 0 for i in [*range(20), 30]} | {31: 31, 32: 31}
