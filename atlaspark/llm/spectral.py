@@ -157,7 +157,9 @@ def joined_pieces(pairs: DataFrame, pieces: DataFrame, units: DataFrame, weak: f
     still join. Only pieces that occur in ``pairs`` (which some affinity crosses) are summed; each has at most about PART rows.
     """
     names = cut(pairs.select(F.explode(F.array("p", "q")).alias("piece")).distinct().withColumn("name", F.col("piece")))
-    sums = _sums(pieces.join(names.select("piece"), "piece").join(units, "node").select("piece", "v"), "piece", True)
+    members = cut(pieces.join(names.select("piece"), "piece"))
+    few = F.broadcast if members.count() <= FEW else lambda df: df
+    sums = _sums(units.join(few(members), "node").select("piece", "v"), "piece", True)
     while True:
         good = cut(normalised_cuts(pairs, sums).where(F.col("ncut") >= weak))
         if good.isEmpty():
@@ -220,6 +222,7 @@ def describe(clusters: DataFrame, top: int = 5) -> DataFrame:
 
 
 UNSURE = 0.005  # about the threshold, where 8-bit vectors do not decide
+FEW = 100_000  # rows, of some 300 bytes at most, that are broadcast; more are shuffled
 
 
 def _merged(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -306,7 +309,7 @@ def cell_links(rows: DataFrame, k: int, least: float) -> DataFrame:
     return rows.groupBy("cell").applyInArrow(run, LISTS + ", tree boolean")
 
 
-def vector_affinities(vectors: DataFrame, least: float, k: int = 5) -> tuple[DataFrame, DataFrame]:
+def vector_affinities(vectors: DataFrame, least: float, k: int = 3) -> tuple[DataFrame, DataFrame]:
     """(affinity (node, other, w), both ways round, keyed vectors): each vector's nearest, of a cosine of least at least, and as many links besides as keep together what any such pair of a cell links.
 
     The k nearest alone would not do: where more than k near-copies exist, their places all go to one another. Where the 8-bit vectors leave a link open, the 16-bit ones decide.
@@ -331,9 +334,11 @@ def vector_affinities(vectors: DataFrame, least: float, k: int = 5) -> tuple[Dat
             if t.num_rows:
                 yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(np.einsum("ij,ij->i", unpack(t.column(2)), unpack(t.column(3))).astype(float))], ["h", "m", "w"])
 
-    unsure = one.where(F.col("w") < least + UNSURE)
-    if not unsure.isEmpty():
-        again = unsure.join(a, "h").join(b, "m").select("h", "m", "va", "vb").mapInArrow(cosines, "h bigint, m bigint, w double").where(F.col("w") >= least)
+    unsure = cut(one.where(F.col("w") < least + UNSURE))
+    n = unsure.count()
+    if n:
+        few = F.broadcast if n <= FEW else lambda df: df
+        again = few(few(unsure).join(a, "h")).join(b, "m").select("h", "m", "va", "vb").mapInArrow(cosines, "h bigint, m bigint, w double").where(F.col("w") >= least)
         one = cut(one.where(F.col("w") >= least + UNSURE).union(again))
     pair = one.groupBy(F.least("h", "m").alias("a"), F.greatest("h", "m").alias("b")).agg(F.max("w").alias("w"))
     both = pair.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other"), "w"), F.struct(F.col("b").alias("node"), F.col("a").alias("other"), "w"))).alias("e"))
