@@ -106,22 +106,60 @@ def test_near_duplicates(spark, size, threshold):
     assert links.where(f"similarity < {threshold}").count() == 0
 
 
+def boilerplate(n=300):
+    """Texts that share a long stock passage and nothing else: a similarity of some 0.45."""
+    rng = random.Random(9)
+    stock = [rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(64)]
+    return [(i, " ".join(stock + [f"w{i}x{j}" for j in range(38)])) for i in range(n)] + [(9000 + i, " ".join(stock + [f"w0x{j}" for j in range(38 - i)])) for i in range(3)]
+
+
+@pytest.mark.parametrize("tile", [512, 64])
+def test_stock_passages_do_not_yield_all_pairs(spark, monkeypatch, tile):
+    monkeypatch.setattr(neardup, "TILE", tile)
+    rows = boilerplate()
+    df = spark.createDataFrame(rows, "node_id long, cores string")
+    members, _ = neardup.near_duplicates(df, "node_id", "cores", 3, 0.5)
+    assert {r.node_id: r.group_id for r in members.collect()} == brute_groups(rows, 3, 0.5, 8) == {0: 0, 9000: 0, 9001: 0, 9002: 0}
+
+
+def test_a_tile_yields_a_forest():
+    rows = boilerplate(200) + [(5000 + i, "stock words of one more text that is near another one and again the same " + f"end{i}") for i in range(100)]
+    at, n, values = neardup.shingle_sets([t for _, t in rows], 3, 8, neardup._Words())
+    _, sk = neardup.signatures(n, values)
+    sets = np.split(values, np.cumsum(n)[:-1])
+    got = neardup.tile_links(np.array([k for k, _ in rows]), np.ascontiguousarray(sk).view(np.uint64), sets, 0.5)
+    assert len(got) == 99 + 3 and all((a in range(5000, 6000)) == (b in range(5000, 6000)) for a, b in got)
+
+
+def test_a_wrong_sketch_loses_no_link(spark, monkeypatch):
+    # sketches that call everything alike make every tree edge doubtful
+    rows = boilerplate(24) + [(100 + i, " ".join(f"z{j}" for j in range(40)) + f" end{i}") for i in range(12)]
+    monkeypatch.setattr(neardup, "estimate", lambda x: np.ones_like(x, dtype=float))
+    members, _ = neardup.near_duplicates(spark.createDataFrame(rows, "node_id long, cores string"), "node_id", "cores", 3, 0.5)
+    assert {r.node_id: r.group_id for r in members.collect()} == brute_groups(rows, 3, 0.5, 8)
+
+
+def test_rows_of_one_key_that_differ(spark):
+    a, b, c = (" ".join(f"{x}{j}" for j in range(20)) for x in "abc")
+    df = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (4, c), (4, c), (None, c), (5, c)], "node_id long, cores string")
+    got = {r.node_id: r.group_id for r in neardup.near_duplicates(df, "node_id", "cores", 3, 0.5)[0].collect()}
+    assert got in ({1: 1, 2: 1, 4: 4, 5: 4}, {1: 1, 3: 1, 4: 4, 5: 4})
+
+
 def test_near_duplicates_empty(spark):
     df = spark.createDataFrame([], "node_id long, cores string")
     assert neardup.near_duplicates(df, "node_id", "cores")[0].count() == 0
 
 
 def test_odd_sketch_estimates():
-    import pyarrow as pa
-
     rng = np.random.default_rng(0)
     for j in (0.5, 0.8, 0.95):
         est = []
         for _ in range(40):
-            u = rng.integers(-(2**62), 2**62, 400)
+            u = rng.integers(0, 2**32, 400, dtype=np.uint32)
             n = int(400 * (1 - j) / 2)
             a, b = u[: 400 - n], np.r_[u[:0], u[n:]]
-            _, sk = neardup.signatures(pa.array([np.sort(a), np.sort(b)], pa.list_(pa.int64())))
+            _, sk = neardup.signatures(np.array([len(a), len(b)]), np.r_[a, b])
             true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
             est.append(neardup.estimate(np.bitwise_count(sk[0] ^ sk[1]).sum()) - true)
         assert abs(np.mean(est)) < 0.04 and np.std(est) < 0.1
