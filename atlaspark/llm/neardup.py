@@ -374,4 +374,13 @@ def p3_found(spark, sf_dir):
 
 
 QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups}
-ORACLE = {}
+ORACLE = {
+    "p3_found": """WITH RECURSIVE d AS (SELECT DISTINCT ON (node_id) node_id, cores FROM docs WHERE node_id IS NOT NULL),
+w AS (SELECT node_id, regexp_extract_all(lower(cores), '[\\p{L}\\p{N}]+') AS w FROM d),
+s AS (SELECT DISTINCT node_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM w, unnest(range(1, len(w) - 1)) AS r(i) WHERE len(w) >= 8),
+n AS (SELECT node_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.node_id AS a, b.node_id AS b, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.node_id <> b.node_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON a = x.node_id JOIN n y ON b = y.node_id WHERE c >= 0.5 * (x.n + y.n - c)),
+r AS (SELECT a AS node_id, a AS m FROM l UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.node_id AND r.m < l.b)
+SELECT node_id, min(m) AS group_id FROM r GROUP BY 1"""
+}
