@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +16,13 @@ from ..session import cut, partitions, table
 
 SCALE = 32767.0
 CELL = 512  # rows per pivot
-MAX_PIVOTS = 2048  # bound of the sample that the cells are fitted on, per level
-OVERSIZE = 6144  # a cell beyond this is cut again by pivots of its own
-TABLES, SPILL = 2, 2
+MAX_PIVOTS = 2048  # bound of the sample that the cells of a table are fitted on
+OVERSIZE = 6144  # a cell beyond this is cut again
+BITS = 12  # planes that cut a cell, at most
+TABLES, SPILL = 1, 2
 SEED = 7
+ROUNDS, STILL = 8, 0.002  # rounds of the descent at most, and the share of list entries whose change in a round ends it
+FEW = 1_000_000  # rows of some 20 bytes that are broadcast; more are shuffled
 
 
 def unit_int16(vec: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,23 +93,21 @@ def classes(units: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class Cells:
-    """Voronoi cells about sampled pivots: each vector lies in the cells of its SPILL nearest pivots, in each of TABLES independent samples."""
+    """Voronoi cells about sampled pivots: each vector lies in the cells of its SPILL nearest pivots, in each of ``tables`` independent samples.
+
+    The pivots are fitted on a bounded sample, at most some MAX_PIVOTS rows a table; every row is placed. A cell of more than OVERSIZE rows is cut by as many planes through its pivot as bring its
+    rows down to about CELL, at random but the same on every worker, so nothing but the cells' sizes, MAX_PIVOTS a table, is needed for it.
+    """
 
     def __init__(self, vectors: DataFrame, n: int, tables: int = TABLES, seed: int = SEED):
-        self.tables, self.seed, self.pivots, self.codes = tables, seed, {}, None
-        for t in range(tables):
-            self.pivots[(t,)] = self._sample(vectors, max(1, min(MAX_PIVOTS, round(n / CELL))) / max(n, 1), t)
-        for depth in range(1, 6):
-            big = {tuple(r["cell"]): r["count"] for r in vectors.mapInArrow(self._runner(False), "cell array<int>").groupBy("cell").count().where(f"count > {OVERSIZE}").collect()} if n > OVERSIZE / 2 else {}
-            if not big:
-                break
-            keys = F.create_map(*[x for c in big for x in (F.lit(",".join(map(str, c))), F.lit(max(2, min(64, big[c] // CELL)) / big[c]))])
-            sub = vectors.mapInArrow(self._runner(True), "cell array<int>, h bigint, v binary").withColumn("f", keys[F.concat_ws(",", F.col("cell").cast("array<string>"))])
-            picked = sub.where((F.pmod(F.xxhash64("h", F.lit(seed * 100 + depth)), F.lit(1 << 20)) < F.col("f") * (1 << 20))).select("cell", "h", "v").toArrow()
-            for c in big:
-                mine = picked.filter(pa.array([tuple(x) == c for x in picked.column(0).to_pylist()], pa.bool_()))
-                if mine.num_rows > 1:
-                    self.pivots[c] = unpack(mine.column(2))
+        self.sc, self.seed = vectors.sparkSession.sparkContext, seed
+        self.pivots = [self._sample(vectors, max(1, min(MAX_PIVOTS, round(n / CELL))) / max(n, 1), t) for t in range(tables)]
+        self.bits = [np.zeros(len(p), np.int64) for p in self.pivots]
+        if n > OVERSIZE / 2:
+            self._share()
+            for r in self.rows(vectors.select("h", "v"), sizes=True).groupBy("cell").count().where(f"count > {OVERSIZE}").collect():
+                self.bits[r.cell // MAX_PIVOTS // 4][r.cell % (MAX_PIVOTS * 4)] = min(BITS, int(np.ceil(np.log2(r["count"] / CELL))))
+        self._share()
 
     def _sample(self, vectors: DataFrame, fraction: float, t: int) -> np.ndarray:
         key = F.pmod(F.xxhash64("h", F.lit(self.seed + t)), F.lit(1 << 24))
@@ -114,90 +116,73 @@ class Cells:
             got = vectors.select("v").limit(1).toArrow()
         return unpack(got.column(0))
 
-    def assign(self, x: np.ndarray) -> list[tuple[tuple, np.ndarray]]:
-        """[(cell, row numbers)]"""
-        out, todo = [], [((t,), np.arange(len(x))) for t in range(self.tables)]
-        while todo:
-            path, rows = todo.pop()
-            p = self.pivots.get(path)
-            if p is None or not len(p):
-                out.append((path, rows))
-                continue
-            s = x[rows] @ p.T
-            k = min(SPILL, s.shape[1])
-            near = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < s.shape[1] else np.tile(np.arange(k), (len(rows), 1))
-            flat, who = near.ravel(), np.repeat(rows, k)
-            order = np.argsort(flat, kind="stable")
-            flat, who = flat[order], who[order]
-            edges = np.r_[0, np.flatnonzero(np.diff(flat)) + 1, len(flat)]
-            todo += [((*path, int(flat[a])), who[a:b]) for a, b in zip(edges, edges[1:])]
-        return out
-
-    def _runner(self, full: bool):
-        assign = self.assign
-
-        def run(batches):
-            for b in batches:
-                if b.num_rows:
-                    got = assign(unpack(b.column(1)))
-                    rows = np.concatenate([r for _, r in got])
-                    cells = pa.array([c for c, r in got for _ in range(len(r))], pa.list_(pa.int32()))
-                    take = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([cells, b.column(0).take(take), b.column(1).take(take)] if full else [cells], ["cell", "h", "v"] if full else ["cell"])
-
-        return run
-
-    def homes(self, x: np.ndarray) -> np.ndarray:
-        """The one cell of the first table that each row lies deepest in, as a number below 2^23. Cells that were too large have been cut, so a home is bounded too."""
-        if self.codes is None:
-            self.codes, todo = {}, [(0,)]
-            while todo:
-                path = todo.pop()
-                if path in self.pivots and len(self.pivots[path]):
-                    todo += [(*path, i) for i in range(len(self.pivots[path]))]
-                else:
-                    self.codes[path] = len(self.codes)
-        out, todo = np.zeros(len(x), np.int64), [((0,), np.arange(len(x)))]
-        while todo:
-            path, rows = todo.pop()
-            if path in self.codes:
-                out[rows] = self.codes[path]
-                continue
-            near = (x[rows] @ self.pivots[path].T).argmax(axis=1)
-            todo += [((*path, int(i)), rows[near == i]) for i in np.unique(near)]
-        return out
+    def _share(self):
+        planes = np.random.default_rng(self.seed).standard_normal((BITS, self.pivots[0].shape[1])).astype(np.float32)
+        self.shared = self.sc.broadcast((self.pivots, self.bits, planes))
 
-    def keyed(self, vectors: DataFrame) -> DataFrame:
+    def keyed(self, vectors: DataFrame, *keep: str) -> DataFrame:
         """(h, v, hash): h now has the home in its upper bits and the hash's lower 40 below, so a node's home is known wherever its key is."""
-        homes = self.homes
+        shared = self.shared
 
         def run(batches):
             for b in batches:
                 if b.num_rows:
                     h = b.column(0).to_numpy()
-                    key = (homes(unpack(b.column(1))) << 40) | (h & ((1 << 40) - 1))
+                    key = (homes(shared.value, unpack(b.column(1))) << 40) | (h & ((1 << 40) - 1))
                     yield pa.RecordBatch.from_arrays([pa.array(key), b.column(1), b.column(0)], ["h", "v", "hash"])
 
-        return vectors.mapInArrow(run, "h bigint, v binary, hash bigint")
+        return vectors.select("h", "v").mapInArrow(run, "h bigint, v binary, hash bigint")
 
-    def rows(self, vectors: DataFrame, in8bits: bool = False) -> DataFrame:
-        """(cell, h, v): every vector once for each of its cells; a cell is named by the hash of its path."""
-        assign = self.assign
+    def rows(self, vectors: DataFrame, in8bits: bool = False, sizes: bool = False) -> DataFrame:
+        """(cell, h, v): every vector once for each of its cells; only (cell) for their sizes."""
+        shared = self.shared
 
         def run(batches):
             for b in batches:
                 if b.num_rows:
                     x = unpack(b.column(1))
-                    got = assign(x)
-                    take = pa.array(np.concatenate([r for _, r in got]))
-                    v = pack(coarse(x)) if in8bits else b.column(1)
-                    code = np.repeat(np.array([hash(c) & 0x7FFFFFFFFFFFFFFF for c, _ in got], np.int64), [len(r) for _, r in got])
-                    yield pa.RecordBatch.from_arrays([pa.array(code), b.column(0).take(take), v.take(take)], ["cell", "h", "v"])
-
-        return vectors.mapInArrow(run, "cell bigint, h bigint, v binary")
+                    cell, row = cells_of(shared.value, x, not sizes)
+                    if sizes:
+                        yield pa.RecordBatch.from_arrays([pa.array(cell)], ["cell"])
+                        continue
+                    v, take = pack(coarse(x)) if in8bits else b.column(1), pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), b.column(0).take(take), v.take(take)], ["cell", "h", "v"])
+
+        return vectors.select("h", "v").mapInArrow(run, "cell bigint" if sizes else "cell bigint, h bigint, v binary")
+
+
+def _cut(fitted, table_: int, x: np.ndarray, pivot: np.ndarray) -> np.ndarray:
+    """On which side of its cell's planes each row lies, as a number; 0 where the cell is not cut."""
+    pivots, bits, planes = fitted
+    out, some = np.zeros(len(x), np.int64), np.flatnonzero(bits[table_][pivot])
+    if len(some):
+        side = ((x[some] - pivots[table_][pivot[some]]) @ planes.T > 0) & (np.arange(len(planes))[None, :] < bits[table_][pivot[some]][:, None])
+        out[some] = side @ (1 << np.arange(len(planes)))
+    return out
+
+
+def cells_of(fitted, x: np.ndarray, fine: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, row) of every row's cells. A cell's number has its table, its pivot and, unless only ``fine`` is off, the side of its planes."""
+    cell, row = [], []
+    for t, p in enumerate(fitted[0]):
+        s = x @ p.T
+        k = min(SPILL, s.shape[1])
+        near = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < s.shape[1] else np.tile(np.arange(k), (len(x), 1))
+        who, pivot = np.repeat(np.arange(len(x)), k), near.ravel()
+        code = t * MAX_PIVOTS * 4 + pivot
+        cell.append(code << BITS | _cut(fitted, t, x[who], pivot) if fine else code)
+        row.append(who)
+    return np.concatenate(cell), np.concatenate(row)
+
+
+def homes(fitted, x: np.ndarray) -> np.ndarray:
+    """The one cell of the first table that each row lies deepest in, as a number below 2^24."""
+    pivot = (x @ fitted[0][0].T).argmax(axis=1)
+    return pivot << BITS | _cut(fitted, 0, x, pivot)
 
 
 LISTS = "h bigint, nbr array<bigint>, sim array<float>"
+GRAPH = LISTS + ", fresh array<boolean>"
 
 
 def _top(sims: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,47 +243,65 @@ def best_k(h: np.ndarray, n: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndar
     return h[keep], n[keep], s[keep]
 
 
-def merge_lists(df: DataFrame, k: int) -> DataFrame:
-    """One list of the k best per node out of many; ties go to the smaller key."""
+def merge_lists(df: DataFrame, k: int, anew: bool = False) -> DataFrame:
+    """(h, nbr, sim, fresh): one list of the k best per node out of many; ties go to the smaller key. ``df`` is (h, nbr, sim, old): fresh marks what is not on the node's old list. With ``anew`` old lists serve for that only."""
 
     def run(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        h, n, s = best_k(*flat(pa.Table.from_batches(got).combine_chunks()), k)
+        t = pa.Table.from_batches(got).combine_chunks()
+        h, n, s = best_k(*flat(t.filter(pc.invert(t.column(3))).combine_chunks() if anew else t), k)
+        if not len(h):
+            return
+        before = flat(t.filter(t.column(3)))
+        was = np.zeros(len(h), bool)
+        if len(before[0]):
+            pair = np.unique(np.stack([before[0], before[1]], axis=1).view([("h", np.int64), ("n", np.int64)]).ravel())
+            was = np.isin(np.stack([h, n], axis=1).view([("h", np.int64), ("n", np.int64)]).ravel(), pair)
         u, counts = np.unique(h, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(u), lists(n, counts), lists(s, counts)], ["h", "nbr", "sim"])
+        yield pa.RecordBatch.from_arrays([pa.array(u), lists(n, counts), lists(s, counts), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(~was))], ["h", "nbr", "sim", "fresh"])
 
-    return df.repartition(partitions(df.sparkSession), "h").mapInArrow(run, LISTS)
+    return df.select("h", "nbr", "sim", "old").repartition(partitions(df.sparkSession), "h").mapInArrow(run, GRAPH)
 
 
 def home_of(h: str):
     return F.shiftright(F.col(h), 40)
 
 
-def star_members(c: np.ndarray, m: np.ndarray, own: np.ndarray, reverse: int) -> tuple[np.ndarray, np.ndarray]:
-    """(node, member), one row each, by node: all members on the node's own list, and of those that only have it on theirs the first ``reverse`` in an order by hash."""
-    mixed = ((m ^ c).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-    order = np.lexsort((~own, m, mixed, c))
-    c, m, own = c[order], m[order], own[order]
-    first = np.r_[True, (c[1:] != c[:-1]) | (m[1:] != m[:-1])]
-    c, m, own = c[first], m[first], own[first]
+def star_members(c: np.ndarray, m: np.ndarray, own: np.ndarray, fresh: np.ndarray, reverse: int, turn: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, member, fresh), one row each, by node: all members on the node's own list, and of those that only have it on theirs the first ``reverse`` in an order by hash that changes with ``turn``, fresh ones first."""
+    mixed = ((m ^ c ^ turn).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+    order = np.lexsort((~own, m, mixed, ~fresh, c))
+    c, m, own, fresh = c[order], m[order], own[order], fresh[order]
+    # a member that is on both lists counts as own, and as fresh if either entry is
+    pair = np.lexsort((~own, m, c))
+    first = np.r_[True, (c[pair][1:] != c[pair][:-1]) | (m[pair][1:] != m[pair][:-1])]
+    group = np.cumsum(first) - 1
+    any_fresh = np.zeros(group[-1] + 1, bool)
+    np.logical_or.at(any_fresh, group, fresh[pair])
+    keep = np.sort(pair[first])
+    fresh[pair[first]] = any_fresh
+    c, m, own, fresh = c[keep], m[keep], own[keep], fresh[keep]
     starts = np.r_[0, np.flatnonzero(np.diff(c)) + 1]
     sampled = np.cumsum(~own)
     stay = own | (sampled - np.repeat(sampled[starts] - ~own[starts], np.diff(np.r_[starts, len(c)])) <= reverse)
-    return c[stay], m[stay]
+    return c[stay], m[stay], fresh[stay]
 
 
-def local_join(graph: DataFrame, vectors: DataFrame, k: int, least: float) -> DataFrame:
-    """One NN-descent step: whoever meets in the list or the reverse list of some node is compared; returns the best k found, per node.
+def local_join(graph: DataFrame, vectors: DataFrame, k: int, least: float, turn: int = 0) -> DataFrame:
+    """The proposals (h, nbr, sim) of one NN-descent step: of all who meet in the list or the reverse list of some node, those are compared of which one came onto it in the step before.
 
-    Each node is at home in one cell. A cell gets the lists of its own nodes and, once, every vector that occurs in them; there the neighbours of
-    neighbours are compared. Reverse lists can be long: as NN-descent does, 2k of them are sampled, by hash. A node's own list always stays, so every link found before is compared again and
-    a step can only improve a list.
+    Each node is at home in one cell. A cell gets the lists of its own nodes, unless nothing on them is fresh, and, once, every vector that occurs in them; there the neighbours of
+    neighbours are compared. Reverse lists can be long: as NN-descent does, 2k of them are sampled, by hash, others each round. A node's own list always stays, and the caller
+    merges what comes out with it, so a step can only improve a list.
     """
-    edges = graph.select("h", F.explode("nbr").alias("m"), F.lit(True).alias("own"))
-    both = edges.union(edges.select(F.col("m").alias("h"), F.col("h").alias("m"), F.lit(False))).withColumn("home", home_of("h"))
-    own = graph.select(home_of("h").alias("at"), F.col("h").alias("id"))
+    edges = graph.select("h", F.explode(F.arrays_zip("nbr", "fresh")).alias("x")).select("h", F.col("x.nbr").alias("m"), F.lit(True).alias("own"), F.col("x.fresh").alias("fresh"))
+    both = edges.union(edges.select(F.col("m").alias("h"), F.col("h").alias("m"), F.lit(False), "fresh")).withColumn("home", home_of("h"))
+    if turn:  # in the first round everything is fresh
+        both = cut(both)
+        both = both.join(both.where("fresh").select("h").distinct(), "h").select(*both.columns)
+    own = both.select(F.col("home").alias("at"), F.col("h").alias("id"))
     asked = both.select(F.col("home").alias("at"), F.col("m").alias("id")).union(own).distinct()
     need = asked.join(vectors.select(F.col("h").alias("id"), "v"), "id").select("at", "id", "v")
 
@@ -311,8 +314,8 @@ def local_join(graph: DataFrame, vectors: DataFrame, k: int, least: float) -> Da
         ids, x = ids[order], x[order]
         c, m = left.column("h").to_numpy(), left.column("m").to_numpy()
         who = np.unique(c)
-        c, m, own = np.r_[c, who], np.r_[m, who], np.r_[left.column("own").to_numpy(), np.ones(len(who), bool)]
-        c, m = star_members(c, m, own, 2 * k)
+        own, fresh = (np.r_[left.column(z).to_numpy(), np.full(len(who), z == "own")] for z in ("own", "fresh"))
+        c, m, fresh = star_members(np.r_[c, who], np.r_[m, who], own, fresh, 2 * k, turn)
         m = np.searchsorted(ids, m)
         starts = np.r_[0, np.flatnonzero(np.diff(c)) + 1]
         sizes = np.diff(np.r_[starts, len(c)])
@@ -320,10 +323,10 @@ def local_join(graph: DataFrame, vectors: DataFrame, k: int, least: float) -> Da
         for size in np.unique(sizes):
             if size < 2:
                 continue
-            rows = m[starts[sizes == size][:, None] + np.arange(size)]
+            at = starts[sizes == size][:, None] + np.arange(size)
             i, j = np.triu_indices(size, 1)
-            a, b = rows[:, i], rows[:, j]
-            codes.append(np.unique(np.minimum(a, b).astype(np.int64) * len(ids) + np.maximum(a, b)))
+            a, b, new = m[at][:, i], m[at][:, j], fresh[at][:, i] | fresh[at][:, j]
+            codes.append(np.unique((np.minimum(a, b).astype(np.int64) * len(ids) + np.maximum(a, b))[new]))
         if not codes:
             return empty
         code = np.unique(np.concatenate(codes))
@@ -347,22 +350,33 @@ def local_join(graph: DataFrame, vectors: DataFrame, k: int, least: float) -> Da
     return both.groupBy("home").cogroup(need.groupBy("at")).applyInArrow(run, LISTS)
 
 
-def neighbour_graph(vectors: DataFrame, k: int, least: float = -1.0, rounds: int = 1, tables: int = TABLES) -> tuple[DataFrame, DataFrame]:
-    """(graph (h, nbr, sim), vectors (h, v, hash)): the approximate k nearest of every vector, those of a cosine of least at least.
+def neighbour_graph(vectors: DataFrame, k: int, least: float = -1.0, rounds: int = ROUNDS, tables: int = TABLES, still: float = STILL, seen=None) -> tuple[DataFrame, DataFrame, Cells]:
+    """(graph (h, nbr, sim), vectors (h, v, hash), cells): the approximate k nearest of every vector, those of a cosine of least at least, by NN-descent.
 
-    The first graph is exact within overlapping cells about sampled pivots (a bounded sample: every row is placed); each round then joins neighbours of neighbours. Ties go
-    to the smaller key.
+    It starts from the lists within overlapping cells about sampled pivots (a bounded sample: every row is placed) and joins neighbours of neighbours, round by round, until a round changes no
+    more than the share ``still`` of the list entries, or ``rounds`` are over. Each round's lists are merged with those before. Ties go to the smaller key. ``seen``, if
+    given, is called with the graph of every round.
     """
     cells = Cells(vectors, vectors.count(), tables)
     vectors = cells.keyed(vectors)
-    # the first lists only propose: 8-bit vectors and a few more places than k; every round compares 16-bit ones anew, the node itself included
-    graph = cut(merge_lists(cell_lists(cells.rows(vectors, True), k + 2, least - 0.005, True), k + 2))
-    for _ in range(max(1, rounds)):
-        graph = cut(merge_lists(local_join(graph, vectors, k, least), k))
-    return graph, vectors
+    # the first lists only propose: 8-bit vectors and a few more places than k; the first round compares 16-bit ones anew, the node itself included
+    first = cell_lists(cells.rows(vectors, True), k + 2, least - 0.005, True)
+    graph = cut(merge_lists(first.withColumn("old", F.lit(False)), k + 2))
+    for turn in range(max(1, rounds)):
+        if seen:
+            seen(graph)
+        proposed = local_join(graph, vectors, k, least, turn).withColumn("old", F.lit(False))
+        # the 8-bit cosines of the first lists give way to those of the first round
+        graph = cut(merge_lists(graph.select("h", "nbr", "sim", F.lit(True).alias("old")).union(proposed), k, anew=not turn))
+        size = graph.agg(F.sum(F.size("nbr")).alias("all"), F.sum(F.size(F.filter("fresh", lambda f: f))).alias("fresh")).first()
+        if not size["all"] or size["fresh"] <= still * size["all"]:
+            break
+    if seen:
+        seen(graph)
+    return graph, vectors, cells
 
 
-def neighbour_pairs(df: DataFrame, key: str, vec_col: str, k: int, least: float, dim: int = 128, rounds: int = 1) -> DataFrame:
+def neighbour_pairs(df: DataFrame, key: str, vec_col: str, k: int, least: float, dim: int = 128, rounds: int = ROUNDS) -> DataFrame:
     """(a_id, b_id): pairs, smaller key first, of which at least one is among the k most similar others of the other, and whose cosine reaches least.
 
     Unusable vectors (null, empty, zero, non-finite, of another length than dim) have no neighbours. Copies of a vector have
@@ -370,7 +384,7 @@ def neighbour_pairs(df: DataFrame, key: str, vec_col: str, k: int, least: float,
     its copies k rows each.
     """
     vectors, members = classes(unit_vectors(df, key, vec_col, dim))
-    graph, keyed = neighbour_graph(vectors, k + 1, least, rounds)
+    graph, keyed, _ = neighbour_graph(vectors, k + 1, least, rounds)
     members = cut(members.join(keyed.select(F.col("h").alias("key"), F.col("hash").alias("h")), "h").select("id", F.col("key").alias("h")))
     w = Window.partitionBy("h").orderBy("id")
     firsts = members.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).select("h", "id")
@@ -384,26 +398,31 @@ def neighbour_pairs(df: DataFrame, key: str, vec_col: str, k: int, least: float,
     return each.select(F.least("id", "other").alias("a_id"), F.greatest("id", "other").alias("b_id")).distinct()
 
 
-def graph_search(df: DataFrame, key: str, vec_col: str, queries, k: int = 8, dim: int = 128, beam: int = 24, step: int = 6, rounds: int = 12, least: float = 0.0) -> DataFrame:
-    """(query, id, sim): greedy search over the neighbour graph of all rows for the rows that the condition ``queries`` picks, the query itself left out.
+def graph_search(df: DataFrame, queries: DataFrame, key: str, vec_col: str, k: int = 8, dim: int = 128, beam: int = 32, step: int = 6, rounds: int = 16, least: float = 0.0) -> DataFrame:
+    """(query, id, sim): greedy search over the neighbour graph of ``df`` for the vectors of ``queries``, both (key, vec_col, ..); the row of the query's own key is left out.
 
-    A search enters at the query's own node and at some nodes of its home cell, and at each round looks at the neighbours of its ``step`` best nodes not yet expanded, keeping
-    the ``beam`` best seen; it ends when those have all been expanded. Every round is two joins, on node, of what the searches ask for. Copies answer for each other up to k.
+    The query's vector need not be in the collection. A search enters at some nodes of the cells that its vector lies in and knows nothing else of the graph; at each round it looks at the neighbours, both
+    ways, of its ``step`` best nodes not yet expanded, keeping the ``beam`` best seen; it ends when those have all been expanded. Every round is two joins, on node, of what the searches ask for (sent to the graph
+    where it lies if it is at most FEW rows). Copies answer for each other up to k. Unusable queries have no answer; rows below ``least`` are left out.
     """
     vectors, members = classes(unit_vectors(df, key, vec_col, dim))
-    graph, keyed = neighbour_graph(vectors, k + 2, least)
+    graph, keyed, cells = neighbour_graph(vectors, k + 2, 0.0, still=0.01)
     keyed = cut(keyed)
     members = cut(members.join(keyed.select(F.col("h").alias("key"), F.col("hash").alias("h")), "h").select("id", F.col("key").alias("h")))
-    wanted = df.where(queries).select(F.col(key).cast("long").alias("id")).distinct().join(members, "id")
-    asked = cut(wanted.select("h").distinct().join(keyed, "h").select(F.col("h").alias("q"), F.col("v").alias("qv")))
-    links = graph.select("h", "nbr")
-    # entry points: some nodes of the query's own cell, by hash
-    homes = keyed.select("h", home_of("h").alias("home"))
-    doors = homes.withColumn("r", F.row_number().over(Window.partitionBy("home").orderBy(F.xxhash64("h")))).where(F.col("r") <= beam).select("home", F.col("h").alias("n"))
-    own = asked.select("q", F.col("q").alias("h")).join(links, "h").select("q", F.explode("nbr").alias("n"))
-    frontier = asked.select("q", home_of("q").alias("home")).join(doors, "home").select("q", "n").union(own).where("q <> n").distinct()
+    asked_vectors, wanted = classes(unit_vectors(queries, key, vec_col, dim))
+    asked = cut(cells.keyed(asked_vectors).select(F.col("hash").alias("q"), F.col("v").alias("qv"), home_of("h").alias("home")))
+    forth = graph.select("h", F.explode("nbr").alias("n"))
+    links = cut(forth.union(forth.select("n", "h")).distinct())
+    # entry points: some nodes, by hash, of the query's cells
+    placed = cells.rows(keyed.select("h", "v")).select("cell", "h")
+    doors = placed.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("h")))).where(F.col("r") <= step).select("cell", F.col("h").alias("n"))
+    entered = cells.rows(asked.select(F.col("q").alias("h"), F.col("qv").alias("v"))).select("cell", F.col("h").alias("q"))
+    frontier = cut(entered.join(doors, "cell").select("q", "n").distinct())
     seen = None
 
+    def few(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.count() <= FEW else rows
+
     def compare(batches):
         for b in batches:
             if b.num_rows:
@@ -411,23 +430,19 @@ def graph_search(df: DataFrame, key: str, vec_col: str, queries, k: int = 8, dim
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim)], ["q", "n", "sim"])
 
     for _ in range(rounds):
-        met = frontier.join(keyed.select(F.col("h").alias("n"), "v"), "n").join(asked, "q").select("q", "n", "v", "qv").mapInArrow(compare, "q bigint, n bigint, sim float").withColumn("open", F.lit(True))
+        met = few(frontier).join(keyed.select(F.col("h").alias("n"), "v"), "n").join(asked.select("q", "qv"), "q").select("q", "n", "v", "qv").mapInArrow(compare, "q bigint, n bigint, sim float").withColumn("open", F.lit(True))
         pool = met if seen is None else seen.unionByName(met)
         place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "n"))
-        pool = cut(pool.withColumn("r", place).where(F.col("r") <= beam).drop("r"))
         turn = F.row_number().over(Window.partitionBy("q", "open").orderBy(F.desc("sim"), "n"))
-        marked = cut(pool.withColumn("now", F.col("open") & (turn <= step)))
-        if marked.where("now").isEmpty():
-            seen = marked.drop("now")
-            break
+        marked = cut(pool.withColumn("r", place).where(F.col("r") <= beam).drop("r").withColumn("now", F.col("open") & (turn <= step)))
         seen = marked.select("q", "n", "sim", (F.col("open") & ~F.col("now")).alias("open"))
-        asking = marked.where("now").select("q", F.col("n").alias("h")).join(links, "h").select("q", F.explode("nbr").alias("n")).where("q <> n").distinct()
-        frontier = asking.join(seen.select("q", "n"), ["q", "n"], "left_anti")
+        asking = marked.where("now").select("q", F.col("n").alias("h"))
+        if asking.isEmpty():
+            break
+        frontier = cut(few(asking).join(links, "h").select("q", "n").distinct().join(seen.select("q", "n"), ["q", "n"], "left_anti"))
     firsts = members.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("r") <= k + 1).select(F.col("h").alias("n"), "id")
-    self_ = asked.select("q", F.col("q").alias("n"), F.lit(1.0).cast("float").alias("sim"))
-    answers = seen.select("q", "n", "sim").union(self_).join(firsts, "n").select(F.col("q").alias("h"), "id", "sim")
+    answers = seen.where(F.col("sim") >= least).select("q", "n", "sim").join(firsts, "n").select(F.col("q").alias("h"), "id", "sim")
     out = wanted.withColumnRenamed("id", "query").join(answers, "h").where("query <> id")
-    out = out.where(F.col("sim") >= least)
     return out.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "id"))).where(F.col("r") <= k).select("query", "id", "sim")
 
 
@@ -440,8 +455,9 @@ def p4_found(spark, sf_dir):
 
 
 def p4_search(spark, sf_dir):
-    """The 8 most similar nodes, of a cosine of 0.70 at least, of every node whose id is divisible by 50, by greedy search over the graph of all nodes."""
-    return graph_search(card_vectors(spark, sf_dir), "node_id", "vec", F.col("node_id") % 50 == 0, least=0.70)
+    """The 8 most similar nodes, of a cosine of 0.70 at least, of every node whose id is divisible by 50, by greedy search over the graph of all nodes. The search has the vector only, not its place in the graph."""
+    cards = card_vectors(spark, sf_dir)
+    return graph_search(cards, cards.where(F.col("node_id") % 50 == 0), "node_id", "vec", least=0.70)
 
 
 QUERIES = {"p4_found": p4_found, "p4_search": p4_search}
