@@ -19,7 +19,7 @@ CELL = 512  # rows per pivot
 MAX_PIVOTS = 2048  # bound of the sample that the cells of a table are fitted on
 OVERSIZE = 6144  # a cell beyond this is cut again
 BITS = 12  # planes that cut a cell, at most
-TABLES, SPILL = 1, 2
+TABLES, SPILL = 1, 3
 SEED = 7
 ROUNDS, STILL = 8, 0.002  # rounds of the descent at most, and the share of list entries whose change in a round ends it
 FEW = 1_000_000  # rows of some 20 bytes that are broadcast; more are shuffled
@@ -93,14 +93,14 @@ def classes(units: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class Cells:
-    """Voronoi cells about sampled pivots: each vector lies in the cells of its SPILL nearest pivots, in each of ``tables`` independent samples.
+    """Voronoi cells about sampled pivots: each vector lies in the cells of its ``spill`` nearest pivots, in each of ``tables`` independent samples.
 
     The pivots are fitted on a bounded sample, at most some MAX_PIVOTS rows a table; every row is placed. A cell of more than OVERSIZE rows is cut by as many planes through its pivot as bring its
     rows down to about CELL, at random but the same on every worker, so nothing but the cells' sizes, MAX_PIVOTS a table, is needed for it.
     """
 
-    def __init__(self, vectors: DataFrame, n: int, tables: int = TABLES, seed: int = SEED):
-        self.sc, self.seed = vectors.sparkSession.sparkContext, seed
+    def __init__(self, vectors: DataFrame, n: int, tables: int = TABLES, spill: int = SPILL, seed: int = SEED):
+        self.sc, self.spill, self.seed = vectors.sparkSession.sparkContext, spill, seed
         self.pivots = [self._sample(vectors, max(1, min(MAX_PIVOTS, round(n / CELL))) / max(n, 1), t) for t in range(tables)]
         self.bits = [np.zeros(len(p), np.int64) for p in self.pivots]
         if n > OVERSIZE / 2:
@@ -118,7 +118,7 @@ class Cells:
 
     def _share(self):
         planes = np.random.default_rng(self.seed).standard_normal((BITS, self.pivots[0].shape[1])).astype(np.float32)
-        self.shared = self.sc.broadcast((self.pivots, self.bits, planes))
+        self.shared = self.sc.broadcast((self.pivots, self.bits, planes, self.spill))
 
     def keyed(self, vectors: DataFrame, *keep: str) -> DataFrame:
         """(h, v, hash): h now has the home in its upper bits and the hash's lower 40 below, so a node's home is known wherever its key is."""
@@ -153,7 +153,7 @@ class Cells:
 
 def _cut(fitted, table_: int, x: np.ndarray, pivot: np.ndarray) -> np.ndarray:
     """On which side of its cell's planes each row lies, as a number; 0 where the cell is not cut."""
-    pivots, bits, planes = fitted
+    pivots, bits, planes, _ = fitted
     out, some = np.zeros(len(x), np.int64), np.flatnonzero(bits[table_][pivot])
     if len(some):
         side = ((x[some] - pivots[table_][pivot[some]]) @ planes.T > 0) & (np.arange(len(planes))[None, :] < bits[table_][pivot[some]][:, None])
@@ -166,7 +166,7 @@ def cells_of(fitted, x: np.ndarray, fine: bool = True) -> tuple[np.ndarray, np.n
     cell, row = [], []
     for t, p in enumerate(fitted[0]):
         s = x @ p.T
-        k = min(SPILL, s.shape[1])
+        k = min(fitted[3], s.shape[1])
         near = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < s.shape[1] else np.tile(np.arange(k), (len(x), 1))
         who, pivot = np.repeat(np.arange(len(x)), k), near.ravel()
         code = t * MAX_PIVOTS * 4 + pivot
@@ -303,7 +303,12 @@ def local_join(graph: DataFrame, vectors: DataFrame, k: int, least: float, turn:
         both = both.join(both.where("fresh").select("h").distinct(), "h").select(*both.columns)
     own = both.select(F.col("home").alias("at"), F.col("h").alias("id"))
     asked = both.select(F.col("home").alias("at"), F.col("m").alias("id")).union(own).distinct()
-    need = asked.join(vectors.select(F.col("h").alias("id"), "v"), "id").select("at", "id", "v")
+    sent = vectors.select(F.col("h").alias("id"), "v")
+    if turn:
+        asked = cut(asked)
+        ids = cut(asked.select("id").distinct())
+        sent = sent.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= FEW else sent
+    need = asked.join(sent, "id").select("at", "id", "v")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"h": pa.array([], pa.int64()), "nbr": pa.array([], pa.list_(pa.int64())), "sim": pa.array([], pa.list_(pa.float32()))})

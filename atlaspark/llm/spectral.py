@@ -314,7 +314,7 @@ def vector_affinities(vectors: DataFrame, least: float, k: int = 3) -> tuple[Dat
 
     The k nearest alone would not do: where more than k near-copies exist, their places all go to one another. Where the 8-bit vectors leave a link open, the 16-bit ones decide.
     """
-    cells = Cells(vectors, vectors.count(), 3)
+    cells = Cells(vectors, vectors.count(), 3, 2)
     keyed = cells.keyed(vectors)
 
     def run(batches):

@@ -70,6 +70,7 @@ def test_a_join_loses_no_neighbour(spark):
 def test_the_descent_mends_poor_lists(spark, monkeypatch, capsys):
     # cells of some 16 rows, each row in two of them: most neighbours have to come from the rounds
     monkeypatch.setattr(neighbours, "CELL", 8)
+    monkeypatch.setattr(neighbours.Cells.__init__, "__defaults__", (1, 2, 7))
     rng = np.random.default_rng(8)
     z = rng.standard_normal((1500, 6)) @ rng.standard_normal((6, DIM))
     x = (z + 0.05 * rng.standard_normal(z.shape)).astype(np.float32)
@@ -98,7 +99,7 @@ def test_hot_cells_are_cut(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = (np.ones(DIM) + 0.2 * rng.standard_normal((600, DIM))).astype(np.float32)
     vectors, _ = neighbours.classes(neighbours.unit_vectors(frame(spark, x), "node_id", "vec", DIM))
-    cells = neighbours.Cells(vectors, vectors.count(), 2)
+    cells = neighbours.Cells(vectors, vectors.count(), 2, 2)
     assert any(b.any() for b in cells.bits)
     sizes = [r["count"] for r in cells.rows(vectors).groupBy("cell").count().collect()]
     assert max(sizes) < 200 and cells.rows(vectors).count() == 4 * 600 and cells.rows(vectors).select("h").distinct().count() == 600
