@@ -1,6 +1,6 @@
 """A nearest-neighbour graph by NN-descent, and greedy search over it.
 
-Vectors travel as unit rows of 16-bit fixed-point numbers. The graph's nodes are the distinct unit vectors, keyed by a 64-bit hash, so copies of a
+Vectors travel as rows of 12 bits a value. The graph's nodes are the distinct unit vectors, keyed by a 64-bit hash, so copies of a
 vector cost one node and are put back at the end.
 """
 
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut, partitions, table
 
-SCALE = 32767.0
 CELL = 512  # rows per pivot
 MAX_PIVOTS = 2048  # bound of the sample that the cells of a table are fitted on
 OVERSIZE = 6144  # a cell beyond this is cut again
@@ -25,16 +24,24 @@ ROUNDS, STILL = 8, 0.002  # rounds of the descent at most, and the share of list
 FEW = 1_000_000  # rows of some 20 bytes that are broadcast; more are shuffled
 
 
-def unit_int16(vec: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers, n x dim int16) of the usable vectors: of length dim, finite and not zero."""
+def unit_rows(vec: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, n x dim floats) of the usable vectors: of length dim, finite and not zero."""
     lengths = vec.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     rows = np.flatnonzero(lengths == dim)
     if not len(rows):
-        return rows, np.zeros((0, dim), np.int16)
+        return rows, np.zeros((0, dim), np.float32)
     flat = vec.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
     norm = np.sqrt(np.einsum("ij,ij->i", flat, flat, dtype=np.float64))
     ok = np.isfinite(norm) & (norm > 0)
-    return rows[ok], np.rint(flat[ok] / norm[ok, None] * SCALE).astype(np.int16)
+    return rows[ok], flat[ok]
+
+
+def pack12(x: np.ndarray) -> pa.Array:
+    """The directions of rows in 12 bits a value, each scaled by its largest; a cosine is off by some 0.00006."""
+    q = np.rint(x * (2047 / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-30))).astype(np.int16) + np.int16(2048)
+    q = (q if q.shape[1] % 2 == 0 else np.pad(q, ((0, 0), (0, 1)), constant_values=2048)).astype(np.uint16)
+    a, b = q[:, 0::2], q[:, 1::2]
+    return pack(np.stack([a >> 4, (a & 15) << 4 | b >> 8, b & 255], axis=2).astype(np.uint8).reshape(len(q), -1))
 
 
 def pack(m: np.ndarray) -> pa.Array:
@@ -53,8 +60,15 @@ def _raw(col, kind) -> np.ndarray:
 
 
 def unpack(col) -> np.ndarray:
-    """A binary column of equal lengths as a float32 matrix of unit rows."""
-    return _raw(col, np.int16).astype(np.float32) * np.float32(1 / SCALE)
+    """Rows packed in 12 bits as a float32 matrix of unit rows. An odd dimension has one zero more."""
+    raw = _raw(col, np.uint8).astype(np.int16)
+    if not len(raw):
+        return np.zeros((0, 1), np.float32)
+    raw = raw.reshape(len(raw), -1, 3)
+    x = np.empty((len(raw), raw.shape[1] * 2), np.float32)
+    x[:, 0::2] = (raw[:, :, 0] << 4 | raw[:, :, 1] >> 4) - 2048
+    x[:, 1::2] = ((raw[:, :, 1] & 15) << 8 | raw[:, :, 2]) - 2048
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
 def coarse(x: np.ndarray) -> np.ndarray:
@@ -76,9 +90,9 @@ def unit_vectors(df: DataFrame, key: str, vec_col: str, dim: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows, m = unit_int16(b.column(1), dim)
+            rows, x = unit_rows(b.column(1), dim)
             if len(rows):
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pack(m)], ["id", "v"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pack12(x)], ["id", "v"])
 
     return df.select(F.col(key).cast("long"), F.col(vec_col)).where(F.col(key).isNotNull() & F.col(vec_col).isNotNull()).mapInArrow(run, "id bigint, v binary")
 
@@ -299,8 +313,8 @@ def local_join(graph: DataFrame, vectors: DataFrame, k: int, least: float, turn:
     edges = graph.select("h", F.explode(F.arrays_zip("nbr", "fresh")).alias("x")).select("h", F.col("x.nbr").alias("m"), F.lit(True).alias("own"), F.col("x.fresh").alias("fresh"))
     both = edges.union(edges.select(F.col("m").alias("h"), F.col("h").alias("m"), F.lit(False), "fresh")).withColumn("home", home_of("h"))
     if turn:  # in the first round everything is fresh
-        both = cut(both)
-        both = both.join(both.where("fresh").select("h").distinct(), "h").select(*both.columns)
+        active = cut(both.where("fresh").select("h").distinct())
+        both = cut(both.join(F.broadcast(active) if active.count() <= FEW else active, "h").select(*both.columns))
     own = both.select(F.col("home").alias("at"), F.col("h").alias("id"))
     asked = both.select(F.col("home").alias("at"), F.col("m").alias("id")).union(own).distinct()
     sent = vectors.select(F.col("h").alias("id"), "v")
@@ -364,7 +378,7 @@ def neighbour_graph(vectors: DataFrame, k: int, least: float = -1.0, rounds: int
     """
     cells = Cells(vectors, vectors.count(), tables)
     vectors = cells.keyed(vectors)
-    # the first lists only propose: 8-bit vectors and a few more places than k; the first round compares 16-bit ones anew, the node itself included
+    # the first lists only propose: 8-bit vectors and a few more places than k; the first round compares 12-bit ones anew, the node itself included
     first = cell_lists(cells.rows(vectors, True), k + 2, least - 0.005, True)
     graph = cut(merge_lists(first.withColumn("old", F.lit(False)), k + 2))
     for turn in range(max(1, rounds)):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from .neighbours import pack as packed_rows
+from .neighbours import pack12 as packed_rows
 from .neighbours import unpack
 from .tokens import TOKENIZER, encode
 

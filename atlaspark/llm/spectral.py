@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..session import cut, once, partitions, table
-from .neighbours import LISTS, SCALE, Cells, _top, best_k, card_vectors, classes, flat, lists, pack, unit_vectors, unpack, unpack_coarse
+from .neighbours import LISTS, Cells, _top, best_k, card_vectors, classes, flat, lists, pack, pack12, unit_vectors, unpack, unpack_coarse
 
 DIMS = 8  # vectors iterated
 ROUNDS = 4
@@ -312,7 +312,7 @@ def cell_links(rows: DataFrame, k: int, least: float) -> DataFrame:
 def vector_affinities(vectors: DataFrame, least: float, k: int = 3) -> tuple[DataFrame, DataFrame]:
     """(affinity (node, other, w), both ways round, keyed vectors): each vector's nearest, of a cosine of least at least, and as many links besides as keep together what any such pair of a cell links.
 
-    The k nearest alone would not do: where more than k near-copies exist, their places all go to one another. Where the 8-bit vectors leave a link open, the 16-bit ones decide.
+    The k nearest alone would not do: where more than k near-copies exist, their places all go to one another. Where the 8-bit vectors leave a link open, the 12-bit ones decide.
     """
     cells = Cells(vectors, vectors.count(), 3, 2)
     keyed = cells.keyed(vectors)
@@ -537,7 +537,7 @@ def _signed(batches):
             x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             sign = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1).astype(float) * 2 - 1
             s = np.add.reduceat(sign, np.r_[0, np.cumsum(n)[:-1]])
-            yield pa.RecordBatch.from_arrays([b.column(0), pack(np.rint(s / np.maximum(np.linalg.norm(s, axis=1, keepdims=True), 1e-9) * SCALE).astype(np.int16))], ["node", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pack12(s)], ["node", "v"])
 
 
 def _label_axis(roots, seed: int):
