@@ -20,6 +20,7 @@ LEAST_LEAF = 12  # documents
 SAMPLE = 8192  # documents that seed the halves of a leaf; every document then moves the centres
 LABELLED = 20000  # labelled documents that leaves are named by, about, if there are more
 SHARE = 0.2
+TRUST = 0.25  # weight of a document's leaf beside the terms of a sentence
 
 _FRONT = re.compile(r"\A﻿?\s*---[^\S\n]*\n.*?\n---[^\S\n]*(?:\n|\Z)", re.S)
 _FENCE = re.compile(r"^[^\S\n]*(```|~~~).*?(?:^[^\S\n]*\1[^\n]*$|\Z)", re.S | re.M)
@@ -124,7 +125,10 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def vocabulary(terms: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, documents) of the terms that tell documents apart, ascending: neither rarer than RARE nor commoner than COMMON, overall or within a language."""
+    """(codes, documents) of the terms that tell documents apart, ascending: not commoner than COMMON, overall or within a language, and in at least RARE of the documents of some language (and in 3).
+
+    As a language has at most its documents' terms over RARE of them, the vocabulary's size is bounded by the number of languages, not of documents.
+    """
 
     def run(batches):
         held: dict[str, list] = {}
@@ -145,9 +149,9 @@ def vocabulary(terms: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     sizes = terms.groupBy("lang").agg(F.count("*").alias("docs"))
     each = terms.select("lang", "codes").mapInArrow(run, "lang string, code bigint, df bigint").groupBy("lang", "code").agg(F.sum("df").alias("df")).join(sizes, "lang")
     common = F.max((F.col("docs") >= 50) & (F.col("df") > COMMON * F.col("docs")))
-    total = each.groupBy("code").agg(F.sum("df").alias("df"), common.alias("common"))
-    least = max(3, int(RARE * n_docs))
-    kept = total.where((F.col("df") >= least) & (F.col("df") <= max(least, COMMON * n_docs)) & ~F.col("common")).orderBy("code").toArrow()
+    enough = F.max(F.col("df") >= F.greatest(F.lit(3), F.floor(RARE * F.col("docs"))))
+    total = each.groupBy("code").agg(F.sum("df").alias("df"), common.alias("common"), enough.alias("enough"))
+    kept = total.where(F.col("enough") & (F.col("df") <= max(3, COMMON * n_docs)) & ~F.col("common")).orderBy("code").toArrow()
     return kept.column(0).to_numpy().astype(np.uint32), kept.column(1).to_numpy()
 
 
@@ -370,8 +374,21 @@ def term_subjects(counts: DataFrame, sizes: dict[int, int], mixture: dict[int, n
     return u[ok].astype(np.uint32), best[ok], weight[ok]
 
 
-def sentence_subjects(lens, codes, words: tuple[np.ndarray, np.ndarray, np.ndarray], n_subjects: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document row, subject or -1, terms that tell) of every sentence of a batch."""
+def leaf_priors(mixture: dict[int, np.ndarray], sizes: dict[int, int], trust: float = TRUST) -> dict[int, np.ndarray]:
+    """{leaf: what the mixture of a leaf adds to the score of each subject in a sentence of its documents}: ``trust`` times the log of how much commoner the subject is there than in the corpus. An unnamed leaf adds nothing."""
+    named = {k: m for k, m in mixture.items() if m.sum() > 0}
+    if not named:
+        return {}
+    prior = sum(m * sizes[k] for k, m in named.items()) / sum(sizes[k] for k in named)
+    prior = (prior + 0.01) / (prior + 0.01).sum()
+    return {k: trust * np.log((0.9 * m + 0.1 * prior) / prior) for k, m in named.items()}
+
+
+def sentence_subjects(lens, codes, words: tuple[np.ndarray, np.ndarray, np.ndarray], n_subjects: int, lean: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document row, subject or -1, terms that tell) of every sentence of a batch: the subject of the highest score, among those that a term of the sentence tells and whose score is positive.
+
+    ``lean`` has a row per document, what its leaf's mixture adds to each subject.
+    """
     n_terms, n_sent = _flat(lens)
     flat, _ = _flat(codes)
     doc = np.repeat(np.arange(len(n_sent)), n_sent)
@@ -382,6 +399,8 @@ def sentence_subjects(lens, codes, words: tuple[np.ndarray, np.ndarray, np.ndarr
         at = np.minimum(np.searchsorted(vocab, flat), len(vocab) - 1)
         ok = vocab[at] == flat
         np.add.at(score, (sent[ok], subject[at[ok]]), weight[at[ok]])
+    if lean is not None:
+        score = np.where(score > 0, score + lean[doc], 0)
     best = score.argmax(axis=1) if len(score) else np.zeros(0, np.int64)
     return doc, np.where(score[np.arange(len(score)), best] > 0, best, -1), sent
 
@@ -415,12 +434,12 @@ def refine(docs: DataFrame, words, n_subjects: int, vocab: np.ndarray, least: fl
             rest[mine, own[use[mine], 0].astype(int)] -= own[use[mine], 1]
             best = rest.argmax(axis=1) if len(rest) else np.zeros(0, np.int64)
             got = np.where(rest[np.arange(len(rest)), best] > 1e-6, best, n_subjects)
-            held.append(np.unique((flat[use].astype(np.int64) << 8) | got, return_counts=True))
+            held.append(np.unique((flat[use].astype(np.int64) << 31) | got, return_counts=True))
             if len(held) > 16:
                 held = [_summed(held)]
         if held:
             k, v = _summed(held)
-            yield pa.RecordBatch.from_arrays([pa.array(k >> 8), pa.array((k & 255).astype(np.int32)), pa.array(v.astype(np.int64))], ["code", "s", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(k >> 31), pa.array((k & 0x7FFFFFFF).astype(np.int32)), pa.array(v.astype(np.int64))], ["code", "s", "n"])
 
     got = docs.select("lens", "codes").mapInArrow(run, "code bigint, s int, n bigint").groupBy("code", "s").agg(F.sum("n").alias("n")).toArrow()
     code, s, n = (got.column(i).to_numpy() for i in range(3))
@@ -462,17 +481,25 @@ def subjects_of(df: DataFrame, areas: DataFrame, labels: DataFrame, key: str = "
     in_vocab = set(vocab.tolist())
     labelled = [(set(np.frombuffer(c, np.uint32).tolist()) & in_vocab, s) for c, s in zip(known.column(0).to_pylist(), known.column(1).to_pylist())]
     votes, prior = term_votes(subjects, labelled)
-    words = term_subjects(counts, sizes, label_leaves(counts, sizes, votes, prior), votes)
+    mixture = label_leaves(counts, sizes, votes, prior)
+    words = term_subjects(counts, sizes, mixture, votes)
     for _ in range(2):
         words = refine(docs, words, len(subjects), vocab)
-    shared = df.sparkSession.sparkContext.broadcast((words, [s for s, _ in subjects]))
+    shared = df.sparkSession.sparkContext.broadcast((words, [s for s, _ in subjects], tree, leaf_priors(mixture, sizes)))
 
     def run(batches):
-        words, names = shared.value
+        words, names, tree, leans = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
-            doc, best, _ = sentence_subjects(b.column(1), b.column(2), words, len(names))
+            lean = np.zeros((b.num_rows, len(names)))
+            placed = np.flatnonzero(b.column(3).is_valid().to_numpy(zero_copy_only=False))
+            if len(placed) and leans:
+                leaf = tree.route(unpack_coarse(b.column(3).take(pa.array(placed))))
+                for k in np.unique(leaf):
+                    if int(k) in leans:
+                        lean[placed[leaf == k]] = leans[int(k)]
+            doc, best, _ = sentence_subjects(b.column(1), b.column(2), words, len(names), lean)
             table_ = np.zeros((b.num_rows, len(names)), np.int64)
             told = best >= 0
             np.add.at(table_, (doc[told], best[told]), 1)
@@ -483,7 +510,7 @@ def subjects_of(df: DataFrame, areas: DataFrame, labels: DataFrame, key: str = "
             r, s, n = r[keep], s[keep], n[keep]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), pa.array([names[i] for i in s], pa.string()), pa.array(total[r].astype(np.int32)), pa.array(n.astype(np.int32))], [key, "subject", "sentences", "told"])
 
-    return docs.select("doc_id", "lens", "codes").mapInArrow(run, schema)
+    return docs.select("doc_id", "lens", "codes", "v").mapInArrow(run, schema)
 
 
 def p8_subjects(spark, sf_dir):
