@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,21 @@ STOPWORDS = (
 SOURCE_EXT = r"(?i)\.(md|markdown|txt)$"
 MIN_CHARS = 200
 BINARY_HEAD = 8192
+# What is stripped from Markdown, in this order, and what it leaves.
+MARKUP = (
+    ("```[\\s\\S]*?```", " "),
+    ("!\\[[^\\]]*\\]\\([^)]*\\)", " "),
+    ("\\[([^\\]]*)\\]\\([^)]*\\)", "$1"),
+    ("https?://\\S+", " "),
+    ("[#>*_`|]+", " "),
+    ("\\s+", " "),
+    ("^ | $", ""),
+)
+# Frontmatter, a quoted value, the end of a link, a paper's number.
+FRONT = "^---\\n([\\s\\S]*?)\\n---\\n?([\\s\\S]*)$"
+VALUE = '(?m)^(?:{key}):\\s*"?([^"\\n]+)'
+LINK_END = "[).,\"']+$"
+PAPER_LINK, PAPER_BARE = "(?i)arxiv\\.org/(?:abs|pdf)/(\\d{4}\\.\\d{4,5})", "(?i)arxiv:\\s*(\\d{4}\\.\\d{4,5})"
 
 
 def looks_binary(raw: Column) -> Column:
@@ -28,19 +45,14 @@ def looks_binary(raw: Column) -> Column:
 
 def strip_markdown(raw: Column) -> Column:
     """Running text: fences, images, link targets, addresses and markup removed, blanks collapsed."""
-    out = F.regexp_replace(raw, "```[\\s\\S]*?```", " ")
-    out = F.regexp_replace(out, "!\\[[^\\]]*\\]\\([^)]*\\)", " ")
-    out = F.regexp_replace(out, "\\[([^\\]]*)\\]\\([^)]*\\)", "$1")
-    out = F.regexp_replace(out, "https?://\\S+", " ")
-    out = F.regexp_replace(out, "[#>*_`|]+", " ")
-    return F.regexp_replace(F.regexp_replace(out, "\\s+", " "), "^ | $", "")
+    return functools.reduce(lambda text, rule: F.regexp_replace(text, *rule), MARKUP, raw)
 
 
 def front_matter(raw: Column) -> tuple[Column, Column]:
     """(front, rest); front is empty where there is none."""
-    whole = "^---\\n([\\s\\S]*?)\\n---\\n?([\\s\\S]*)$"
-    found = raw.rlike(whole)
-    return F.when(found, F.regexp_extract(raw, whole, 1)).otherwise(""), F.when(found, F.regexp_extract(raw, whole, 2)).otherwise(raw)
+    # group 1 is empty where nothing matches, so one test tells an empty front from none
+    found = raw.startswith("---\n") & raw.rlike(FRONT)
+    return F.when(found, F.regexp_extract(raw, FRONT, 1)).otherwise(""), F.when(found, F.regexp_extract(raw, FRONT, 2)).otherwise(raw)
 
 
 def filled(c: Column) -> Column:
@@ -49,11 +61,11 @@ def filled(c: Column) -> Column:
 
 def field(front: Column, key: str) -> Column:
     """A frontmatter value, without its opening quote; null if absent or empty."""
-    return filled(F.trim(F.regexp_extract(front, f'(?m)^(?:{key}):\\s*"?([^"\\n]+)', 1)))
+    return filled(F.trim(F.regexp_extract(front, VALUE.replace("{key}", key), 1)))
 
 
 def tidy_link(c: Column) -> Column:
-    return filled(F.regexp_replace(c, "[).,\"']+$", ""))
+    return filled(F.regexp_replace(c, LINK_END, ""))
 
 
 def tokens(text: Column) -> Column:
@@ -76,8 +88,8 @@ def portable_source(source: Column) -> Column:
 def arxiv_id(declared: Column, url: Column, body: Column) -> Column:
     """The paper id: as declared, else from an address, else a bare id in the text."""
     both = F.concat_ws(" ", url, body)
-    linked = F.regexp_extract(both, "(?i)arxiv\\.org/(?:abs|pdf)/(\\d{4}\\.\\d{4,5})", 1)
-    bare = F.regexp_extract(both, "(?i)arxiv:\\s*(\\d{4}\\.\\d{4,5})", 1)
+    linked = F.regexp_extract(both, PAPER_LINK, 1)
+    bare = F.regexp_extract(both, PAPER_BARE, 1)
     return F.coalesce(filled(declared), filled(linked), filled(bare))
 
 
@@ -94,3 +106,14 @@ def honest_percent(part: Column, whole: Column) -> Column:
     one = F.round(p, 1)
     guarded = F.when((p > 0) & (one == 0), 0.1).when((p < 100) & (one == 100), 99.9).otherwise(one)
     return F.when((p < 2) | (p > 98), guarded).otherwise(F.round(p, 0))
+
+
+def file_slug(title: Column) -> Column:
+    """A file name's stem from a title: lower case, hyphens for anything else, at most 60, 'map' where nothing is left."""
+    s = slug(title, 60)
+    return F.when(F.coalesce(s, F.lit("")) == "", "map").otherwise(F.regexp_replace(s, "-+$", ""))
+
+
+def year_month(ms: Column) -> Column:
+    """The month of a time in milliseconds, as 2024-05."""
+    return F.date_format(F.timestamp_millis(ms), "yyyy-MM")

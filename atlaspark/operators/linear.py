@@ -12,6 +12,7 @@ from ..session import cut
 # The most components looked at, the most axes kept, the replicates of the noise floor and the place of the floor among them.
 COMPONENTS, AXES, REPLICATES, FLOOR = 60, 16, 8, 6
 WEAK = 0.02
+SEED = 42
 REGION_FLOOR = 25
 
 
@@ -23,29 +24,17 @@ def _matrix(col: pa.Array, unit: bool) -> np.ndarray:
     return x
 
 
-def moments(df: DataFrame, vec: str, unit: bool = True, shuffles: int = 0, key: str | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """[(n, mean, covariance)], d x d with divisor n - 1, of the vectors, then of each replicate with shuffled columns.
+def moments(df: DataFrame, vec: str, unit: bool = True) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, mean, covariance), d x d with divisor n - 1, of the vectors. One pass: every task adds up X'X of its batches, so what leaves it is d x d whatever the rows."""
 
-    One pass: every task adds up X'X of its batches, so what leaves it is d x d whatever the rows. A replicate permutes each column among the rows of a batch and
-    shifts it by a batch of other rows; for the noise floor, which only needs columns that no longer belong together, that does as well as a global shuffle.
-    """
     def run(batches):
-        sums: list = [None] * (shuffles + 1)
-        for seed, b in enumerate(batches):
-            if not b.num_rows:
-                continue
-            x = _matrix(b.column(0), unit)
-            for r in range(shuffles + 1):
-                if r:
-                    rng = np.random.default_rng(1000 * r + seed)
-                    x_r = np.stack([x[rng.permutation(len(x)), j] for j in range(x.shape[1])], axis=1)
-                else:
-                    x_r = x
-                n, s, c = len(x_r), x_r.sum(0), x_r.T @ x_r
-                sums[r] = (n, s, c) if sums[r] is None else tuple(p + q for p, q in zip(sums[r], (n, s, c)))
-        for r, got in enumerate(sums):
-            if got is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([got[0]], pa.int64()), pa.array([list(got[1])]), pa.array([got[2].ravel()])], ["r", "n", "s", "c"])
+        n, s, c = 0, 0.0, 0.0
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b.column(0), unit)
+                n, s, c = n + len(x), s + x.sum(0), c + x.T @ x
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([n], pa.int64()), pa.array([list(s)]), pa.array([c.ravel()])], ["r", "n", "s", "c"])
 
     part = df.where(F.col(vec).isNotNull() & (F.size(vec) > 0)).select(vec).mapInArrow(run, "r int, n bigint, s array<double>, c array<double>")
 
@@ -58,12 +47,30 @@ def moments(df: DataFrame, vec: str, unit: bool = True, shuffles: int = 0, key:
 
     # partial sums of many tasks are added in two steps, so that no task gets more than a few dozen d x d matrices
     first = part.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("r", "g").applyInArrow(lambda t: add(t), "r int, n bigint, s array<double>, c array<double>")
-    out = []
-    for row in sorted(first.groupBy("r").applyInArrow(lambda t: add(t), "r int, n bigint, s array<double>, c array<double>").collect(), key=lambda x: x.r):
-        n, mean = row.n, np.array(row.s) / max(row.n, 1)
-        c = np.array(row.c).reshape(len(mean), -1)
-        out.append((n, mean, (c - n * np.outer(mean, mean)) / max(n - 1, 1)))
-    return out
+    row = first.groupBy("r").applyInArrow(lambda t: add(t), "r int, n bigint, s array<double>, c array<double>").first()
+    if row is None:
+        raise ValueError("no vectors")
+    mean, c = np.array(row.s) / row.n, np.array(row.c).reshape(len(row.s), -1)
+    return row.n, mean, (c - row.n * np.outer(mean, mean)) / max(row.n - 1, 1)
+
+
+def noise_covariance(variances: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """The covariance of n rows whose columns have these variances and do not belong together: a draw of what shuffling every column by itself gives.
+
+    A shuffle keeps each column's variance and leaves correlations of the size that chance gives to n rows; those of independent normal columns have the same law in the limit. So the correlation
+    matrix of a Wishart draw (by Bartlett's decomposition; from n rows directly where they are few) stands for a pass over the data, whatever its partitioning.
+    """
+    d = len(variances)
+    if n - 1 > 2 * d:
+        a = np.tril(rng.standard_normal((d, d)), -1)
+        a[np.arange(d), np.arange(d)] = np.sqrt(rng.chisquare(n - 1 - np.arange(d)))
+        w = a @ a.T
+    else:
+        g = rng.standard_normal((max(n, 2), d))
+        g -= g.mean(0)
+        w = g.T @ g
+    s = np.sqrt(np.maximum(np.diag(w), 1e-300))
+    return w / np.outer(s, s) * np.sqrt(np.outer(variances, variances))
 
 
 def principal(cov: np.ndarray, n: int, most: int = COMPONENTS) -> tuple[np.ndarray, np.ndarray]:
@@ -81,10 +88,10 @@ def discover_axes(df: DataFrame, vec: str) -> dict:
 
     The floor of a component is the second largest of eight replicates' ratios; counting stops at the first component that does not exceed it.
     """
-    first, *noise = moments(df, vec, True, REPLICATES)
-    n, mean, cov = first
+    n, mean, cov = moments(df, vec, True)
     comps, ratio = principal(cov, n)
-    floors = np.sort(np.stack([principal(c, m)[1] for m, _, c in noise]), axis=0)[FLOOR]
+    rng = np.random.default_rng(SEED)
+    floors = np.sort(np.stack([principal(noise_covariance(np.diag(cov), n, rng), n)[1] for _ in range(REPLICATES)]), axis=0)[FLOOR]
     real = 0
     while real < len(ratio) and ratio[real] > floors[real]:
         real += 1

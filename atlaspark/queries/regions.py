@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.citations import frontier_keys, place_ghosts, remap_edges
 from ..operators.knn import distance, exact_knn, recall
 from ..operators.linear import vector_means
 from ..operators.rank import rank_scores
@@ -110,17 +111,14 @@ def citation_edges(spark, sf_dir):
     """Edges from each node to the first of its folder, both ends in the selection, self edges dropped."""
     d = docs(spark, sf_dir).where("folder is not null").select("node_id", "folder")
     first = d.groupBy("folder").agg(F.min("node_id").alias("dst"))
-    keep = docs(spark, sf_dir).where("map_id <= 20").select("node_id")
-    e = d.join(first, "folder").where("node_id <> dst").select(F.col("node_id").alias("src"), "dst")
-    return e.join(keep.withColumnRenamed("node_id", "src"), "src", "left_semi").join(keep.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+    e = d.join(first, "folder").select(F.col("node_id").alias("src"), "dst")
+    return remap_edges(e, docs(spark, sf_dir).where("map_id <= 20").select("node_id"), "node_id")
 
 
 def frontier(spark, sf_dir):
     """Keys outside the corpus by how often they are referred to: here the tags that are no folder of it."""
     d = docs(spark, sf_dir)
-    keys = d.select(F.explode("tags").alias("key")).where("key is not null")
-    inside = d.select(F.col("folder").alias("key")).where("key is not null").distinct()
-    return keys.join(inside, "key", "left_anti").groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(500)
+    return frontier_keys(d.select(F.explode("tags").alias("key")), d.select(F.col("folder").alias("key")))
 
 
 def _vecs(spark, sf_dir):
@@ -137,7 +135,8 @@ def knn_exact(spark, sf_dir):
 
 
 def neighbour_list(spark, sf_dir):
-    return _knn(spark, sf_dir).where("src = 17").select("rank", "dst")
+    v = _vecs(spark, sf_dir)
+    return exact_knn(v, "node_id", "embedding", 8, queries=v.where("node_id = 17")).select("rank", "dst")
 
 
 def hub_scores(spark, sf_dir):
@@ -170,12 +169,8 @@ def knn_recall(spark, sf_dir):
 
 def ghost_placement(spark, sf_dir):
     """Outside vectors, here every tenth, placed at the weighted mean of their 6 nearest inside ones."""
-    v = _vecs(spark, sf_dir)
-    k = exact_knn(v, "node_id", "embedding", 40).where("src % 10 = 0 and dst % 10 <> 0")
-    top = k.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("rank"))).where("r <= 6")
-    xy = v.select(F.col("node_id").alias("dst"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    w = F.greatest(F.lit(0.0), F.col("sim"))
-    return top.join(xy, "dst").groupBy("src").agg(F.round(F.sum(w * F.col("x")) / F.sum(w), 4).alias("x"), F.round(F.sum(w * F.col("y")) / F.sum(w), 4).alias("y"), F.round(F.max("sim"), 3).alias("sim"))
+    v = _vecs(spark, sf_dir).withColumn("x", F.col("embedding")[0].cast("double")).withColumn("y", F.col("embedding")[1].cast("double"))
+    return place_ghosts(v.where("node_id % 10 = 0"), v.where("node_id % 10 <> 0"), "node_id", "embedding").withColumnRenamed("node_id", "src")
 
 
 def mean_vector(spark, sf_dir):
@@ -200,7 +195,7 @@ def derived_direction(spark, sf_dir):
 
 
 def term_document_counts(spark, sf_dir):
-    return term_counts(docs(spark, sf_dir).where("map_id = 14"), "node_id", "cores")
+    return term_counts(docs(spark, sf_dir), "node_id", "cores")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -261,9 +256,9 @@ ORACLE = {
     "layout_agreement": f"WITH {_E}, {_nn(8, _l2(2), 'a2')}, {_nn(8, _l2(3), 'a3')} SELECT round(count(*) / (SELECT count(*) FROM e), 4) AS agree FROM a2 JOIN a3 USING (src, dst)",
     "relatedness": f"WITH {_E}, {_nn(8)}, k AS (SELECT src, avg((a.label = b.label)::INT) AS p FROM knn JOIN e a ON a.vec_id = src JOIN e b ON b.vec_id = dst GROUP BY src), o AS (SELECT avg(p) AS observed, count(*) AS scored FROM k), b AS (SELECT sum(m * (m - 1))::DOUBLE / (sum(m) * (sum(m) - 1)) AS baseline FROM (SELECT count(*) AS m FROM e WHERE label IS NOT NULL GROUP BY label)) SELECT scored, round(observed, 6) AS observed, round(baseline, 6) AS baseline, round(observed / baseline, 5) AS lift FROM o, b WHERE scored >= 10",
     "knn_recall": f"WITH {_E}, {_nn(8)}, {_nn(8, _P32, 'k32')} SELECT count(k32.dst) AS hits, count(*) AS wanted, round(count(k32.dst) / count(*), 6) AS recall FROM knn LEFT JOIN k32 USING (src, dst)",
-    "ghost_placement": f"WITH {_E}, {_nn(40)}, t AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY rank) AS r FROM knn WHERE src % 10 = 0 AND dst % 10 <> 0) SELECT src, round(sum(greatest(0, sim) * embedding[1]::DOUBLE) / sum(greatest(0, sim)), 4) AS x, round(sum(greatest(0, sim) * embedding[2]::DOUBLE) / sum(greatest(0, sim)), 4) AS y, round(max(sim), 3) AS sim FROM t JOIN e ON e.vec_id = dst WHERE r <= 6 GROUP BY src",
+    "ghost_placement": f"WITH {_E}, {_nn(500)}, t AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY rank) AS r FROM knn WHERE src % 10 = 0 AND dst % 10 <> 0) SELECT src, round(sum(greatest(0, sim) * embedding[1]::DOUBLE) / sum(greatest(0, sim)), 4) AS x, round(sum(greatest(0, sim) * embedding[2]::DOUBLE) / sum(greatest(0, sim)), 4) AS y, round(max(sim), 3) AS sim FROM t JOIN e ON e.vec_id = dst WHERE r <= 6 GROUP BY src",
     "mean_vector": f"WITH {V}, i AS (SELECT unnest(range(128))::INT AS i) SELECT i, round(avg(vec[i + 1]::DOUBLE), 6) AS mean FROM v, i GROUP BY i",
     "semantic_query": f"WITH {V}, n AS (SELECT node_id, vec::DOUBLE[] AS x, sqrt(list_dot_product(vec::DOUBLE[], vec::DOUBLE[])) AS n FROM v), q AS (SELECT arg_min(x, node_id) AS qx, arg_min(n, node_id) AS qn FROM n WHERE n > 0) SELECT node_id, round(list_dot_product(x, qx) / (n * qn), 4) AS sim FROM n, q WHERE n > 0",
     "derived_direction": f"WITH {V}, i AS (SELECT unnest(range(128))::INT AS i), n AS (SELECT node_id, vec::DOUBLE[] AS x, sqrt(list_dot_product(vec::DOUBLE[], vec::DOUBLE[])) AS n FROM v), u AS (SELECT node_id, i, x[i + 1] / CASE WHEN n = 0 THEN 1 ELSE n END AS x FROM n, i) SELECT i, round(avg(x) FILTER (node_id % 5 = 0) - avg(x) FILTER (node_id % 5 <> 0), 6) AS d FROM u GROUP BY i",
-    "term_document_counts": f"WITH {D}, t AS (SELECT node_id, unnest({TOKENS}) AS term FROM d WHERE map_id = 14) SELECT node_id, term, count(*) AS n FROM t GROUP BY ALL",
+    "term_document_counts": f"WITH {D}, t AS (SELECT node_id, unnest({TOKENS}) AS term FROM d) SELECT node_id, term, count(*) AS n FROM t GROUP BY ALL",
 }

@@ -6,10 +6,14 @@ import json
 from dataclasses import dataclass
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+MANIFEST = "atlaspark-vault.json"
+
+
 class Source(Protocol):
     """Anything that describes itself and yields source files (path, name, text, meta)."""
 
@@ -18,20 +22,36 @@ class Source(Protocol):
     def load(self, spark: SparkSession) -> DataFrame: ...
 
 
+@F.pandas_udf("string")
+def decoded(content: pd.Series) -> pd.Series:
+    """Bytes as text, with replacement characters for what is no UTF-8."""
+    return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace"))
+
+
 @dataclass(frozen=True)
 class FolderSource:
-    """Every .md, .markdown and .txt file below a folder, on any file system that Spark reads; the time of change becomes metadata."""
+    """Every .md, .markdown and .txt file below a folder, on any file system that Spark reads; the time of change becomes metadata.
+
+    Other files are listed but not read. Bytes that are no UTF-8 become U+FFFD, so a stray binary file is skipped later and does not end the load. A manifest in the
+    folder gives the title.
+    """
 
     path: str
 
     def describe(self) -> str:
         return f"folder {self.path}"
 
+    def title(self, spark: SparkSession) -> str:
+        """The manifest's title, else the folder's name."""
+        found = spark.read.format("binaryFile").option("pathGlobFilter", MANIFEST).load(self.path).select("content").head(1)
+        manifest = vault_manifest(bytes(found[0][0]).decode("utf-8", "replace")) if found else None
+        return (manifest or {}).get("title") or self.path.rstrip("/").rsplit("/", 1)[-1]
+
     def load(self, spark: SparkSession) -> DataFrame:
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.path)
-        files = raw.where(F.lower("path").rlike("\\.(md|markdown|txt)$"))
+        wanted = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in ext) for ext in ("md", "markdown", "txt")) + "}"
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", wanted).load(self.path)
         meta = F.to_json(F.struct(F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified")))
-        return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.expr("decode(content, 'UTF-8')").alias("text"), meta.alias("meta"))
+        return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), decoded("content").alias("text"), meta.alias("meta"))
 
 
 @dataclass(frozen=True)
@@ -87,4 +107,4 @@ def vault_manifest(text: str) -> dict | None:
         m = json.loads(text)
     except ValueError:
         return None
-    return m if isinstance(m, dict) and "vault" in m.values() else None
+    return m if isinstance(m, dict) and m.get("kind") == "vault" else None

@@ -1,5 +1,6 @@
 """Core operators against brute force on small fixtures."""
 
+import json
 import math
 import random
 
@@ -11,7 +12,7 @@ from atlaspark.functions.text import honest_percent, looks_binary, slug
 from atlaspark.operators import knn as K
 from atlaspark.operators import linear as L
 from atlaspark.operators.graph import connected_components
-from atlaspark.operators.parse import assemble, chunk, parse_files, parse_front_meta, split_documents, split_pieces
+from atlaspark.operators.parse import assemble, chunk, front_meta, parse_files, split_documents, text_pieces
 from atlaspark.operators.rank import band, min_max100, percentile, rank100, rank_scores, unit_disc, upper_median
 from atlaspark.operators.regions import distinctive_terms, fallback_label, redundancy, trajectory
 from atlaspark.operators.view import View, facets, in_polygon, vault_names
@@ -47,18 +48,19 @@ def test_parse(spark):
     assert {r.path: r.skip for r in parse_files(df, min_chars=5).collect()}["v/g.md"] is None
 
 
-def test_front_meta():
+def test_front_meta(spark):
     front = 'id: 1\nscore: 3\nratio: -2.5\nok: yes\nname: "Ada"\nlist: [a, 2, true]\nitems:\n  - x\n  - 7\nnested:\n  k: v\nempty:\ncreated_at: 2024-01-01\ncreated: 2023'
-    assert parse_front_meta(front) == {"score": 3, "ratio": -2.5, "ok": True, "name": "Ada", "list": ["a", 2, True], "items": ["x", 7], "created_at": "2024-01-01"}
-    assert parse_front_meta(None) == {}
+    got = spark.createDataFrame([(front,), (None,), ("a: 1\na: two",)], "f string").select(front_meta(F.col("f")).alias("m")).collect()
+    assert got[1].m == {} and got[2].m == {"a": '"two"'}
+    assert {k: json.loads(v) for k, v in got[0].m.items()} == {"score": 3, "ratio": -2.5, "ok": True, "name": "Ada", "list": ["a", 2, True], "items": ["x", 7], "created_at": "2024-01-01"}
 
 
 def test_split_and_chunk(spark):
     text = " ".join(f"w{i}" for i in range(500))
     for limit in (7, 100, 1000):
-        ps = split_pieces(text, limit)
+        ps = spark.createDataFrame([(text,)], "t string").select(text_pieces(F.col("t"), limit)).first()[0]
         assert "".join(ps) == text and max(map(len, ps)) <= limit + 1
-    assert len(split_pieces("a" * 10 + " " + "b" * 5, 10)[0]) == 11  # the blank at the limit itself
+    assert spark.createDataFrame([("a" * 10 + " " + "b" * 5,)], "t string").select(text_pieces(F.col("t"), 10)).first()[0] == ["a" * 10 + " ", "b" * 5]  # the blank at the limit itself
     df = spark.createDataFrame([(1, "t", text), (2, None, "short"), (3, "n", None)], "id long, title string, body string")
     out = {r.id: r for r in split_documents(df, "id", "title", "body", 1000).collect()}
     assert {"2", "3", "1#0", "1#1"} <= set(out) and out["1#1"].title.startswith("t (part 2/")
