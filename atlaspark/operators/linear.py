@@ -296,8 +296,10 @@ def layout(df: DataFrame, key: str, vec: str, knn: DataFrame, dims: int = 2, rou
 
     A spectral layout on the neighbour graph, in place of a gradient one: a round is a join and an aggregation, the spreading needs one row of moments.
     """
-    axes = discover_axes(df, vec)
-    raw = project(df, key, vec, {**axes, "components": axes["components"][:dims]})
+    n, mean, cov = moments(df, vec, True)
+    comps = principal(cov, n)[0][:dims]
+    comps = np.vstack([comps, np.zeros((dims - len(comps), len(mean)))])
+    raw = project(df, key, vec, {"mean": mean, "components": comps})
     names = ["x", "y", "z"][:dims]
     at = raw.groupBy(key).agg(*[F.max(F.when(F.col("pc") == i + 1, F.col("raw"))).alias(n) for i, n in enumerate(names)])
     edges = cut(knn.select(F.col("src").alias(key), "dst").union(knn.select(F.col("dst").alias(key), F.col("src").alias("dst"))).distinct())

@@ -81,6 +81,38 @@ def trajectory(nodes: DataFrame, date: str, group: str, least: int = 20, still:
     return g.select(group, F.round(early, 6).alias("early"), F.round(late, 6).alias("late"), F.round(d, 6).alias("delta"), F.when(d > still, "rising").when(d < -still, "cooling").otherwise("steady").alias("trend"))
 
 
+def axis_drift(nodes: DataFrame, scores: DataFrame, date: str, key: str = "node_id", least: int = 20, notable: float = 1.5) -> DataFrame:
+    """(pc, early, late, pole): the axes on which the mean score moved by ``notable`` at least after the upper-median date, and the pole it moved towards.
+
+    Only nodes of a positive date count, fewer than ``least`` give no rows; a missing score counts as 0.
+    """
+    dated = nodes.where(F.col(date) > 0).select(key, F.col(date).alias("_d"))
+    mid = upper_median(dated, "_d", out="_mid").crossJoin(dated.agg(F.count("*").alias("_n"))).where(F.col("_n") >= least)  # one row each
+    half = dated.crossJoin(F.broadcast(mid)).select(key, (F.col("_d") <= F.col("_mid")).alias("_early"))
+    sizes = half.agg(F.count_if("_early").alias("_e"), F.count_if(~F.col("_early")).alias("_l"))  # one row
+    sums = scores.join(half, key).groupBy("pc").agg(F.sum(F.when(F.col("_early"), F.col("score"))).alias("e"), F.sum(F.when(~F.col("_early"), F.col("score"))).alias("l"))
+    mean = lambda s, n: F.coalesce(F.coalesce(F.col(s), F.lit(0)) / F.nullif(n, F.lit(0)), F.lit(0.0))
+    out = sums.crossJoin(F.broadcast(sizes)).select("pc", F.round(mean("e", "_e"), 6).alias("early"), F.round(mean("l", "_l"), 6).alias("late"))
+    return out.where(F.abs(F.col("late") - F.col("early")) >= notable).withColumn("pole", F.when(F.col("late") > F.col("early"), "high").otherwise("low"))
+
+
+def redundant_pairs(wide: DataFrame, axes: list[str], top: int = 6) -> DataFrame:
+    """(a, b, r): the pairs of axes of the highest absolute population correlation, ties by name, from one pass over the rows."""
+    pairs = [(a, b) for i, a in enumerate(axes) for b in axes[i + 1 :]]
+    base = wide.select(*[F.col(a).cast("double").alias(a) for a in axes])
+    sums = base.agg(*[F.stddev_pop(a).alias(f"s_{a}") for a in axes], *[F.covar_pop(a, b).alias(f"c_{a}_{b}") for a, b in pairs])
+    floor = lambda a: F.greatest(F.col(f"s_{a}"), F.lit(1e-9))
+    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col(f"c_{a}_{b}") / (floor(a) * floor(b)), 6).alias("r")) for a, b in pairs])
+    return sums.select(F.explode(rows).alias("x")).select("x.*").orderBy(F.desc(F.abs("r")), "a", "b").limit(top)
+
+
+def region_samples(members: DataFrame, group: str, order: str, title: str, core: str, k: int = 12, width: int = 220) -> DataFrame:
+    """(group, samples): the first k members of each group as text, title and restatement, each cut to ``width``."""
+    first = members.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("_r") <= k)
+    line = F.substring(F.concat(F.coalesce(F.col(title), F.lit("")), F.lit(" — "), F.coalesce(F.col(core), F.lit(""))), 1, width)
+    return first.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", line.alias("t")))), lambda x: x["t"]), "\n\n").alias("samples"))
+
+
 def redundancy(wide: DataFrame, axes: list[str], strong: float = 0.5, passing: float = 0.3) -> DataFrame:
     """(pairs, mean_abs_r, strong_pairs, passes): population correlation of every pair of axes, in one pass over the rows."""
     pairs = [(a, b) for i, a in enumerate(axes) for b in axes[i + 1 :]]

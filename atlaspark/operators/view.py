@@ -28,6 +28,14 @@ def window_filter(column: str, lo: float | None, hi: float | None) -> Column | N
     return cond & (c <= hi) if hi is not None else cond
 
 
+def projected(matrix: list[float], x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+    """(x, y, inside): points under a column-major 4 x 4 projection, in -1..1, and whether they lie between the near and far planes and before the eye."""
+    part = lambda r: sum((F.lit(float(matrix[4 * c + r])) * v for c, v in enumerate((x, y, z))), F.lit(float(matrix[12 + r])))
+    w = part(3)
+    depth = part(2) / w
+    return part(0) / w, part(1) / w, F.coalesce((w > 0) & (depth >= -1) & (depth <= 1), F.lit(False))
+
+
 def in_polygon(x: Column, y: Column, polygon: list[tuple[float, float]]) -> Column:
     """Even-odd ray casting, after a test of the bounding box; fewer than three corners contain nothing."""
     if len(polygon) < 3:
@@ -41,6 +49,9 @@ def in_polygon(x: Column, y: Column, polygon: list[tuple[float, float]]) -> Colu
     return F.coalesce((x >= min(xs)) & (x <= max(xs)) & (y >= min(ys)) & (y <= max(ys)) & crossings, F.lit(False))
 
 
+SETS = ("set", "region")  # filters that are id tables, not predicates
+
+
 @dataclass(frozen=True)
 class View:
     """An immutable query over a node table: every method gives a new view, so undo is keeping the old one."""
@@ -63,6 +74,15 @@ class View:
         """One value per dimension: a second call replaces the first."""
         return self._with("cat", column, F.col(column) == F.lit(value), f"{column}={value}")
 
+    def region(self, ladder: DataFrame, level: int, region: int) -> View:
+        """One region of a grain; ``ladder`` is (level, key, region)."""
+        ids = ladder.where((F.col("level") == level) & (F.col("region") == region)).select(self.key)
+        return self._with("region", "region", ids, f"region {level}/{region}")
+
+    def grain(self) -> View:
+        """Another grain: what names regions of the old one goes, every other filter stays."""
+        return self.remove("region", "region")
+
     def window(self, column: str, lo=None, hi=None) -> View:
         return self._with("window", column, window_filter(column, lo, hi), f"{column} {lo}..{hi}")
 
@@ -72,6 +92,11 @@ class View:
     def lasso(self, x: str, y: str, polygon: list[tuple[float, float]]) -> View:
         return self._with("lasso", "lasso", in_polygon(F.col(x), F.col(y), polygon), "lasso")
 
+    def lasso3d(self, matrix: list[float], x: str, y: str, z: str, polygon: list[tuple[float, float]]) -> View:
+        """A lasso drawn on a projected scene, in its coordinates of -1..1; what lies behind the eye or beyond the planes is not selected."""
+        px, py, inside = projected(matrix, F.col(x), F.col(y), F.col(z))
+        return self._with("lasso", "lasso", inside & in_polygon(px, py, polygon), "lasso")
+
     def unread(self, column: str = "read") -> View:
         return self._with("unread", column, ~F.coalesce(F.col(column), F.lit(False)), "unread")
 
@@ -86,22 +111,22 @@ class View:
 
     def rows(self) -> DataFrame:
         """The nodes that pass every filter: the predicates in one where, each set a semi join."""
-        conds = [f[2] for f in self.filters if f[0] != "set"]
+        conds = [f[2] for f in self.filters if f[0] not in SETS]
         out = self.nodes.where(functools.reduce(operator.and_, conds)) if conds else self.nodes
         for f in self.filters:
-            if f[0] == "set":
+            if f[0] in SETS:
                 out = out.join(f[2], self.key, "left_semi")
         return out
 
     def chips(self) -> DataFrame:
         """(label, n): each filter's own count, whatever the others say; the predicates in one pass."""
-        conds = [(f[3], f[2]) for f in self.filters if f[0] != "set"]
+        conds = [(f[3], f[2]) for f in self.filters if f[0] not in SETS]
         spark = self.nodes.sparkSession
         parts = []
         if conds:
             one = self.nodes.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(f"c{i}") for i, (_, c) in enumerate(conds)])
             parts.append(one.select(F.explode(F.array(*[F.struct(F.lit(label).alias("label"), F.col(f"c{i}").alias("n")) for i, (label, _) in enumerate(conds)])).alias("x")).select("x.*"))
-        parts += [self.nodes.join(f[2], self.key, "left_semi").agg(F.count("*").alias("n")).select(F.lit(f[3]).alias("label"), "n") for f in self.filters if f[0] == "set"]
+        parts += [self.nodes.join(f[2], self.key, "left_semi").agg(F.count("*").alias("n")).select(F.lit(f[3]).alias("label"), "n") for f in self.filters if f[0] in SETS]
         return functools.reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "label string, n bigint")
 
     def sorted(self, score: Column, cap: int = 2000) -> DataFrame:
@@ -129,8 +154,13 @@ def bounds(nodes: DataFrame, *columns: str) -> DataFrame:
     return nodes.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))], *[(F.max(c) - F.min(c)).alias(f"span_{c}") for c in columns])
 
 
-def deck_lines(cards: DataFrame, *columns: str) -> DataFrame:
-    """One JSON line per card."""
+def deck_lines(cards: DataFrame, *columns: str, scores: DataFrame | None = None, key: str = "node_id") -> DataFrame:
+    """One JSON line per card; with ``scores`` (key, axis, score) each line also has the card's score on every axis, 50 where it has none."""
+    if scores is not None:
+        axes = [r[0] for r in scores.select("axis").distinct().orderBy("axis").collect()]  # at most a map's axes
+        wide = scores.groupBy(key).agg(*[F.max(F.when(F.col("axis") == a, F.col("score"))).alias(a) for a in axes])
+        named = F.struct(*[F.coalesce(F.col(f"`{a}`"), F.lit(50)).alias(a) for a in axes])
+        cards, columns = cards.join(wide, key, "left").withColumn("scores", named), (*columns, "scores")
     return cards.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("line"))
 
 

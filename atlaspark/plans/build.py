@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -9,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import card_text
+from ..functions.text import card_text, year_month
+from ..operators.citations import remap_edges
 from ..operators.knn import calibrated_knn
 from ..operators.linear import axis_table, default_grain, discover_axes, ladder, layout, project
 from ..operators.parse import assemble, chunk
-from ..operators.rank import rank_scores
-from ..operators.regions import centroids, distinctive_terms, fallback_label, hubs
+from ..operators.rank import band, rank_scores, unit_disc, upper_median
+from ..operators.regions import axis_drift, centroids, distinctive_terms, fallback_label, hubs, trajectory
 from ..session import cut
 
 DIM = 128
@@ -41,9 +43,9 @@ def hash_embed(df: DataFrame, key: str, text_col: str, dim: int = DIM) -> DataFr
     return df.select(key, text_col).mapInArrow(run, f"`{key}` {kind}, vec array<float>")
 
 
-def embed_cached(df: DataFrame, key: str, text_col: str, cache: DataFrame | None, embed=hash_embed) -> tuple[DataFrame, DataFrame]:
-    """((key, vec), new cache entries (k, vec)): only texts whose hash the cache lacks are embedded, each distinct text once."""
-    keyed = df.select(key, F.coalesce(F.col(text_col), F.lit(" ")).alias("t")).withColumn("k", F.sha2("t", 256))
+def embed_cached(df: DataFrame, key: str, text_col: str, cache: DataFrame | None, embed=hash_embed, model: str = "hash-128") -> tuple[DataFrame, DataFrame]:
+    """((key, vec), new cache entries (k, vec)): only texts that the cache lacks for this model are embedded, each distinct text once. The key is a hash of the model's name and the text, so one cache can hold several models."""
+    keyed = df.select(key, F.coalesce(F.col(text_col), F.lit(" ")).alias("t")).withColumn("k", F.sha2(F.concat(F.lit(model + "\x00"), "t"), 256))
     todo = keyed.select("k", "t").dropDuplicates(["k"])
     fresh = cut(embed(todo.join(cache, "k", "left_anti") if cache is not None else todo, "k", "t"))
     have = fresh.unionByName(cache.select("k", "vec")) if cache is not None else fresh
@@ -90,11 +92,35 @@ def build_map(files: DataFrame, meta_col: str | None = "meta", embed=hash_embed,
     return _geometry(docs, cards, cut(embed(texts, "node_id", "t")), {"axes": axis_df, "axis_scores": scores}, kmax)
 
 
+def ring(vectors: DataFrame, n: int, radius: float = 0.6) -> DataFrame:
+    """(node_id, x, y): fewer than five nodes, in their order on a ring."""
+    turn = 2 * math.pi * (F.row_number().over(Window.orderBy("node_id")) - 1) / max(n, 1)  # four rows at most
+    return vectors.select("node_id", turn.alias("t")).select("node_id", (F.cos("t") * radius).alias("x"), (F.sin("t") * radius).alias("y"))
+
+
+def layouts(vectors: DataFrame, knn: DataFrame, n: int) -> DataFrame:
+    """(node_id, x, y, x3, y3, z3, color_x, color_y): the flat and the deep layout, each axis with its 2nd to 98th percentile at -1..1, and the colour plane, two principal coordinates on the unit disc."""
+    if n < 5:
+        return ring(vectors, n).select("node_id", "x", "y", F.col("x").alias("x3"), F.col("y").alias("y3"), F.lit(0.0).alias("z3"), F.col("x").alias("color_x"), F.col("y").alias("color_y"))
+
+    def banded(df: DataFrame, names: dict[str, str]) -> DataFrame:
+        for a, b in names.items():
+            df = band(df, a).withColumn(b, F.col("scaled")).drop("scaled", *({a} - {b}))
+        return df
+
+    flat = banded(cut(layout(vectors, "node_id", "vec", knn, 2, 10)), {"x": "x", "y": "y"})
+    deep = banded(cut(layout(vectors, "node_id", "vec", knn, 3, 10)), {"x": "x3", "y": "y3", "z": "z3"})
+    axes = discover_axes(vectors, "vec")
+    plane = project(vectors, "node_id", "vec", {**axes, "components": axes["components"][:2]}).groupBy("node_id").agg(*[F.max(F.when(F.col("pc") == i, F.col("raw"))).alias(f"p{i}") for i in (1, 2)])
+    disc = unit_disc(cut(plane), "p1", "p2").select("node_id", F.col("dx").alias("color_x"), F.col("dy").alias("color_y"))
+    return flat.join(deep, "node_id").join(disc, "node_id")
+
+
 def _geometry(docs: DataFrame, cards: DataFrame, vectors: DataFrame, done: dict[str, DataFrame], kmax: int) -> dict[str, DataFrame]:
     spark, n = docs.sparkSession, vectors.count()
     knn, method = calibrated_knn(vectors, "node_id", "vec", max(1, min(14, n - 1)))
     knn = cut(knn)
-    flat = cut(layout(vectors, "node_id", "vec", knn, 2, 10)) if n >= 5 else vectors.select("node_id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    flat = cut(layouts(vectors, knn, n))
     rungs, counts = ladder(vectors, "node_id", "vec", min(kmax, max(1, n // 2)))
     rungs = cut(rungs)
     levels = spark.createDataFrame([(i, c, i == default_grain(counts), method) for i, c in enumerate(counts)], "level int, count int, is_default boolean, neighbours string")
@@ -105,11 +131,12 @@ def _geometry(docs: DataFrame, cards: DataFrame, vectors: DataFrame, done: dict[
     mids = centroids(groups.join(flat, "node_id"), "r", "x", "y").select("r.level", "r.region", "cx", "cy")
     regions = sizes.join(names, ["level", "region"], "left").join(mids, ["level", "region"], "left").withColumn("label", F.coalesce("label", F.lit("region")))
     nodes = docs.select("node_id", "id", "title", "url", "path").join(flat, "node_id").join(hubs(knn, docs.select("node_id"), "node_id"), "node_id")
-    return {"docs": docs, "cards": cards, "vectors": vectors, "knn": knn, "layout": flat, "ladder": rungs, "levels": levels, "regions": regions, "nodes": nodes, **done}
+    made = spark.createDataFrame([("", "", n, "card")], "title string, parent string, count bigint, basis string")
+    return {"docs": docs, "cards": cards, "vectors": vectors, "knn": knn, "layout": flat, "ladder": rungs, "levels": levels, "regions": regions, "nodes": nodes, "provenance": made, **done}
 
 
-def descend(parent: dict[str, DataFrame], selection: DataFrame, kmax: int = 27) -> dict[str, DataFrame]:
-    """The map of a selection as its own space: axes, neighbours, layout and regions anew over the selected rows, notes emptied, the embedding kept.
+def descend(parent: dict[str, DataFrame], selection: DataFrame, kmax: int = 27, title: str = "selection") -> dict[str, DataFrame]:
+    """The map of a selection as its own space: axes, neighbours, layout and regions anew over the selected rows, notes emptied, the embedding kept. Citations of which both ends are selected stay, and so do the selected rows of the generic columns; the provenance names the parent.
 
     An id that the parent does not have is an error, and so are fewer than two.
     """
@@ -123,11 +150,27 @@ def descend(parent: dict[str, DataFrame], selection: DataFrame, kmax: int = 27)
     cards = keep("cards").withColumn("notes", F.create_map().cast("map<string,string>"))
     axes = discover_axes(vectors, "vec")
     scores = rank_scores(project(vectors, "node_id", "vec", axes), "raw", "node_id", ["pc"])
-    return _geometry(docs, cards, vectors, {"axes": axis_table(docs.sparkSession, axes), "axis_scores": scores}, kmax)
+    out = _geometry(docs, cards, vectors, {"axes": axis_table(docs.sparkSession, axes), "axis_scores": scores}, kmax)
+    if "cite" in parent:
+        out["cite"] = cut(remap_edges(parent["cite"], ids))
+    if "cols" in parent:
+        out["cols"] = keep("cols")
+    before = parent["provenance"].first() if "provenance" in parent else None
+    out["provenance"] = docs.sparkSession.createDataFrame([(title, before.title if before else "", vectors.count(), before.basis if before else "card")], "title string, parent string, count bigint, basis string")
+    return out
+
+
+REQUIRED = {
+    "docs": ("node_id",), "cards": ("node_id", "core"), "vectors": ("node_id", "vec"), "layout": ("node_id", "x", "y"), "nodes": ("node_id", "title", "hub"), "axes": ("pc", "key", "variance"), "axis_scores": ("node_id", "pc", "score"),
+    "ladder": ("level", "node_id", "region"), "levels": ("level", "count", "is_default"), "regions": ("level", "region", "n", "label"),
+}
 
 
 def check_map(tables: dict[str, DataFrame]) -> None:
-    """Every per-node table covers exactly the documents, or an error names it."""
+    """Every table that a map needs is there with its columns, and every per-node table covers exactly the documents, or an error names it."""
+    for name, columns in REQUIRED.items():
+        if name not in tables or not set(columns) <= set(tables[name].columns):
+            raise ValueError(f"{name} is missing or lacks one of {', '.join(columns)}")
     ids = tables["docs"].select("node_id")
     for name in ("cards", "vectors", "layout", "nodes"):
         t = tables[name].select("node_id")
@@ -144,4 +187,29 @@ def report(tables: dict[str, DataFrame], title: str = "Map", top: int = 10) -> s
     lines = [f"# {title}", "", "## Regions", ""] + [f"- **{r.label}** ({r.n}): {r.exemplar}" for r in regions]
     lines += ["", "## Axes", ""] + [f"- {a.key}: {a.variance:.4f}{' (weak)' if a.weak else ''}" for a in tables["axes"].orderBy(F.desc("variance"), "pc").collect()]
     lines += ["", "## Read first", ""] + [f"{i + 1}. {r.title}" for i, r in enumerate(tables["nodes"].orderBy(F.desc("hub"), "node_id").limit(top).collect())]
+    docs = tables["docs"]
+    if "read_progress" in docs.columns:
+        unread = tables["nodes"].join(docs.where(~F.coalesce(F.col("read_progress") > 0.05, F.lit(False))).select("node_id"), "node_id", "left_semi")
+        lines += ["", "## Unread", ""] + [f"{i + 1}. {r.title}" for i, r in enumerate(unread.orderBy(F.desc("hub"), "node_id").limit(top).collect())]
+    if "ghosts" in tables:
+        lines += ["", "## Referred to, not here", ""] + [f"- {g.title or g.key} ({g.n})" for g in tables["ghosts"].orderBy(F.desc("n"), "key").limit(12).collect()]
+    return "\n".join(lines) + "\n"
+
+
+def state_text(tables: dict[str, DataFrame], date: str = "date_ms") -> str | None:
+    """Where the corpus has moved, as Markdown: the regions of the default grain by the change of their share after the median date, and the axes that drifted. None for fewer than 20 dated nodes."""
+    docs = tables["docs"]
+    dated = docs.where(F.col(date) > 0)
+    n = dated.count()
+    if n < 20:
+        return None
+    grain = tables["levels"].where("is_default").first().level
+    members = tables["ladder"].where(F.col("level") == grain).join(docs.select("node_id", date), "node_id")
+    moved = trajectory(members, date, "region").join(tables["regions"].where(F.col("level") == grain).select("region", "label"), "region").orderBy(F.desc("delta"), "region").collect()
+    month = upper_median(dated, date, out="m").select(year_month(F.col("m")).alias("m")).first().m
+    lines = ["# State of the corpus", "", f"{n} dated nodes, halved at {month}", "", "## Regions by the change of their share", ""]
+    lines += [f"- {r.trend}: **{r.label}** {r.delta * 100:+.1f} points" for r in moved]
+    names = {a.pc: a for a in tables["axes"].collect()}
+    drift = axis_drift(docs, tables["axis_scores"].select("node_id", "pc", "score"), date).orderBy("pc").collect()
+    lines += ["", "## Axes that drifted", ""] + [f"- {names[d.pc].key}: {d.early:.0f} to {d.late:.0f}, towards its {d.pole} end" for d in drift if d.pc in names]
     return "\n".join(lines) + "\n"

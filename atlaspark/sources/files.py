@@ -9,6 +9,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 MANIFEST = "atlaspark-vault.json"
@@ -22,7 +23,7 @@ class Source(Protocol):
     def load(self, spark: SparkSession) -> DataFrame: ...
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decoded(content: pd.Series) -> pd.Series:
     """Bytes as text, with replacement characters for what is no UTF-8."""
     return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace"))

@@ -64,8 +64,30 @@ def json_rows(rows: list) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(each), np.uint8), np.r_[0, np.cumsum([len(e) for e in each])].astype(np.int32)
 
 
-def encode_map(nodes: DataFrame, vectors: DataFrame | None = None, knn: DataFrame | None = None, title: str = "") -> bytes:
-    """A map file of a node table with node_id, x, y and any other columns, its card vectors and its neighbour lists. An empty map is refused."""
+BLOCK = 512  # notes of one compressed block
+ROWS = {  # tables that travel as JSON rows, with their schemas
+    "levels": "level int, count int, is_default boolean, neighbours string", "regions": "level int, region int, n bigint, label string, blurb string, cx double, cy double, terms array<string>",
+    "axes": "pc int, key string, name string, low string, high string, coherence int, variance double, weak boolean", "ghosts": "key string, title string, arxiv string, url string, n bigint, core string, x double, y double, sim double",
+    "views": "name string, created_ms bigint, state string", "cols": "node_id bigint, key string, type string, num double, str string, bool boolean, arr array<string>", "provenance": "title string, parent string, count bigint, basis string",
+}
+
+
+def _lists(df: DataFrame, at: dict, src: str, dst: str, *order: str) -> tuple[np.ndarray, np.ndarray]:
+    """A table of pairs as ragged lists of positions; pairs with an end that is no node are left out."""
+    out: list[list[int]] = [[] for _ in at]
+    for r in df.select(src, dst, *order).orderBy(src, *(order or (dst,))).toLocalIterator():
+        if r[0] in at and r[1] in at:
+            out[at[r[0]]].append(at[r[1]])
+    vals, offs = ragged(out)
+    return vals.astype(np.int32), offs
+
+
+def encode_map(nodes: DataFrame, vectors: DataFrame | None = None, knn: DataFrame | None = None, title: str = "", **tables: DataFrame) -> bytes:
+    """A map file of a node table with node_id, x, y and any other columns, its card vectors, its neighbour lists and whichever other tables of the map are given: ladder, levels, regions, axes, axis_scores,
+    cards (core and notes), cite, ghosts, cols, views, provenance.
+
+    A file is written by the driver, so it is for maps that fit there (as a page that opens it has to); the tables themselves are written by ``write_map``. An empty map is refused.
+    """
     rows = nodes.orderBy("node_id").toPandas()
     if rows.empty:
         raise ValueError("refusing to write an empty map")
@@ -75,24 +97,49 @@ def encode_map(nodes: DataFrame, vectors: DataFrame | None = None, knn: DataFram
     text = [json.loads(r) for r in rows[rest].to_json(orient="records", lines=True, date_format="iso").splitlines()]
     buffers = {"xy": ("f32", rows[["x", "y"]].to_numpy().ravel())}
     if vectors is not None:
-        v = {r.node_id: r.vec for r in vectors.select("node_id", "vec").collect()}
+        v = {r.node_id: r.vec for r in vectors.select("node_id", "vec").toLocalIterator()}
         dim = len(next(iter(v.values()))) if v else 0
         buffers["vectors"] = ("f16", np.array([v.get(k) or [0.0] * dim for k in ids], np.float32).ravel())
-    if knn is not None:
-        lists: list[list[int]] = [[] for _ in ids]
-        for r in knn.orderBy("src", "rank").collect():
-            if r.src in at and r.dst in at:
-                lists[at[r.src]].append(at[r.dst])
-        vals, offs = ragged(lists)
-        buffers |= {"nbr_v": ("i32", vals), "nbr_o": ("i32", offs)}
+    for name, df, ends in (("nbr", knn, ("src", "dst", "rank")), ("cite", tables.get("cite"), ("src", "dst"))):
+        if df is not None:
+            vals, offs = _lists(df, at, *ends)
+            buffers |= {f"{name}_v": ("i32", vals), f"{name}_o": ("i32", offs)}
     vals, offs = json_rows(text)
     buffers |= {"prow_v": ("u8", vals), "prow_o": ("i32", offs)}
+    head: dict = {}
+    if "ladder" in tables:
+        depth = tables["ladder"].agg({"level": "max"}).first()[0]
+        regions = np.full((0 if depth is None else depth + 1, len(ids)), -1, np.int32)
+        for r in tables["ladder"].select("level", "node_id", "region").toLocalIterator():
+            if r.node_id in at:
+                regions[r.level, at[r.node_id]] = r.region
+        buffers["ladder"] = ("i32", regions.ravel())
+        head["depth"] = len(regions)
+    if "axis_scores" in tables:
+        pcs = [r[0] for r in tables["axis_scores"].select("pc").distinct().orderBy("pc").collect()]
+        scores = np.full((len(pcs), len(ids)), np.nan, np.float32)
+        for r in tables["axis_scores"].select("pc", "node_id", "score").toLocalIterator():
+            if r.node_id in at and r.score is not None:
+                scores[pcs.index(r.pc), at[r.node_id]] = r.score
+        buffers["scores"] = ("f32", scores.ravel())
+        head["pcs"] = pcs
+    if "cards" in tables:
+        cards: list = [None] * len(ids)
+        for r in tables["cards"].select("node_id", "core", "notes").toLocalIterator():
+            if r.node_id in at:
+                cards[at[r.node_id]] = [r.core, r.notes]
+        blocks = [gzip.compress(json.dumps(cards[s : s + BLOCK], ensure_ascii=False).encode(), mtime=0) for s in range(0, len(ids), BLOCK)]
+        buffers |= {"cards_v": ("u8", np.frombuffer(b"".join(blocks), np.uint8)), "cards_o": ("i32", np.r_[0, np.cumsum([len(b) for b in blocks])])}
+    for name in ROWS:
+        if name in tables:
+            vals, offs = json_rows([r.asDict(True) for r in tables[name].toLocalIterator()])
+            buffers |= {f"{name}_v": ("u8", vals), f"{name}_o": ("i32", offs)}
     vdim = len(buffers["vectors"][1]) // len(ids) if "vectors" in buffers else 0
-    return encode_container({"version": 2, "n": len(ids), "provenance": {"title": title, "count": len(ids)}, "hasVectors": vdim > 0, "vdim": vdim}, buffers)
+    return encode_container({"version": 3, "n": len(ids), "provenance": {"title": title, "count": len(ids)}, "hasVectors": vdim > 0, "vdim": vdim, **head}, buffers)
 
 
 def decode_map(spark: SparkSession, data: bytes) -> dict[str, DataFrame]:
-    """The tables of a map file: nodes, and vectors and knn where the file has them."""
+    """The tables of a map file: nodes, and every other that the file has."""
     meta, b = decode_container(data)
     n = meta["n"]
     rows = [json.loads(bytes(x)) for x in unragged(b["prow_v"], b["prow_o"])]
@@ -104,6 +151,21 @@ def decode_map(spark: SparkSession, data: bytes) -> dict[str, DataFrame]:
         out["vectors"] = spark.createDataFrame([(k, [float(x) for x in r]) for k, r in zip(ids, v)], "node_id bigint, vec array<float>")
     if "nbr_v" in b:
         out["knn"] = spark.createDataFrame([(ids[i], j + 1, ids[int(d)]) for i, r in enumerate(unragged(b["nbr_v"], b["nbr_o"])) for j, d in enumerate(r)], "src bigint, rank int, dst bigint")
+    if "cite_v" in b:
+        out["cite"] = spark.createDataFrame([(ids[i], ids[int(d)]) for i, r in enumerate(unragged(b["cite_v"], b["cite_o"])) for d in r], "src bigint, dst bigint")
+    if "ladder" in b:
+        regions = b["ladder"].reshape(meta["depth"], n)
+        out["ladder"] = spark.createDataFrame([(level, ids[i], int(r)) for level, row in enumerate(regions) for i, r in enumerate(row) if r >= 0], "level int, node_id bigint, region int")
+    if "scores" in b:
+        scores = b["scores"].reshape(len(meta["pcs"]), n)
+        out["axis_scores"] = spark.createDataFrame([(ids[i], int(pc), int(s)) for pc, row in zip(meta["pcs"], scores) for i, s in enumerate(row) if not np.isnan(s)], "node_id bigint, pc int, score int")
+    if "cards_v" in b:
+        cards = [c for block in unragged(b["cards_v"], b["cards_o"]) for c in json.loads(gzip.decompress(block.tobytes()))]
+        out["cards"] = spark.createDataFrame([(k, c[0], c[1]) for k, c in zip(ids, cards) if c], "node_id bigint, core string, notes map<string,string>")
+    for name, schema in ROWS.items():
+        if f"{name}_v" in b:
+            fields = [f.split()[0] for f in schema.split(", ")]
+            out[name] = spark.createDataFrame([tuple(json.loads(bytes(x)).get(f) for f in fields) for x in unragged(b[f"{name}_v"], b[f"{name}_o"])], schema)
     return out
 
 
