@@ -120,7 +120,8 @@ def split_oversized(df: DataFrame, key: str, text_col: str, limit: int = LIMIT,
 
 
 def _docs(spark, sf_dir):
-    return once(table(spark, sf_dir, "docs").select("node_id", "cores"), "node_id")
+    """The long texts, once: what is within the limit does not move."""
+    return once(table(spark, sf_dir, "docs").select("node_id", "cores").where(F.length("cores") > LIMIT), "node_id")
 
 
 def p5_pieces(spark, sf_dir):
@@ -132,5 +133,15 @@ def p5_found(spark, sf_dir):
     return p5_pieces(spark, sf_dir).where("piece_no = 0").select("node_id")
 
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces}
-ORACLE = {"p5_found": "SELECT DISTINCT node_id FROM docs WHERE length(cores) > 1200"}
+def p5_joined(spark, sf_dir):
+    """(node_id, digest, longest_ok): each text put together again from its pieces, without what they repeat, and whether all pieces are within the limit."""
+    own = F.substring(F.col("piece"), F.col("body_start") - F.col("start") + 1, F.col("end") - F.col("body_start"))
+    parts = p5_pieces(spark, sf_dir).groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", own.alias("t")))).alias("p"), (F.max(F.length("piece")) <= LIMIT).alias("longest_ok"))
+    return parts.select("node_id", F.md5(F.array_join(F.transform("p", lambda x: x["t"]), "")).alias("digest"), "longest_ok")
+
+
+QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p5_joined": p5_joined}
+ORACLE = {
+    "p5_found": "SELECT DISTINCT node_id FROM docs WHERE length(cores) > 1200",
+    "p5_joined": "SELECT DISTINCT node_id, md5(cores) AS digest, true AS longest_ok FROM docs WHERE length(cores) > 1200",
+}
