@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, arxiv_id, card_text, portable_source, slug, tokens
-from ..operators.parse import assemble, chunk, column_types, dedupe, front_meta, json_values, parse_files, split_documents
+from ..operators.parse import assemble, chunk, column_types, dedupe, json_values, parse_files, split_documents
 from ..operators.regions import term_counts, term_index
 from .common import FILES, D, docs, files
 
@@ -20,11 +20,6 @@ def parse_skips(spark, sf_dir):
     return p.groupBy(F.coalesce("skip", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-def frontmatter_meta(spark, sf_dir):
-    p = parse_files(files(spark, sf_dir).select("file_id", "path", "name", "text"))
-    return p.select("file_id", F.explode(front_meta("front")).alias("key", "value"))
-
-
 def assembled_corpus(spark, sf_dir):
     a = assemble(files(spark, sf_dir).drop("map_id"), "meta", order="file_id")
     return a.select("file_id", "id", "title", F.length("body").alias("body_chars"), F.size("meta_map").alias("n_meta"))
@@ -90,7 +85,7 @@ def spend_estimate(spark, sf_dir):
 
 
 QUERIES = {
-    "parse_documents": parse_documents, "parse_skips": parse_skips, "frontmatter_meta": frontmatter_meta, "assembled_corpus": assembled_corpus,
+    "parse_documents": parse_documents, "parse_skips": parse_skips, "assembled_corpus": assembled_corpus,
     "generic_columns": generic_columns, "dedupe_documents": dedupe_documents, "oversized_parts": oversized_parts, "chunk_documents": chunk_documents,
     "card_texts": card_texts, "assembled_fields": assembled_fields, "slugs": slugs, "term_index": term_index_query, "token_counts": token_counts,
     "dimension_manifest": dimension_manifest, "spend_estimate": spend_estimate,
@@ -134,6 +129,7 @@ ORACLE = {
       g AS (SELECT key, count(*) AS present, count(*) FILTER (kind = 'array') AS a, count(*) FILTER (kind = 'boolean') AS b, count(*) FILTER (kind = 'number') AS n, count(*) FILTER (kind = 'string') AS s, count(*) FILTER (iso) AS i, count(*) FILTER (kind = 'string' AND contains(str, ',')) AS c, sum(len(parts)) AS np, sum(len(list_filter(parts, lambda t: length(t) <= 40))) AS nb FROM p GROUP BY key),
       k AS (SELECT *, CASE greatest(a, b, n, s) WHEN a THEN 'array' WHEN b THEN 'boolean' WHEN n THEN 'number' ELSE 'string' END AS kind FROM g), t AS (SELECT *, kind = 'string' AND i >= 0.8 * s AS temporal FROM k)
       SELECT key, CASE WHEN temporal THEN 'temporal' WHEN kind = 'boolean' THEN 'boolean' WHEN kind = 'number' THEN 'scalar' ELSE 'categorical' END AS type, kind = 'array' OR (kind = 'string' AND NOT temporal AND c >= greatest(3.0, 0.05 * s) AND nb >= 0.95 * np) AS multi, present FROM t""",
+    "oversized_parts": f"WITH {D}, p AS (SELECT node_id, title, cores, regexp_extract_all(cores, '(?s).{{1,1000}}\\z|.{{501,1000}} |.{{1000}}') AS p FROM d WHERE length(cores) > 1000), e AS (SELECT node_id, title, p, unnest(range(len(p))) AS k FROM p) SELECT node_id || '#' || k AS id, coalesce(title, '') || ' (part ' || (k + 1) || '/' || len(p) || ')' AS title, length(p[k + 1])::INT AS chars FROM e UNION ALL SELECT node_id::VARCHAR, title, length(cores)::INT FROM d WHERE coalesce(length(cores), 0) <= 1000",
     "dedupe_documents": f"WITH {D} SELECT min(node_id) AS node_id, title FROM d GROUP BY title, cores",
     "chunk_documents": r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\t\n\x0b\x0c\r ]+') AS w FROM documents), n AS (SELECT *, greatest(ceil(len(w) / 220)::INT, 1) AS n FROM w),
       e AS (SELECT *, unnest(range(least(n, 50))) AS i FROM n), a AS (SELECT *, CASE WHEN n > 50 THEN floor(i * (n / 50.0::DOUBLE))::INT ELSE i END AS pick FROM e)

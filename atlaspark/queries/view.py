@@ -193,6 +193,7 @@ ORACLE = {
     "read_state": f"WITH {D} SELECT count(*) AS n, count(*) FILTER (read_progress > 0.05) AS read, round(count(*) FILTER (read_progress > 0.05) * 100.0::DOUBLE / count(*), 4) AS percent FROM d",
     "channel_size": f"WITH {_HONEST} SELECT node_id, round(1.5 + 3 * abs(score - 50) / 50, 6) AS bipolar, round(1.5 + 3.4 * score / 100, 6) AS monotone FROM s",
     "selection_export": f"WITH {D} SELECT id, title, url FROM d WHERE map_id = 3",
+    "deck_jsonl": f"WITH {D} SELECT to_json({{'node_id': node_id, 'title': title, 'cores': cores, 'url': url, 'tags': tags}})::VARCHAR AS line FROM d",
     "vault_filenames": f"""WITH {D}, b AS (SELECT node_id, trim(substr(trim(regexp_replace(regexp_replace(coalesce(title, ''), '[\\\\/:*?"<>|#^\\[\\]\\x00-\\x1f]', ' ', 'g'), '[\\t\\n\\x0b\\x0c\\r ]+', ' ', 'g')), 1, 80)) AS base FROM d), n AS (SELECT node_id, CASE WHEN base = '' THEN 'untitled' ELSE base END AS base FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY lower(base) ORDER BY node_id) AS r FROM n)
       SELECT node_id, base || CASE WHEN r = 1 THEN '' ELSE '-' || r END || '.md' AS filename FROM r""",
     "last_wins": "SELECT concat_ws('/', user_id, event_type) AS k, arg_max(value, {'ts': ts, 'id': event_id}) AS v FROM events GROUP BY 1",
