@@ -81,8 +81,9 @@ def explode_packed(df: DataFrame, json_col: str, fields: dict[str, bool], key: s
     for f, commas in fields.items():
         v = F.col("_o").getField(f)
         array = F.transform(F.from_json(v, "array<string>"), _trim)
-        # a string value is quoted in the object's own text, an array opens with a bracket there
-        is_array = v.startswith("[") & F.col("_raw").rlike(f'"{f}"\\s*:\\s*\\[')
+        # only a value that opens with a bracket can be an array; whether it is one the object itself says (the pattern serves for objects that name a key twice)
+        kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("_raw"), F.lit(f'$["{f}"]'), "variant"))
+        is_array = v.startswith("[") & F.coalesce(kind.startswith("ARRAY"), F.col("_raw").rlike(f'"{f}"\\s*:\\s*\\['))
         lists.append(F.struct(F.lit(f).alias("field"), F.when(is_array, F.filter(array, lambda x: x.isNotNull() & (x != ""))).otherwise(split_values(v, commas)).alias("values")))
     each = parsed.select("_key", F.explode(F.array(*lists)).alias("x"))
     return each.select(F.col("_key").alias(key), F.col("x.field").alias("field"), F.posexplode("x.values").alias("pos", "value"))

@@ -61,8 +61,10 @@ def test_explode(spark):
         (4, json.dumps({"genre": 5, "other": "a;b", "keywords": [], "credits": "B, A; C"}), "p"),
         (5, json.dumps({"genre": ["[not, a list]"], "keywords": ";" * 3000 + "end"}), "p"),
         (5, json.dumps({"genre": "twice"}), "p"),
+        (6, '{"x": {"genre": ["q"]}, "genre": "[g; h]"}', "p"),
+        (7, '{"genre": "i", "genre": ["j, k"]}', "p"),
     ]
     df = spark.createDataFrame(rows, "file_id long, meta string, value string")
     got = {(r.file_id, r.field, r.pos, r.value) for r in explode_packed(df, "meta", {"genre": True, "keywords": True, "credits": False}, "file_id").collect()}
-    assert got == {(1, "genre", 0, "a"), (1, "genre", 1, "b"), (1, "keywords", 0, "x; y"), (1, "keywords", 1, "z"), (4, "genre", 0, "5"), (4, "credits", 0, "B, A"), (4, "credits", 1, "C"), (5, "genre", 0, "[not, a list]"), (5, "keywords", 0, "end"), (5, "genre", 0, "twice")}
+    assert got == {(1, "genre", 0, "a"), (1, "genre", 1, "b"), (1, "keywords", 0, "x; y"), (1, "keywords", 1, "z"), (4, "genre", 0, "5"), (4, "credits", 0, "B, A"), (4, "credits", 1, "C"), (5, "genre", 0, "[not, a list]"), (5, "keywords", 0, "end"), (5, "genre", 0, "twice"), (6, "genre", 0, "g"), (6, "genre", 1, "h"), (7, "genre", 0, "j, k")}
     assert explode_packed(df.limit(0), "meta", {"genre": True}, "file_id").count() == 0
