@@ -20,6 +20,7 @@ OVERSIZE = 6144  # a cell beyond this is cut again
 BITS = 12  # planes that cut a cell, at most
 TABLES, SPILL = 1, 3
 SEED = 7
+DOOR = 0.6  # cosine from which a link makes one of its ends stand for the other as an entry point of searches
 ROUNDS, STILL = 8, 0.002  # rounds of the descent at most, and the share of list entries whose change in a round ends it
 FEW = 1_000_000  # rows of some 20 bytes that are broadcast; more are shuffled
 
@@ -420,27 +421,40 @@ def neighbour_pairs(df: DataFrame, key: str, vec_col: str, k: int, least: float,
 def graph_search(df: DataFrame, queries: DataFrame, key: str, vec_col: str, k: int = 8, dim: int = 128, beam: int = 32, step: int = 6, rounds: int = 16, least: float = 0.0) -> DataFrame:
     """(query, id, sim): greedy search over the neighbour graph of ``df`` for the vectors of ``queries``, both (key, vec_col, ..); the row of the query's own key is left out.
 
-    The query's vector need not be in the collection. A search enters at some nodes of the cells that its vector lies in and knows nothing else of the graph; at each round it looks at the neighbours, both
+    The query's vector need not be in the collection. A search enters at the best of the cells' entry points, one for every well linked neighbourhood, that lie in the cells of its vector, and knows nothing else of the graph; at each round it looks at the neighbours, both
     ways, of its ``step`` best nodes not yet expanded, keeping the ``beam`` best seen; it ends when those have all been expanded. Every round is two joins, on node, of what the searches ask for (sent to the graph
     where it lies if it is at most FEW rows). Copies answer for each other up to k. Unusable queries have no answer; rows below ``least`` are left out.
     """
     vectors, members = classes(unit_vectors(df, key, vec_col, dim))
-    graph, keyed, cells = neighbour_graph(vectors, k + 2, 0.0, still=0.01)
+    # a search needs ways through the graph, not every last neighbour
+    graph, keyed, cells = neighbour_graph(vectors, k + 2, max(-1.0, least - 0.1), rounds=3)
     keyed = cut(keyed)
     members = cut(members.join(keyed.select(F.col("h").alias("key"), F.col("hash").alias("h")), "h").select("id", F.col("key").alias("h")))
     asked_vectors, wanted = classes(unit_vectors(queries, key, vec_col, dim))
     asked = cut(cells.keyed(asked_vectors).select(F.col("hash").alias("q"), F.col("v").alias("qv"), home_of("h").alias("home")))
-    forth = graph.select("h", F.explode("nbr").alias("n"))
-    links = cut(forth.union(forth.select("n", "h")).distinct())
-    # entry points: some nodes, by hash, of the query's cells
-    placed = cells.rows(keyed.select("h", "v")).select("cell", "h")
-    doors = placed.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("h")))).where(F.col("r") <= step).select("cell", F.col("h").alias("n"))
-    entered = cells.rows(asked.select(F.col("q").alias("h"), F.col("qv").alias("v"))).select("cell", F.col("h").alias("q"))
-    frontier = cut(entered.join(doors, "cell").select("q", "n").distinct())
+    forth = graph.select("h", F.explode(F.arrays_zip("nbr", "sim")).alias("x")).select("h", F.col("x.nbr").alias("n"), F.col("x.sim").alias("sim"))
+    links = cut(forth.union(forth.select("n", "h", "sim")).dropDuplicates(["h", "n"]))
+    # entry points: of every well linked neighbourhood the node of the smallest key, so none is without one
+    covered = links.where((F.col("sim") >= DOOR) & (F.col("n") < F.col("h"))).select("h").distinct()
+    doors = cells.rows(keyed.select("h", "v").join(covered, "h", "left_anti"), True)
+    entering = cells.rows(asked.select(F.col("q").alias("h"), F.col("qv").alias("v")), True)
+
+    def enter(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            x, y = unpack_coarse(left.column(2)), unpack_coarse(right.column(2))
+            for at in range(0, len(y), 512):
+                r, c, _ = _top(y[at : at + 512] @ x.T, step, -1.0)
+                out.append(pa.table({"q": right.column(1).to_numpy()[at + r], "n": left.column(1).to_numpy()[c]}))
+        return pa.concat_tables(out) if out else pa.table({"q": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+
+    frontier = cut(doors.groupBy("cell").cogroup(entering.groupBy("cell")).applyInArrow(enter, "q bigint, n bigint").distinct())
     seen = None
 
-    def few(rows: DataFrame) -> DataFrame:
-        return F.broadcast(rows) if rows.count() <= FEW else rows
+    def few(rows: DataFrame, most: int = FEW) -> DataFrame:
+        return F.broadcast(rows) if rows.count() <= most else rows
+
+    vectors_asked = few(asked.select("q", "qv"), FEW // 10)
 
     def compare(batches):
         for b in batches:
@@ -449,7 +463,7 @@ def graph_search(df: DataFrame, queries: DataFrame, key: str, vec_col: str, k: i
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim)], ["q", "n", "sim"])
 
     for _ in range(rounds):
-        met = few(frontier).join(keyed.select(F.col("h").alias("n"), "v"), "n").join(asked.select("q", "qv"), "q").select("q", "n", "v", "qv").mapInArrow(compare, "q bigint, n bigint, sim float").withColumn("open", F.lit(True))
+        met = few(frontier).join(keyed.select(F.col("h").alias("n"), "v"), "n").join(vectors_asked, "q").select("q", "n", "v", "qv").mapInArrow(compare, "q bigint, n bigint, sim float").withColumn("open", F.lit(True))
         pool = met if seen is None else seen.unionByName(met)
         place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "n"))
         turn = F.row_number().over(Window.partitionBy("q", "open").orderBy(F.desc("sim"), "n"))
