@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -163,12 +163,12 @@ class Splits:
         return at
 
 
-def bisect(df: DataFrame, vec: str, kmax: int, floor: int = REGION_FLOOR, rounds: int = 3, sample: int = 4096) -> Splits:
+def bisect(df: DataFrame, vec: str, kmax: int, floor: int = REGION_FLOOR, rounds: int = 3, sample: int = 4096, seeds: int = 32) -> Splits:
     """Best-first bisecting 2-means of unit vectors: the loosest region above the floor is halved, until kmax regions or none is left.
 
     Looseness is a region's size times (1 - cohesion), from its vector sum. All regions that are due at one depth are halved in the same passes over the rows; their order is settled afterwards, so
     that replaying a prefix gives the best-first partition. A region of identical vectors cannot be halved and is left as it is. Only sums per
-    region reach the driver, and a bounded sample that seeds the halves.
+    region reach the driver, and a bounded sample that seeds the halves; a due region that has less than ``seeds`` rows in it gets that many of its own.
     """
     base = cut(df.where(F.col(vec).isNotNull() & (F.size(vec) > 0)).select(vec))
     spark, splits = df.sparkSession, Splits()
@@ -201,6 +201,23 @@ def bisect(df: DataFrame, vec: str, kmax: int, floor: int = REGION_FLOOR, rounds
         total = each.groupBy("k").applyInArrow(lambda t: add(t), "k bigint, n bigint, s array<double>").collect()
         return {r.k: (r.n, np.array(r.s)) for r in total}
 
+    def own_rows(ks: list[int]) -> dict[int, np.ndarray]:
+        """Up to ``seeds`` rows of each region, the first by hash."""
+        shared = spark.sparkContext.broadcast((_all(splits), set(ks)))
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    leaf = shared.value[0].leaf(_matrix(b.column(0), True))
+                    rows = np.flatnonzero(np.isin(leaf, list(shared.value[1])))
+                    yield pa.RecordBatch.from_arrays([pa.array(leaf[rows]), b.column(0).take(pa.array(rows))], ["k", "v"])
+
+        kind = dict(base.dtypes)[vec]
+        found = base.mapInArrow(run, f"k bigint, v {kind}").withColumn("_r", F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64(F.col("v").cast("string")))))
+        got = found.where(F.col("_r") <= seeds).select("k", "v").toArrow()
+        x = _matrix(got.column(1).combine_chunks(), True) if got.num_rows else np.zeros((0, 1))
+        return {k: x[got.column(0).to_numpy() == k] for k in ks}
+
     sizes, done, fresh = passed(), set(), 1
     loose = lambda k: sizes[k][0] - np.linalg.norm(sizes[k][1])
     heads: dict[int, float] = {}
@@ -208,8 +225,10 @@ def bisect(df: DataFrame, vec: str, kmax: int, floor: int = REGION_FLOOR, rounds
         at = splits.leaf(s, None) if not splits.nodes else _all(splits).leaf(s)
         due = sorted((k for k in sizes if k not in done and sizes[k][0] > floor), key=lambda k: (-loose(k), k))[: max(1, (kmax - len(splits.nodes)) // 2)]
         pending = {}
+        few = [k for k in due if (at == k).sum() < min(seeds, sizes[k][0])]
+        more = own_rows(few) if few else {}
         for k in due:
-            x = s[at == k]
+            x = more.get(k, s[at == k])
             if len(x) < 2 or loose(k) < 1e-9 * sizes[k][0]:
                 done.add(k)
                 continue

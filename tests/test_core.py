@@ -285,3 +285,15 @@ def test_sources(spark, tmp_path):
         f.write('{"k": "a", "v": "9"}\n{"k": "a", "v"')
     good, bad = read_cache(spark, str(tmp_path / "c"))
     assert {r.k: r.v for r in good.collect()} == {"a": "9", "b": "2"} and bad.count() == 1
+
+
+def test_small_regions_are_halved_too(spark):
+    # a sample of 40 rows has next to none of the small groups, which still have to come apart
+    rng = np.random.default_rng(2)
+    centres = np.linalg.qr(rng.standard_normal((12, 12)))[0]
+    x = np.concatenate([centres[g] + 0.02 * rng.standard_normal((2000 if g == 0 else 30, 12)) for g in range(6)])
+    df = vec_df(spark, x)
+    splits = L.bisect(df, "vec", 6, 25, sample=40)
+    leaf = splits.leaf(x / np.linalg.norm(x, axis=1, keepdims=True))
+    small = [set(leaf[2000 + 30 * g : 2030 + 30 * g].tolist()) for g in range(5)]
+    assert len(splits.order) == 5 and all(len(s) == 1 for s in small)

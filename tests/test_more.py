@@ -5,6 +5,7 @@ import os
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from atlaspark.functions.codecs import decode_ids, duration, encode_ids, money, separate_hues, short_count
 from atlaspark.operators.evaluate import kmeans_elbow, label_precision, paired_bootstrap, scalar_difference
@@ -39,6 +40,8 @@ def test_sinks(spark, tmp_path):
     cards = spark.createDataFrame([(1, "a", 'T "q"', None, "Core.", {"pc1": "high"}), (2, "b", 'T "q"', "http://x", None, {})], "node_id long, id string, title string, url string, core string, notes map<string,string>")
     got = {r.filename: r.content for r in vault_entries(cards).collect()}
     assert set(got) == {"T q.md", "T q-2.md"} and 'title: "T \\"q\\""' in got["T q.md"] and "  pc1: high" in got["T q.md"] and 'url: "http://x"' in got["T q-2.md"]
+    told = vault_entries(cards.withColumn("region", F.when(F.col("node_id") == 1, 'Old "stones"'))).collect()
+    assert sum('\nregion: "Old \\"stones\\""\n' in r.content for r in told) == 1 and sum("region:" in r.content for r in told) == 1
     write_vault(cards, str(tmp_path / "v"), "t")
     assert sorted(os.listdir(tmp_path / "v")) == ["T q-2.md", "T q.md", "atlaspark-vault.json"]
     write_lines(cards, str(tmp_path / "l"), "id", "core")
