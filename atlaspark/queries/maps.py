@@ -14,6 +14,7 @@ from ..operators.regions import axis_drift, redundant_pairs, region_samples
 from ..operators.view import View
 from .common import FILES, LADDER, RAW, D, V, cards, docs, files, ladder, raw_scores
 from .corpus import _KIND
+from .corpus import ORACLE as CORPUS
 from .regions import _E, _knn, _nn, _vecs
 
 
@@ -142,3 +143,5 @@ ORACLE = {
     "channel_frame": f"WITH {D}, r AS (SELECT node_id, 100 - 100.0::DOUBLE * (row_number() OVER (ORDER BY date_ms, node_id) - 1) / (count(*) OVER () - 1) AS back FROM d WHERE date_ms IS NOT NULL) SELECT d.node_id, site_name AS color, round(1.5 + 3.4 * {_SPAN('read_progress')} / 100, 6) AS size, round({_SPAN('date_ms')} / 50 - 1, 6) AS x, round(coalesce(back, 50) / 50 - 1, 6) AS y, 0.0::DOUBLE AS z FROM d LEFT JOIN r USING (node_id)",
     "list_defects": f"WITH {_E}, {_nn(8)} SELECT count(*) FILTER (vec_id % 7 = 0 OR (SELECT count(*) FROM e) <= 8) AS short, 0::BIGINT AS repeated, 0::BIGINT AS selfish, count(*) FILTER (vec_id % 11 = 0) AS foreign FROM e",
 }
+ORACLE["assembled_corpus"] = f"""WITH pd AS ({CORPUS['parse_documents']}), one AS (SELECT min(file_id) AS file_id, title, body FROM pd GROUP BY title, body), {FILES}, fr AS (SELECT file_id, regexp_extract(coalesce(text, ''), '^---\\n([\\s\\S]*?)\\n---\\n?', 1) AS front FROM f), ids AS ({ORACLE['path_ids']})
+  SELECT one.file_id, coalesce(nullif(trim(regexp_extract(fr.front, '(?m)^(?:id):\\s*"?([^"\\n]+)', 1)), ''), ids.id) AS id, one.title, length(one.body)::INT AS body_chars, coalesce(len(json_keys(f.meta)), 0)::INT AS n_meta FROM one JOIN f USING (file_id) JOIN fr USING (file_id) LEFT JOIN ids USING (file_id)"""
